@@ -8,6 +8,7 @@ import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import prepare, table
 
@@ -33,9 +34,32 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(prepare(spark), sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
 
 
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(prepare(spark), sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), {"<|endoftext|>": 50256}, capacity=1024, end_id=2)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    found = near_duplicates(table(prepare(spark), sf_dir, "documents"), budget=4, shingle=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import learn, score
+
+    docs = table(prepare(spark), sf_dir, "documents")
+    return score(docs, learn(docs, table(spark, sf_dir, "labels"), held=2, parts=4), held=2, parts=4, threshold=0.7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_encode": op1_bpe_encode,
     "op3_token_counts": op3_token_counts,
+    "op5_pack": op5_pack,
+    "op8_simhash": op8_simhash,
+    "op9_quality": op9_quality,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
