@@ -54,12 +54,19 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, learn(docs, table(spark, sf_dir, "labels"), held=2, parts=4), held=2, parts=4, threshold=0.7)
 
 
+def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .flac import flac_columns
+
+    return flac_columns(table(prepare(spark), sf_dir, "documents"), digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_encode": op1_bpe_encode,
     "op3_token_counts": op3_token_counts,
     "op5_pack": op5_pack,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
+    "op10_flac": op10_flac,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
