@@ -40,6 +40,12 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(prepare(spark), sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), {"<|endoftext|>": 50256}, capacity=1024, end_id=2)
 
 
+def op6_cws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sampling import edited_likeness
+
+    return edited_likeness(table(prepare(spark), sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_encode": op1_bpe_encode,
     "op3_token_counts": op3_token_counts,
     "op5_pack": op5_pack,
+    "op6_cws": op6_cws,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_flac": op10_flac,
