@@ -51,69 +51,78 @@ class Sampler:
 
     def __init__(self, samples: int = SAMPLES, kept: int = KEPT):
         self.samples, self.kept = samples, kept
-        self.at: dict[tuple[str, int], int] = {}
+        self.clear()
         self.value = np.zeros((1024, samples), np.float32)
         self.mark = np.zeros((1024, samples), np.uint16)
 
+    def clear(self) -> None:
+        self.once: dict[str, int] = {}
+        self.often: dict[tuple[str, int], int] = {}
+        self.used = 0
+
     def draw(self, keys: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
         """Values and 16-bit marks (1 and up) of terms; a term weighs its count times its squared length."""
         h = np.array([xxh64_intdigest(w.encode("utf-8", "replace"), 7) for w, _ in keys], np.uint64)[:, None]
-        weight = np.log(np.array([c * len(w) ** 2 for w, c in keys], np.float64))[:, None]
+        weight = np.log(np.array([c * len(w) ** 2 for w, c in keys], np.float32))[:, None]
         s = np.arange(self.samples, dtype=np.uint64)
 
-        def uniform(j: int) -> np.ndarray:
-            return ((_mix(h + (s * np.uint64(5) + np.uint64(j + 1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+        def uniform(bits: np.ndarray) -> np.ndarray:
+            """A uniform of 23 bits, neither 0 nor 1."""
+            return ((bits & np.uint64(0x7FFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
 
-        r = -np.log(uniform(0) * uniform(1))  # gamma of shape 2
-        c = -np.log(uniform(2) * uniform(3))
-        b = uniform(4)
+        x = _mix(h + (2 * s + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        y = _mix(h + (2 * s + np.uint64(2)) * np.uint64(0x9E3779B97F4A7C15))
+        r = -np.log(uniform(x) * uniform(x >> np.uint64(41)))  # gamma of shape 2
+        c = -np.log(uniform(y) * uniform(y >> np.uint64(41)))
+        b = (x >> np.uint64(23) & np.uint64(0x3FFFF)).astype(np.float32) * np.float32(2.0**-18)
         t = np.floor(weight / r + b)
         value = np.log(c) - r * (t - b) - r
-        mark = _mix(h ^ _mix(s + np.uint64(1) + (t.astype(np.int64).view(np.uint64) << np.uint64(20)))) >> np.uint64(48)
+        mark = (y >> np.uint64(23) ^ t.astype(np.int64).view(np.uint64) * np.uint64(40503)) & np.uint64(0xFFFF)
         return value.astype(np.float32), np.maximum(mark, 1).astype(np.uint16)
 
-    def admit(self, found: list[Counter]) -> None:
-        new = list(dict.fromkeys(k for f in found for k in f.items() if k not in self.at))
-        if len(self.at) + len(new) > self.kept:
-            self.at.clear()
-            new = list(dict.fromkeys(k for f in found for k in f.items()))
-        need = len(self.at) + len(new)
-        if need > len(self.value):
-            size = max(need, min(self.kept, len(self.value) * 2))
-            for name in ("value", "mark"):
-                old = getattr(self, name)
-                wide = np.zeros((size, self.samples), old.dtype)
-                wide[: len(self.at)] = old[: len(self.at)]
-                setattr(self, name, wide)
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            first = len(self.at)
-            self.value[first : first + len(some)], self.mark[first : first + len(some)] = self.draw(some)
-            self.at.update(zip(some, range(first, first + len(some)), strict=True))
+    def rows(self, found: Counter) -> np.ndarray:
+        """Table rows of a text's terms; draws what is new."""
+        once, often = self.once, self.often
+        at = [once.get(w, -1) if c == 1 else often.get((w, c), -1) for w, c in found.items()]
+        new = [(i, k) for i, (a, k) in enumerate(zip(at, found.items(), strict=True)) if a < 0] if -1 in at else []
+        for j in range(0, len(new), 4096):
+            some = new[j : j + 4096]
+            first, last = self.used, self.used + len(some)
+            if last > len(self.value):
+                for name in ("value", "mark"):
+                    old = getattr(self, name)
+                    wide = np.zeros((max(last, len(old) * 3 // 2), self.samples), old.dtype)
+                    wide[:first] = old[:first]
+                    setattr(self, name, wide)
+            self.value[first:last], self.mark[first:last] = self.draw([k for _, k in some])
+            for row, (i, (w, c)) in enumerate(some, first):
+                at[i] = row
+                if c == 1:
+                    once[w] = row
+                else:
+                    often[w, c] = row
+            self.used = last
+        return np.array(at, np.int64)
 
     def signatures(self, batch: list[str]) -> np.ndarray:
         """One row of marks for each text; zeros for a text without terms."""
         out = np.zeros((len(batch), self.samples), np.uint16)
-        every, at = np.arange(self.samples), 0
-        while at < len(batch):
-            found, size = [], 0
-            while at + len(found) < len(batch) and (not found or size < self.kept // 4):
-                found.append(terms(batch[at + len(found)]))
-                size += len(found[-1])
-            self.admit(found)
-            for i, f in enumerate(found):
-                if not f:
-                    continue
-                rows = np.fromiter(map(self.at.__getitem__, f.items()), np.int64, len(f))
-                best = np.full(self.samples, np.inf, np.float32)
-                for k in range(0, len(rows), 8192):
-                    part = rows[k : k + 8192]
-                    v = self.value[part]
-                    low = v.argmin(axis=0)
-                    take = v[low, every] < best
-                    best = np.where(take, v[low, every], best)
-                    out[at + i] = np.where(take, self.mark[part[low], every], out[at + i])
-            at += len(found)
+        every = np.arange(self.samples)
+        for i, text in enumerate(batch):
+            found = terms(text)
+            if not found:
+                continue
+            if self.used + len(found) > self.kept:
+                self.clear()
+            rows = self.rows(found)
+            best = np.full(self.samples, np.inf, np.float32)
+            for k in range(0, len(rows), 8192):
+                part = rows[k : k + 8192]
+                v = self.value[part]
+                low = v.argmin(axis=0)
+                take = v[low, every] < best
+                best = np.where(take, v[low, every], best)
+                out[i] = np.where(take, self.mark[part[low], every], out[i])
         return out
 
 
