@@ -46,6 +46,13 @@ def op6_cws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(prepare(spark), sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_packages, write_packages
+
+    found = read_packages(write_packages(table(prepare(spark), sf_dir, "pages")), with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -71,10 +78,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_pack": op5_pack,
     "op6_cws": op6_cws,
+    "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_flac": op10_flac,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        m AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS n, sha256(h) AS d, min(page_id) OVER (PARTITION BY h) AS f FROM p)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 100 AND f IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND f IS DISTINCT FROM page_id THEN f END AS refers_to
+        FROM m""",
+}
