@@ -28,6 +28,12 @@ def op1_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(prepare(spark), sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), digests=True)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(table(prepare(spark), sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .counts import token_counts
 
@@ -75,6 +81,7 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_encode": op1_bpe_encode,
+    "op2_pii": op2_pii,
     "op3_token_counts": op3_token_counts,
     "op5_pack": op5_pack,
     "op6_cws": op6_cws,
