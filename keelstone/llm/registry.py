@@ -40,6 +40,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(prepare(spark), sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import katz_scores
+
+    return katz_scores(table(prepare(spark), sf_dir, "documents"), held=1, parts=5)
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_encode": op1_bpe_encode,
     "op2_pii": op2_pii,
     "op3_token_counts": op3_token_counts,
+    "op4_katz": op4_katz,
     "op5_pack": op5_pack,
     "op6_cws": op6_cws,
     "op7_warc": op7_warc,
