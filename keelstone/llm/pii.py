@@ -12,10 +12,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import id_text, slices, texts
+from .common import id_text, quoted, slices, texts
 
 #: Kinds in the order of output; the patterns' parts.
 BASE = ("email", "ip", "card", "phone")
@@ -406,3 +408,25 @@ def find_pii(df: DataFrame, field: Field | None = None, id_col: str = "doc_id",
     counts = ", ".join(f"n_{k} bigint" for k in BASE)
     return id_text(df, id_col, text_col).mapInArrow(run, f"doc_id bigint, {counts}, base_sha256 string, spans string" + (", redacted string" if with_redacted else ""))
 
+
+
+def redact(docs: DataFrame, field: Field | None = None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """The rows of ``docs``, all columns, with personal data in the text replaced by its kind in brackets.
+
+    ``length_col``, where ``docs`` has it, becomes the new text's length in code points. A null text stays null.
+    """
+    field = field or trained()
+
+    @F.pandas_udf("string")
+    def cleaned(rows: pd.Series) -> pd.Series:
+        tag, out = tagger(field), []
+        for i in range(0, len(rows), 256):
+            some = [t or "" for t in rows.iloc[i : i + 256]]
+            out += [redacted(t, every) for t, (_, every) in zip(some, all_spans(some, tag), strict=True)]
+        return pd.Series(out, dtype=object)
+
+    text = F.col(quoted(text_col))
+    out = docs.withColumn(text_col, F.when(text.isNotNull(), cleaned(text.cast("string"))))
+    if length_col in docs.columns:
+        out = out.withColumn(length_col, F.length(text).cast(docs.schema[length_col].dataType))
+    return out.select(*[F.col(quoted(c)) for c in docs.columns])

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,3 +173,14 @@ def score(docs: DataFrame, forest: Forest, held: int = 2, parts: int = 4, thresh
 
     held_out = F.coalesce(bucket("doc_id", parts) == held, F.lit(False))
     return id_text(docs, id_col, text_col).withColumn("held_out", held_out).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, forest: Forest, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more; a null text scores as the empty text."""
+
+    @F.pandas_udf("double")
+    def scored(rows: pd.Series) -> pd.Series:
+        out = [forest.predict(features([t or "" for t in rows.iloc[i : i + 256]])) for i in range(0, len(rows), 256)]
+        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+
+    return docs.filter(scored(F.col(quoted(text_col)).cast("string")) >= threshold)

@@ -85,6 +85,12 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac_columns(table(prepare(spark), sf_dir, "documents"), digests=True)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_encode": op1_bpe_encode,
     "op2_pii": op2_pii,
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_flac": op10_flac,
+    "pipeline": pipeline,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.

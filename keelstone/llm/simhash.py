@@ -13,13 +13,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..session import stored
-from .common import id_text, slices, texts
+from .common import id_text, quoted, slices, texts
 from .graph import components
 
 #: Rows of whole groups that a task joins at once; node pairs that it holds at once.
@@ -237,11 +238,36 @@ def near_duplicates(df: DataFrame, budget: int = 4, shingle: int = 4, id_col: st
     return with_components(prints, budget)
 
 
-def with_components(prints: DataFrame, budget: int = 4) -> DataFrame:
-    """Add ``component_id`` to a stored table of ``doc_id, fp``."""
+def rooted(prints: DataFrame, budget: int) -> DataFrame:
+    """``fp, first, root`` of each distinct fingerprint: its smallest id, and its component's smallest fingerprint."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).checkpoint()
     roots = components(near_links(distinct.select("fp"), budget))
-    joined = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).checkpoint()
+    return distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).checkpoint()
+
+
+def keep_one(docs: DataFrame, budget: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their group of near-duplicates: one row of each.
+
+    The row with the smallest id stays (of rows that repeat an id, one); null ids only where a group has no other.
+    """
+    doc, text = F.col(quoted(id_col)).cast("bigint"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+
+    @F.pandas_udf("bigint")
+    def printed(rows: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in rows], np.uint64).view(np.int64))
+
+    prints = stored(docs.select(doc.alias("doc_id"), printed(text).alias("fp")), "fingerprints")
+    best = rooted(prints, budget).groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("_b")).select(F.col("_b.first").alias("_first"), F.col("_b.fp").alias("_best"))
+    # the fingerprint is computed once more, so that texts are shuffled once, to the rows that may stay
+    mine = docs.withColumn("_fp", printed(text))
+    kept = mine.join(best, (F.col("_fp") == F.col("_best")) & doc.eqNullSafe(F.col("_first")))
+    one = Window.partitionBy("_best", "_first").orderBy(text)  # equal keys: rows that repeat an id
+    return kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*[F.col(quoted(c)) for c in docs.columns])
+
+
+def with_components(prints: DataFrame, budget: int = 4) -> DataFrame:
+    """Add ``component_id`` to a stored table of ``doc_id, fp``."""
+    joined = rooted(prints, budget)
     lowest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     named = joined.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
