@@ -121,18 +121,23 @@ def decode(streams: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows: list[tuple] = []
             for session, data in zip(batch["session_id"], batch["bytes"], strict=True):
-                rows, at = [], 0
+                data, at, pos = bytes(data or b""), 0, 0
                 while True:
                     try:
-                        argv, at = parse_command(bytes(data or b""), at)
+                        argv, at = parse_command(data, at)
                     except ProtocolError as e:
-                        rows.append((session, len(rows), None, str(e)))
+                        rows.append((session, pos, None, str(e)))
                         break
                     if argv is None:
                         break
-                    rows.append((session, len(rows), argv, None))
-                if rows:
+                    rows.append((session, pos, argv, None))
+                    pos += 1
+                if len(rows) >= 10_000:
                     yield pd.DataFrame(rows, columns=["session_id", "pos", "argv", "error"])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["session_id", "pos", "argv", "error"])
 
     return streams.select("session_id", "bytes").mapInPandas(run, "session_id string, pos bigint, argv array<string>, error string")

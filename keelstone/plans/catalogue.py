@@ -5,41 +5,493 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import resolve
-from ..session import prepare, table
-from ..sources import fixture
+from ..functions import resp, text
+from ..operators import acl, commands as interpreter, counters, fold, lookup, maintain, pubsub, resolve, sizes, stats
+from ..schema import NEVER
+from ..session import prepare, scratch, table
+from ..sources import fixture, wal
 
 NOW = fixture.NOW_MS
+VIEW, BUY = fixture.VIEW_TTL_MS, fixture.PURCHASE_TTL_MS
 
 
-def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+def command_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture.event_commands(table(prepare(spark), sf_dir, "events"))
 
 
 def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture.blind_mutations(commands(spark, sf_dir))
+    return fixture.blind_mutations(command_rows(spark, sf_dir))
 
 
-def live_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.live(mutations(spark, sf_dir), NOW)
 
 
-#: Shared start of the SQL forms: the command log, its SET and DEL rows, and the newest of each key.
+def user_key(number: F.Column) -> F.Column:
+    return F.concat(F.lit("user:"), F.lpad(number.cast("string"), 6, "0"))
+
+
+def key_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request for each supplier: five user keys, one of them twice."""
+    s = table(prepare(spark), sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    return s.select(k.alias("request_id"), F.array(*[user_key(k * a % b) for a, b in ((1, 1000), (7, 500), (13, 2000), (1, 1000), (31, 100))]).alias("keys"))
+
+
+#: Shared start of the SQL forms: the command log, its SET and DEL rows, the newest of each key, the live view.
 LOG = f"""
 cmds AS (
-  SELECT event_id AS seq, epoch_us(ts) // 1000 AS ts_ms, event_type,
+  SELECT event_id AS seq, epoch_us(ts) // 1000 AS ts_ms, event_type, value AS amount, user_id,
          CASE WHEN event_type = 'click' THEN 'clicks:' ELSE 'user:' END || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key,
          props FROM events WHERE event_type IN ('signup', 'view', 'error', 'purchase', 'click')),
 muts AS (
   SELECT seq, ts_ms, CASE WHEN event_type = 'error' THEN 'DEL' ELSE 'PUT' END AS op, key,
          CASE WHEN event_type <> 'error' THEN props END AS value,
-         CASE WHEN event_type = 'view' THEN ts_ms + {fixture.VIEW_TTL_MS} ELSE 9223372036854775807 END AS expires_at_ms
+         CASE WHEN event_type = 'view' THEN ts_ms + {VIEW} ELSE {NEVER} END AS expires_at_ms
   FROM cmds WHERE event_type IN ('signup', 'view', 'error')),
 latest AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM muts) t WHERE rn = 1),
 live AS (SELECT key, value, expires_at_ms FROM latest WHERE op <> 'DEL' AND expires_at_ms > {NOW})
 """
+_KEYS = " UNION ALL ".join(f"SELECT s_suppkey AS request_id, {i} AS pos, 'user:' || lpad(CAST(s_suppkey * {a} % {b} AS VARCHAR), 6, '0') AS key FROM supplier" for i, (a, b) in enumerate(((1, 1000), (7, 500), (13, 2000), (1, 1000), (31, 100))))
+ASKED = f"asked AS ({_KEYS})"
+VERSIONS = f"vers AS (SELECT key, seq AS seq_from, coalesce(lead(seq) OVER (PARTITION BY key ORDER BY seq), {NEVER}) AS seq_to, op, value, expires_at_ms FROM muts)"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+@query("live_view", f"WITH {LOG} SELECT key, value, expires_at_ms FROM live")
+def live_view(spark, sf_dir):
+    return view(spark, sf_dir)
+
+
+@query("latest_per_key", f"WITH {LOG} SELECT seq, ts_ms, op, key, value, expires_at_ms FROM latest")
+def latest_per_key(spark, sf_dir):
+    return resolve.latest_per_key(mutations(spark, sf_dir))
+
+
+@query("get_point", f"WITH {LOG} SELECT key, value FROM live WHERE key = 'user:000042'")
+def get_point(spark, sf_dir):
+    return lookup.get(view(spark, sf_dir), "user:000042")
+
+
+@query("mget_ordered", f"WITH {LOG}, {ASKED} SELECT request_id, pos, asked.key AS key, live.value AS value FROM asked LEFT JOIN live ON asked.key = live.key")
+def mget_ordered(spark, sf_dir):
+    asked = key_requests(spark, sf_dir)
+    answers = lookup.mget(view(spark, sf_dir), asked).join(asked, "request_id")
+    return answers.select("request_id", F.posexplode(F.arrays_zip("keys", "values")).alias("pos", "e")).select("request_id", "pos", F.col("e.keys").alias("key"), F.col("e.values").alias("value"))
+
+
+@query("exists_count", f"WITH {LOG}, {ASKED} SELECT request_id, CAST(count(live.key) AS BIGINT) AS n_exists FROM asked LEFT JOIN live ON asked.key = live.key GROUP BY request_id")
+def exists_count(spark, sf_dir):
+    return lookup.exists_count(view(spark, sf_dir), key_requests(spark, sf_dir))
+
+
+@query("del_distinct_count", f"WITH {LOG}, {ASKED} SELECT request_id, CAST(count(DISTINCT live.key) AS BIGINT) AS n_deleted FROM asked LEFT JOIN live ON asked.key = live.key GROUP BY request_id")
+def del_distinct_count(spark, sf_dir):
+    return lookup.del_count(view(spark, sf_dir), key_requests(spark, sf_dir))
+
+
+@query("scan_range", f"WITH {LOG} SELECT key, value FROM live WHERE key >= 'user:000100' AND key < 'user:000500' ORDER BY key")
+def scan_range(spark, sf_dir):
+    return lookup.scan(view(spark, sf_dir), "user:000100", "user:000500")
+
+
+@query("scan_flat", f"WITH {LOG}, s AS (SELECT key, value FROM live WHERE key >= 'user:000100' AND key < 'user:000500') SELECT key, 0 AS part, key AS item FROM s UNION ALL SELECT key, 1, value FROM s")
+def scan_flat(spark, sf_dir):
+    return lookup.scan_flat(view(spark, sf_dir), "user:000100", "user:000500")
+
+
+@query("top_keys", f"WITH {LOG} SELECT key, value FROM live ORDER BY key DESC LIMIT 25")
+def top_keys(spark, sf_dir):
+    return lookup.top_keys(view(spark, sf_dir), 25, descending=True)
+
+
+_TTL = f"WITH {LOG}, k AS (SELECT DISTINCT key FROM muts UNION SELECT 'user:none'), t AS (SELECT k.key AS key, CASE WHEN live.key IS NULL THEN -2 WHEN live.expires_at_ms = {NEVER} THEN -1 ELSE greatest(0, live.expires_at_ms - {NOW}) END AS ms FROM k LEFT JOIN live ON k.key = live.key)"
+
+
+def _ttl(spark, sf_dir):
+    log = mutations(spark, sf_dir)
+    return lookup.ttl(log, log.select("key").unionByName(spark.range(1).select(F.lit("user:none").alias("key"))), NOW)
+
+
+@query("ttl_ms", f"{_TTL} SELECT key, CAST(ms AS BIGINT) AS ttl_ms FROM t")
+def ttl_ms(spark, sf_dir):
+    return _ttl(spark, sf_dir).select("key", "ttl_ms")
+
+
+@query("ttl_sec", f"{_TTL} SELECT key, CAST(CASE WHEN ms < 0 THEN ms ELSE ms // 1000 END AS BIGINT) AS ttl_sec FROM t")
+def ttl_sec(spark, sf_dir):
+    return _ttl(spark, sf_dir).select("key", "ttl_sec")
+
+
+@query("dbsize_exact", f"WITH {LOG} SELECT CAST(count(*) AS BIGINT) AS dbsize FROM live")
+def dbsize_exact(spark, sf_dir):
+    return lookup.dbsize(view(spark, sf_dir))
+
+
+@query("versions", f"WITH {LOG}, {VERSIONS} SELECT key, seq_from, seq_to, op, value, expires_at_ms FROM vers")
+def versions(spark, sf_dir):
+    return resolve.versions(mutations(spark, sf_dir))
+
+
+@query("asof_get", f"WITH {LOG}, {VERSIONS}, r AS (SELECT seq AS request_id, 'user:' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key, seq AS at_seq, ts_ms FROM cmds WHERE event_type = 'click') SELECT request_id, r.key AS key, at_seq, vers.value AS value FROM r LEFT JOIN vers ON r.key = vers.key AND vers.op <> 'DEL' AND seq_from <= at_seq AND at_seq < seq_to AND vers.expires_at_ms > r.ts_ms")
+def asof_get(spark, sf_dir):
+    clicks = command_rows(spark, sf_dir).filter("cmd = 'INCRBY'")
+    asked = clicks.select(F.col("seq").alias("request_id"), F.regexp_replace("key", "^clicks:", "user:").alias("key"), F.col("seq").alias("at_seq"), F.col("ts_ms").alias("now_ms"))
+    return resolve.as_of(resolve.versions(mutations(spark, sf_dir)), asked)
+
+
+@query("expire_chain", f"""WITH {LOG},
+c AS (SELECT seq, ts_ms, key, event_type, CASE WHEN event_type = 'error' THEN 0 WHEN event_type = 'signup' THEN {NEVER} WHEN event_type = 'view' THEN ts_ms + {VIEW} ELSE ts_ms + {BUY} END AS until FROM cmds WHERE event_type <> 'click'),
+i AS (SELECT *, sum(CASE WHEN event_type <> 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM c),
+p AS (SELECT *, lag(until) OVER (PARTITION BY key, island ORDER BY seq) AS prv FROM i),
+d AS (SELECT *, max(CASE WHEN event_type = 'purchase' AND (prv IS NULL OR ts_ms >= prv) THEN 1 ELSE 0 END) OVER (PARTITION BY key, island ORDER BY seq ROWS UNBOUNDED PRECEDING) AS dead FROM p)
+SELECT seq, key, CAST(1 - dead AS INTEGER) AS result FROM d WHERE event_type = 'purchase'""")
+def expire_chain(spark, sf_dir):
+    return counters.expire_chain(command_rows(spark, sf_dir).filter("cmd <> 'INCRBY'"))
+
+
+@query("persist_result", f"WITH {LOG} SELECT key, CASE WHEN op <> 'DEL' AND expires_at_ms > {NOW} AND expires_at_ms <> {NEVER} THEN 1 ELSE 0 END AS persisted FROM latest")
+def persist_result(spark, sf_dir):
+    return lookup.persistable(mutations(spark, sf_dir), NOW)
+
+
+@query("incr_running", f"WITH {LOG} SELECT seq, key, CAST(count(*) OVER (PARTITION BY key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS result FROM cmds WHERE event_type = 'click'")
+def incr_running(spark, sf_dir):
+    return counters.running(command_rows(spark, sf_dir).filter("cmd = 'INCRBY'"))
+
+
+@query("incr_final", f"WITH {LOG} SELECT key, CAST(count(*) AS BIGINT) AS total FROM cmds WHERE event_type = 'click' GROUP BY key")
+def incr_final(spark, sf_dir):
+    return counters.totals(command_rows(spark, sf_dir).filter("cmd = 'INCRBY'"))
+
+
+def _reset_log(spark, sf_dir):
+    """Per user: a signup sets the counter to its event number, an error deletes it, a click adds 1."""
+    c = table(prepare(spark), sf_dir, "events").filter("event_type IN ('signup', 'error', 'click')")
+    cmd = F.when(F.col("event_type") == "signup", "SET").when(F.col("event_type") == "error", "DEL").otherwise("INCRBY")
+    return c.select(F.col("event_id").alias("seq"), fixture.epoch_ms("ts").alias("ts_ms"), cmd.alias("cmd"), user_key(F.col("user_id")).alias("key"), F.when(cmd == "SET", F.col("event_id").cast("string")).alias("value"), F.lit(1).cast("bigint").alias("delta"))
+
+
+_RESET = """WITH c AS (SELECT event_id AS seq, event_type, 'user:' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key FROM events WHERE event_type IN ('signup', 'error', 'click')),
+i AS (SELECT *, sum(CASE WHEN event_type <> 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM c),
+t AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN seq WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY key, island ORDER BY seq ROWS UNBOUNDED PRECEDING) AS total FROM i)
+SELECT seq, key, CAST(total AS BIGINT) AS result FROM t WHERE event_type = 'click'"""
+
+
+@query("incr_with_resets", _RESET)
+def incr_with_resets(spark, sf_dir):
+    return counters.running_with_resets(_reset_log(spark, sf_dir))
+
+
+@query("incr_fold_exact", _RESET)
+def incr_fold_exact(spark, sf_dir):
+    log = _reset_log(spark, sf_dir)
+    ops = log.select("key", "seq", F.lit(0).alias("pos"), "ts_ms", F.when(F.col("cmd") == "INCRBY", "INCR").otherwise(F.col("cmd")).alias("op"), "value", F.when(F.col("cmd") == "INCRBY", F.col("delta")).alias("n"))
+    return fold.fold(ops).filter("op = 'INCR'").select("seq", "key", F.col("num").alias("result"))
+
+
+@query("parse_long", "WITH t AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN '+' || CAST(event_id AS VARCHAR) WHEN 2 THEN '-00' || CAST(event_id AS VARCHAR) WHEN 3 THEN ' ' || CAST(event_id AS VARCHAR) WHEN 4 THEN '99999999999999999999' ELSE CAST(event_id AS VARCHAR) || 'x' END AS txt FROM events) SELECT event_id, txt, coalesce(CASE WHEN regexp_full_match(txt, '[+-]?[0-9]+') THEN CAST(TRY_CAST(txt AS BIGINT) AS VARCHAR) END, 'none') AS parsed FROM t")
+def parse_long(spark, sf_dir):
+    e, i = table(prepare(spark), sf_dir, "events"), F.col("event_id")
+    s, m = i.cast("string"), i % 6
+    txt = F.when(m == 0, s).when(m == 1, F.concat(F.lit("+"), s)).when(m == 2, F.concat(F.lit("-00"), s)).when(m == 3, F.concat(F.lit(" "), s)).when(m == 4, F.lit("99999999999999999999")).otherwise(F.concat(s, F.lit("x")))
+    return e.select("event_id", txt.alias("txt")).withColumn("parsed", F.coalesce(text.parse_long(F.col("txt")).cast("string"), F.lit("none")))
+
+
+@query("add_exact", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(9223372036854775000 + event_id % 800 AS VARCHAR) ELSE 'overflow' END AS total FROM events")
+def add_exact(spark, sf_dir):
+    e, i = table(prepare(spark), sf_dir, "events"), F.col("event_id")
+    start = F.when(i % 2 == 0, F.lit(9223372036854775000)).otherwise(F.lit(NEVER - 1))
+    return e.select("event_id", F.coalesce(text.add_exact(start, F.when(i % 2 == 0, i % 800).otherwise(i + 2)).cast("string"), F.lit("overflow")).alias("total"))
+
+
+@query("compact_equiv", f"WITH {LOG} SELECT key, value, expires_at_ms FROM live")
+def compact_equiv(spark, sf_dir):
+    return resolve.live(maintain.compact(mutations(spark, sf_dir), scratch(prepare(spark), "compact"), partitions=4), NOW)
+
+
+@query("compact_split_equiv", f"WITH {LOG} SELECT key, value, expires_at_ms FROM live")
+def compact_split_equiv(spark, sf_dir):
+    """A partial compaction keeps deletes and expired entries, so older rows merged later stay hidden."""
+    log = mutations(spark, sf_dir)
+    old, new = log.filter("seq % 3 <> 0"), log.filter("seq % 3 = 0")
+    return resolve.live(resolve.merge_runs(old, maintain.compacted(new)), NOW)
+
+
+@query("compact_ranges", f"WITH {LOG} SELECT substr(key, 1, 9) AS bucket, min(key) AS min_key, max(key) AS max_key, CAST(count(*) AS BIGINT) AS n_keys FROM live GROUP BY 1")
+def compact_ranges(spark, sf_dir):
+    return maintain.run_ranges(view(spark, sf_dir).withColumn("bucket", F.substring("key", 1, 9)), "bucket")
+
+
+@query("compact_overlap", f"WITH {LOG}, f AS (SELECT substr(key, 1, 9) AS bucket, min(key) AS min_key, max(key) AS max_key, CAST(count(*) AS BIGINT) AS n_keys FROM live GROUP BY 1), s AS (SELECT min(min_key) AS lo, max(max_key) AS hi FROM f WHERE min_key < 'user:0003') SELECT bucket, min_key, max_key, n_keys FROM f, s WHERE max_key >= lo AND min_key <= hi")
+def compact_overlap(spark, sf_dir):
+    runs = compact_ranges(spark, sf_dir)
+    return maintain.overlapping(runs, runs.filter(F.col("min_key") < "user:0003"))
+
+
+@query("level_bytes", "WITH f AS (SELECT p_size % 4 AS level, p_partkey * 100000 AS bytes FROM part), t AS (SELECT level, CAST(count(*) AS BIGINT) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM f GROUP BY level) SELECT level, files, bytes, CASE level WHEN 0 THEN files >= 4 WHEN 1 THEN bytes > 10485760 WHEN 2 THEN bytes > 104857600 ELSE bytes > 1048576000 END AS due FROM t")
+def level_bytes(spark, sf_dir):
+    return maintain.level_bytes(table(prepare(spark), sf_dir, "part").select((F.col("p_size") % 4).alias("level"), (F.col("p_partkey") * 100000).alias("bytes")))
+
+
+@query("tombstones", f"WITH {LOG} SELECT key, seq FROM latest WHERE op = 'DEL'")
+def tombstones(spark, sf_dir):
+    return resolve.tombstones(mutations(spark, sf_dir))
+
+
+@query("wal_prefix", f"WITH {LOG}, f AS (SELECT seq, key, user_id % 8 AS file, CASE WHEN seq % 97 = 13 THEN 1 ELSE 0 END AS bad FROM cmds), m AS (SELECT *, max(bad) OVER (PARTITION BY file ORDER BY seq ROWS UNBOUNDED PRECEDING) AS b FROM f) SELECT seq, key FROM m WHERE b = 0")
+def wal_prefix(spark, sf_dir):
+    e = command_rows(spark, sf_dir)
+    frames = e.select("seq", "key", (F.substring("key", -6, 6).cast("bigint") % 8).alias("file"), (F.col("seq") % 97 == 13).alias("bad"))
+    return wal.valid_prefix(frames, order="seq").select("seq", "key")
+
+
+@query("crc32_payload")
+def crc32_payload(spark, sf_dir):
+    log = mutations(spark, sf_dir)
+    return log.select("seq", F.crc32(F.concat_ws("|", "op", "key", "value").cast("binary")).alias("crc"))
+
+
+@query("wal_roundtrip", f"WITH {LOG} SELECT seq, op, key, value, expires_at_ms FROM muts")
+def wal_roundtrip(spark, sf_dir):
+    """Each mutation framed as bytes and replayed."""
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                for _, op, key, value, until in wal.replay(wal.frame(r.op, r.key, r.value, int(r.expires_at_ms))):
+                    rows.append((r.seq, op, key, value, until))
+            yield pd.DataFrame(rows, columns=["seq", "op", "key", "value", "expires_at_ms"])
+
+    return mutations(spark, sf_dir).select("seq", "op", "key", "value", "expires_at_ms").mapInPandas(run, "seq bigint, op string, key string, value string, expires_at_ms bigint")
+
+
+@query("snapshot_roundtrip", f"WITH {LOG} SELECT key, value, expires_at_ms FROM live")
+def snapshot_roundtrip(spark, sf_dir):
+    path = maintain.snapshot(mutations(spark, sf_dir), scratch(prepare(spark), "snapshots"), NOW)
+    return resolve.live(maintain.restore(spark, path), NOW)
+
+
+@query("snapshot_at_seq", f"WITH {LOG}, half AS (SELECT * FROM muts WHERE seq <= 5000), l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM half) SELECT key, value, expires_at_ms FROM l WHERE rn = 1 AND op <> 'DEL' AND expires_at_ms > {NOW}")
+def snapshot_at_seq(spark, sf_dir):
+    path = maintain.snapshot(mutations(spark, sf_dir), scratch(prepare(spark), "snapshots"), NOW, upto_seq=5000)
+    return spark.read.parquet(path).select("key", "value", "expires_at_ms")
+
+
+_SUBS = [("c1", "channel", "click.7"), ("c1", "pattern", "click.*"), ("c2", "pattern", "*.1?"), ("c2", "pattern", "view.1*"), ("c3", "channel", "view.12"), ("c3", "channel", "error.3"), ("c4", "pattern", "*"), ("c5", "pattern", "purchase.[12]"), ("c6", "pattern", "signup.5")]
+
+
+def _messages(spark, sf_dir):
+    e = table(prepare(spark), sf_dir, "events")
+    return e.select(F.col("event_id").alias("msg_id"), F.col("event_id").alias("seq"), F.concat_ws(".", "event_type", F.col("user_id").cast("string")).alias("channel"), F.col("props").alias("payload"))
+
+
+def _subscriptions(spark):
+    return spark.createDataFrame([(*s, -1, NEVER) for s in _SUBS], "conn string, kind string, target string, seq_from bigint, seq_to bigint")
+
+
+_MSG = "m AS (SELECT event_id AS msg_id, event_type || '.' || CAST(user_id AS VARCHAR) AS channel, props FROM events)"
+_SUBROWS = "s(conn, kind, target, rx) AS (VALUES " + ", ".join(f"('{c}', '{k}', '{t}', '{t.replace('.', chr(92) + '.').replace('*', '.*').replace('?', '.') if k == 'pattern' else ''}')" for c, k, t in _SUBS) + ")"
+_MET = f"WITH {_MSG}, {_SUBROWS}, met AS (SELECT m.msg_id AS msg_id, s.conn AS conn, s.kind AS kind, s.target AS target FROM m, s WHERE (s.kind = 'channel' AND m.channel = s.target) OR (s.kind = 'pattern' AND regexp_full_match(m.channel, s.rx)))"
+
+
+@query("publish_direct", f"{_MET} SELECT msg_id, conn, target FROM met WHERE kind = 'channel'")
+def publish_direct(spark, sf_dir):
+    return pubsub.matches(_messages(spark, sf_dir), _subscriptions(spark)).filter("kind = 'channel'").select("msg_id", "conn", "target")
+
+
+@query("publish_pattern", f"{_MET} SELECT msg_id, conn, target FROM met WHERE kind = 'pattern'")
+def publish_pattern(spark, sf_dir):
+    return pubsub.matches(_messages(spark, sf_dir), _subscriptions(spark)).filter("kind = 'pattern'").select("msg_id", "conn", "target")
+
+
+@query("publish_deliveries", f"{_MET}, r AS (SELECT *, row_number() OVER (PARTITION BY msg_id, conn ORDER BY kind, target) AS rn FROM met) SELECT msg_id, conn, kind, target FROM r WHERE rn = 1")
+def publish_deliveries(spark, sf_dir):
+    return pubsub.deliveries(_messages(spark, sf_dir), _subscriptions(spark))
+
+
+@query("publish_counts", f"{_MET} SELECT m.msg_id AS msg_id, CAST(count(DISTINCT met.conn) AS BIGINT) AS receivers FROM m LEFT JOIN met ON m.msg_id = met.msg_id GROUP BY m.msg_id")
+def publish_counts(spark, sf_dir):
+    return pubsub.publish_counts(_messages(spark, sf_dir), _subscriptions(spark))
+
+
+@query("publish_frames")
+def publish_frames(spark, sf_dir):
+    return pubsub.frames(_messages(spark, sf_dir), _subscriptions(spark))
+
+
+@query("subscription_intervals", f"WITH c AS (SELECT user_id % 50 AS conn, event_id AS seq, event_type = 'view' AS a FROM events WHERE event_type IN ('view', 'error')), w AS (SELECT *, coalesce(lag(a) OVER (PARTITION BY conn ORDER BY seq), false) AS was FROM c), x AS (SELECT * FROM w WHERE a <> was), e AS (SELECT conn, seq AS seq_from, coalesce(lead(seq) OVER (PARTITION BY conn ORDER BY seq), {NEVER}) AS seq_to, a FROM x) SELECT CAST(conn AS VARCHAR) AS conn, 'channel' AS kind, 'news' AS target, seq_from, seq_to FROM e WHERE a")
+def subscription_intervals(spark, sf_dir):
+    e = table(prepare(spark), sf_dir, "events").filter("event_type IN ('view', 'error')")
+    return pubsub.intervals(e.select((F.col("user_id") % 50).cast("string").alias("conn"), F.lit("channel").alias("kind"), F.lit("news").alias("target"), F.col("event_id").alias("seq"), F.lit(0).alias("pos"), (F.col("event_type") == "view").alias("add")))
+
+
+_GLOBS = {"*": ".*", "news.*": "news\\..*", "user.?": "user\\..", "view.1?": "view\\.1.", "click.[12]*": "click\\.[12].*", "a(b)+c|d^e$f@g%h": "a\\(b\\)\\+c\\|d\\^e\\$f\\@g\\%h"}
+
+
+@query("glob_match", "WITH t AS (SELECT event_id, event_type || '.' || CAST(user_id AS VARCHAR) AS txt FROM events UNION ALL SELECT -1, 'a(b)+c|d^e$f@g%h' UNION ALL SELECT -2, 'user.1' UNION ALL SELECT -3, 'user.42' UNION ALL SELECT -4, 'news.sports'), g(pattern, rx) AS (VALUES " + ", ".join(f"('{p}', '{r}')" for p, r in _GLOBS.items()) + ") SELECT event_id, pattern, regexp_full_match(txt, rx) AS matched FROM t, g")
+def glob_match(spark, sf_dir):
+    e = table(prepare(spark), sf_dir, "events").select("event_id", F.concat_ws(".", "event_type", F.col("user_id").cast("string")).alias("txt"))
+    more = spark.createDataFrame([(-1, "a(b)+c|d^e$f@g%h"), (-2, "user.1"), (-3, "user.42"), (-4, "news.sports")], "event_id bigint, txt string")
+    both = e.unionByName(more).withColumn("pattern", F.explode(F.array(*[F.lit(p) for p in _GLOBS])))
+    return both.select("event_id", "pattern", text.glob_match(F.col("pattern"), F.col("txt")).alias("matched"))
+
+
+def _accounts(spark, sf_dir):
+    n = table(prepare(spark), sf_dir, "nation")
+    some = F.when(F.col("n_nationkey") % 3 == 0, F.array().cast("array<string>")).when(F.col("n_nationkey") % 3 == 1, F.array(F.lit("GET"), F.lit("exists"))).otherwise(F.array(F.lit("SET"), F.lit("DEL")))
+    return n.select(F.col("n_name").alias("username"), F.concat(F.lit("pw"), F.col("n_nationkey").cast("string")).alias("password"), some.alias("allowed"))
+
+
+def _acl_requests(spark, sf_dir):
+    c = table(prepare(spark), sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey")
+    return c.select(k.alias("request_id"), F.when(k % 10 == 0, "nobody").otherwise(F.col("n_name")).alias("username"), F.when(k % 4 == 0, "get").when(k % 4 == 1, "EXISTS").when(k % 4 == 2, "SET").otherwise("SCAN").alias("cmd"), F.concat(F.lit("pw"), (F.col("c_nationkey") + (k % 2)).cast("string")).alias("attempt"))
+
+
+_CUST = "WITH r AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_nationkey END AS nk, c_nationkey, CASE c_custkey % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'EXISTS' WHEN 2 THEN 'SET' ELSE 'SCAN' END AS cmd FROM customer)"
+
+
+@query("acl_check", f"{_CUST} SELECT request_id, CASE WHEN nk IS NULL THEN false WHEN nk % 3 = 0 THEN true WHEN nk % 3 = 1 THEN cmd IN ('GET', 'EXISTS') ELSE cmd IN ('SET', 'DEL') END AS can_run FROM r")
+def acl_check(spark, sf_dir):
+    return acl.can_run(_acl_requests(spark, sf_dir), _accounts(spark, sf_dir))
+
+
+@query("auth_check", f"{_CUST} SELECT request_id, nk IS NOT NULL AND request_id % 2 = 0 AS ok FROM r")
+def auth_check(spark, sf_dir):
+    return acl.authenticate(_acl_requests(spark, sf_dir), _accounts(spark, sf_dir))
+
+
+@query("resp_bulk", "SELECT doc_id, '$' || CAST(strlen(text) AS VARCHAR) || chr(13) || chr(10) || text || chr(13) || chr(10) AS resp FROM documents")
+def resp_bulk(spark, sf_dir):
+    return table(prepare(spark), sf_dir, "documents").select("doc_id", resp.bulk(F.col("text")).alias("resp"))
+
+
+@query("resp_array", f"WITH {LOG}, {ASKED}, j AS (SELECT request_id, pos, live.value AS v FROM asked LEFT JOIN live ON asked.key = live.key) SELECT request_id, '*5' || chr(13) || chr(10) || string_agg(CASE WHEN v IS NULL THEN '$-1' || chr(13) || chr(10) ELSE '$' || CAST(strlen(v) AS VARCHAR) || chr(13) || chr(10) || v || chr(13) || chr(10) END, '' ORDER BY pos) AS resp FROM j GROUP BY request_id")
+def resp_array(spark, sf_dir):
+    return lookup.mget(view(spark, sf_dir), key_requests(spark, sf_dir)).select("request_id", resp.array(F.col("values")).alias("resp"))
+
+
+@query("resp_decode", "SELECT event_id, event_type AS name, 'user:' || CAST(user_id AS VARCHAR) AS key, props AS value FROM events")
+def resp_decode(spark, sf_dir):
+    e = table(prepare(spark), sf_dir, "events")
+    raw = e.select(F.col("event_id").cast("string").alias("session_id"), resp.array(F.array("event_type", F.concat(F.lit("user:"), F.col("user_id").cast("string")), "props")).cast("binary").alias("bytes"))
+    return resp.decode(raw).select(F.col("session_id").cast("bigint").alias("event_id"), F.col("argv")[0].alias("name"), F.col("argv")[1].alias("key"), F.col("argv")[2].alias("value"))
+
+
+@query("peak_connections", "WITH s AS (SELECT event_id, CASE WHEN event_type IN ('signup', 'view') THEN 1 WHEN event_type IN ('error', 'purchase') THEN -1 ELSE 0 END AS step FROM events), o AS (SELECT sum(step) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS open FROM s) SELECT CAST(max(open) AS BIGINT) AS peak FROM o")
+def peak_connections(spark, sf_dir):
+    e = table(prepare(spark), sf_dir, "events")
+    step = F.when(F.col("event_type").isin("signup", "view"), 1).when(F.col("event_type").isin("error", "purchase"), -1).otherwise(0)
+    return stats.peak_connections(e.select(F.floor(F.col("event_id") / 1000).alias("day"), F.col("event_id").alias("seq"), step.alias("step")))
+
+
+@query("memtable_bytes", f"WITH {LOG} SELECT CAST(sum(2 * length(key) + coalesce(2 * length(value), 0) + 8) AS BIGINT) AS memtable_bytes FROM muts")
+def memtable_bytes(spark, sf_dir):
+    return stats.memtable_bytes(mutations(spark, sf_dir))
+
+
+@query("bloom_sizing", "SELECT p_partkey, CAST(ceil(-p_partkey * ln(0.01) / power(ln(2.0), 2)) AS BIGINT) AS bits, CAST(greatest(1, ceil(ceil(-p_partkey * ln(0.01) / power(ln(2.0), 2)) / p_partkey * ln(2.0))) AS BIGINT) AS hashes FROM part WHERE p_partkey > 0")
+def bloom_sizing(spark, sf_dir):
+    p = table(prepare(spark), sf_dir, "part").filter("p_partkey > 0").select("p_partkey", text.bloom_bits(F.col("p_partkey")).alias("bits"))
+    return p.select("p_partkey", "bits", text.bloom_hashes(F.col("p_partkey"), F.col("bits")).alias("hashes"))
+
+
+@query("filename_codec", r"WITH f AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'sst-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || '.db' WHEN 1 THEN 'L' || CAST(p_size AS VARCHAR) || '-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || '.db' WHEN 2 THEN 'wal.log' ELSE 'L2-x.db' END AS name FROM part) SELECT p_partkey, name, CASE WHEN regexp_full_match(name, '(sst-|L[0-9]+-)[0-9]+\.db') THEN CAST(regexp_extract(name, '-([0-9]+)\.db', 1) AS BIGINT) ELSE -1 END AS seq, CASE WHEN regexp_full_match(name, 'sst-[0-9]+\.db') THEN 0 WHEN regexp_full_match(name, 'L[0-9]+-[0-9]+\.db') THEN CAST(regexp_extract(name, 'L([0-9]+)-', 1) AS BIGINT) ELSE -1 END AS level FROM f")
+def filename_codec(spark, sf_dir):
+    k, z = F.col("p_partkey"), F.col("p_size")
+    name = F.when(k % 4 == 0, F.format_string("sst-%06d.db", k)).when(k % 4 == 1, text.file_name(z, k)).when(k % 4 == 2, F.lit("wal.log")).otherwise(F.lit("L2-x.db"))
+    return table(prepare(spark), sf_dir, "part").select("p_partkey", name.alias("name")).select("p_partkey", "name", text.file_sequence(F.col("name")).alias("seq"), text.file_level(F.col("name")).alias("level"))
+
+
+@query("dbsize_asof", f"WITH {LOG}, {VERSIONS}, q AS (SELECT seq, ts_ms FROM cmds WHERE seq % 500 = 0) SELECT q.seq AS seq, CAST(count(vers.key) AS BIGINT) AS dbsize FROM q LEFT JOIN vers ON vers.op <> 'DEL' AND seq_from < q.seq AND q.seq <= seq_to AND vers.expires_at_ms > q.ts_ms GROUP BY q.seq")
+def dbsize_asof(spark, sf_dir):
+    points = command_rows(spark, sf_dir).filter("seq % 500 = 0").select("seq", "ts_ms")
+    return sizes.dbsize_at(resolve.versions(mutations(spark, sf_dir)), points)
+
+
+@query("scan_asof", f"WITH {LOG}, {VERSIONS}, q AS (SELECT seq, ts_ms, 'user:' || lpad(CAST(user_id % 900 AS VARCHAR), 6, '0') AS lo, 'user:' || lpad(CAST(user_id % 900 + 40 AS VARCHAR), 6, '0') AS hi FROM cmds WHERE seq % 200 = 0) SELECT q.seq AS seq, vers.key AS key, vers.value AS value FROM q JOIN vers ON vers.key >= q.lo AND vers.key < q.hi AND vers.op <> 'DEL' AND seq_from < q.seq AND q.seq <= seq_to AND vers.expires_at_ms > q.ts_ms")
+def scan_asof(spark, sf_dir):
+    e = command_rows(spark, sf_dir).filter("seq % 200 = 0")
+    who = F.substring("key", -6, 6).cast("bigint") % 900
+    return sizes.scan_at(resolve.versions(mutations(spark, sf_dir)), e.select("seq", "ts_ms", user_key(who).alias("lo"), user_key(who + 40).alias("hi")))
+
+
+def fixture_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as argument lists, with reads of the same user after each command."""
+    c = command_rows(spark, sf_dir)
+    wrote = (
+        F.when(F.col("cmd") == "DEL", F.array(F.lit("DEL"), "key"))
+        .when(F.col("cmd") == "PEXPIRE", F.array(F.lit("PEXPIRE"), "key", F.col("ttl_ms").cast("string")))
+        .when(F.col("cmd") == "INCRBY", F.array(F.lit("INCRBY"), "key", F.lit("1")))
+        .when(F.col("ttl_ms").isNull(), F.array(F.lit("SET"), "key", "value"))
+        .otherwise(F.array(F.lit("SET"), "key", "value", F.lit("PX"), F.col("ttl_ms").cast("string")))
+    )
+    both = F.array(wrote, F.array(F.lit("PTTL"), "key"))
+    rows = c.select(F.concat(F.lit("s"), (F.col("seq") % 64).cast("string")).alias("session_id"), "seq", "ts_ms", F.posexplode(both).alias("i", "argv"))
+    return rows.select("session_id", (F.col("seq") * 2 + F.col("i")).alias("seq"), "ts_ms", "argv")
+
+
+@query("command_replies")
+def command_replies(spark, sf_dir):
+    replies, _ = interpreter.interpret(fixture_commands(spark, sf_dir))
+    return replies.select("session_id", "seq", "type", "text", "num", "resp")
+
+
+@query("command_expire_replies", None)
+def command_expire_replies(spark, sf_dir):
+    replies, _ = interpreter.interpret(fixture_commands(spark, sf_dir))
+    asked = fixture_commands(spark, sf_dir).filter("argv[0] = 'PEXPIRE'")
+    return asked.join(replies, ["session_id", "seq"]).select(F.floor(F.col("seq") / 2).alias("seq"), F.col("argv")[1].alias("key"), F.col("num").cast("int").alias("result"))
+
+
+# the interpreter's EXPIRE replies equal the window form, so its SQL serves both
+ORACLE_SQL["command_expire_replies"] = ORACLE_SQL["expire_chain"]
+
+_CONV = "WITH m AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)"
+
+
+@query("conversation_latest", f"{_CONV} SELECT 'conv:' || lpad(CAST(conv_id AS VARCHAR), 8, '0') AS key, text AS value FROM m WHERE rn = 1")
+def conversation_latest(spark, sf_dir):
+    c = table(prepare(spark), sf_dir, "conversations")
+    log = c.select(F.col("turn").alias("seq"), F.lit(0).cast("bigint").alias("ts_ms"), F.lit("PUT").alias("op"), F.concat(F.lit("conv:"), F.lpad(F.col("conv_id").cast("string"), 8, "0")).alias("key"), F.col("text").alias("value"), F.lit(NEVER).alias("expires_at_ms"))
+    return resolve.live(log, NOW).select("key", "value")
+
+
+@query("info_figures", "SELECT CAST(count(*) AS BIGINT) AS total_commands_processed, CAST(count(DISTINCT event_id % 64) AS BIGINT) AS total_connections_received FROM events WHERE event_type IN ('signup', 'view', 'error', 'purchase', 'click')")
+def info_figures(spark, sf_dir):
+    c = command_rows(spark, sf_dir).withColumn("session_id", F.col("seq") % 64)
+    return stats.storage_figures(c, mutations(spark, sf_dir)).select("total_commands_processed", "total_connections_received")
+
+
+@query("lineitem_counters", "SELECT 'part:' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS key, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total FROM lineitem GROUP BY l_partkey")
+def lineitem_counters(spark, sf_dir):
+    li = table(prepare(spark), sf_dir, "lineitem")
+    return counters.totals(li.select(F.concat(F.lit("part:"), F.lpad(F.col("l_partkey").cast("string"), 8, "0")).alias("key"), F.col("l_quantity").cast("bigint").alias("delta")))
+
+
+@query("order_latest", "WITH m AS (SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders) SELECT 'cust:' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS key, o_orderpriority AS value, o_orderkey AS seq FROM m WHERE rn = 1")
+def order_latest(spark, sf_dir):
+    o = table(prepare(spark), sf_dir, "orders")
+    log = o.select(F.col("o_orderkey").alias("seq"), F.lit(0).cast("bigint").alias("ts_ms"), F.lit("PUT").alias("op"), F.concat(F.lit("cust:"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")).alias("key"), F.col("o_orderpriority").alias("value"), F.lit(NEVER).alias("expires_at_ms"))
+    return resolve.latest_per_key(log).select("key", "value", "seq")
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"live_view": live_view}
-ORACLE_SQL: dict[str, str] = {"live_view": f"WITH {LOG} SELECT key, value, expires_at_ms FROM live"}
