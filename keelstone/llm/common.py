@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018  (not in every C library)
+except (OSError, AttributeError):
+    _LIBC = None
 
 #: Bytes of text that one step of a Python worker holds as Python objects.
 SLICE_BYTES = 4 << 20
@@ -39,7 +47,35 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return batch.column(column).to_pylist()
+
+
+def with_text(df: DataFrame, text_col: str, change: Callable[[pa.RecordBatch, list[str | None]], pa.RecordBatch], extra: str = "") -> DataFrame:
+    """All columns of ``df`` through ``change(rows, their texts)``, some megabytes of text at a time; no shuffle.
+
+    ``change`` may drop rows, replace columns, and append the columns that the DDL ``extra`` names.
+    """
+    schema = df.schema
+    for field in StructType.fromDDL(extra).fields if extra else ():
+        schema = StructType([*schema.fields, field])
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # places instead of names, as names may repeat
+            plain = pa.RecordBatch.from_arrays(batch.columns, names=[str(i) for i in range(batch.num_columns)])
+            for part in slices([plain], str(at)):
+                yield change(part, part.column(at).to_pylist())
+
+    return df.mapInArrow(run, schema)

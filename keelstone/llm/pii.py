@@ -12,12 +12,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, quoted, slices, texts
+from .common import id_text, quoted, slices, texts, with_text
 
 #: Kinds in the order of output; the patterns' parts.
 BASE = ("email", "ip", "card", "phone")
@@ -417,16 +416,15 @@ def redact(docs: DataFrame, field: Field | None = None, text_col: str = "text",
     """
     field = field or trained()
 
-    @F.pandas_udf("string")
-    def cleaned(rows: pd.Series) -> pd.Series:
-        tag, out = tagger(field), []
-        for i in range(0, len(rows), 256):
-            some = [t or "" for t in rows.iloc[i : i + 256]]
-            out += [redacted(t, every) for t, (_, every) in zip(some, all_spans(some, tag), strict=True)]
-        return pd.Series(out, dtype=object)
+    at = docs.columns.index(text_col)
 
-    text = F.col(quoted(text_col))
-    out = docs.withColumn(text_col, F.when(text.isNotNull(), cleaned(text.cast("string"))))
+    def clean(part: pa.RecordBatch, rows: list[str | None]) -> pa.RecordBatch:
+        found = all_spans([t or "" for t in rows], tagger(field))
+        new = [None if t is None else redacted(t, every) for t, (_, every) in zip(rows, found, strict=True)]
+        return part.set_column(at, str(at), pa.array(new, part.schema.field(at).type))
+
+    out = with_text(docs, text_col, clean)
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.length(text).cast(docs.schema[length_col].dataType))
-    return out.select(*[F.col(quoted(c)) for c in docs.columns])
+        length = F.length(F.col(quoted(text_col))).cast(docs.schema[length_col].dataType)
+        out = out.withColumn(length_col, F.when(F.col(quoted(text_col)).isNull(), F.col(quoted(length_col))).otherwise(length))
+    return out

@@ -12,12 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, quoted, slices, texts
+from .common import id_text, quoted, slices, texts, with_text
 
 #: Rows that a fit collects at most, taken by the hash of the id: a documented bound of a learned model's sample.
 FIT_ROWS = 20_000
@@ -178,9 +177,7 @@ def score(docs: DataFrame, forest: Forest, held: int = 2, parts: int = 4, thresh
 def accepted(docs: DataFrame, forest: Forest, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores ``threshold`` or more; a null text scores as the empty text."""
 
-    @F.pandas_udf("double")
-    def scored(rows: pd.Series) -> pd.Series:
-        out = [forest.predict(features([t or "" for t in rows.iloc[i : i + 256]])) for i in range(0, len(rows), 256)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    def keep(part: pa.RecordBatch, rows: list[str | None]) -> pa.RecordBatch:
+        return part.filter(pa.array(forest.predict(features([t or "" for t in rows])) >= threshold))
 
-    return docs.filter(scored(F.col(quoted(text_col)).cast("string")) >= threshold)
+    return with_text(docs, text_col, keep)

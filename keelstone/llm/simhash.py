@@ -13,14 +13,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..session import stored
-from .common import id_text, quoted, slices, texts
+from .common import id_text, quoted, slices, texts, with_text
 from .graph import components
 
 #: Rows of whole groups that a task joins at once; node pairs that it holds at once.
@@ -250,16 +249,16 @@ def keep_one(docs: DataFrame, budget: int = 4, shingle: int = 4, id_col: str = "
 
     The row with the smallest id stays (of rows that repeat an id, one); null ids only where a group has no other.
     """
-    doc, text = F.col(quoted(id_col)).cast("bigint"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+    doc, text = F.col(quoted(id_col)).cast("bigint"), F.col(quoted(text_col))
 
-    @F.pandas_udf("bigint")
-    def printed(rows: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in rows], np.uint64).view(np.int64))
+    def stamp(part: pa.RecordBatch, rows: list[str | None]) -> pa.RecordBatch:
+        fp = np.array([fingerprint(t or "", shingle) for t in rows], np.uint64).view(np.int64)
+        return part.append_column("fp", pa.array(fp))
 
-    prints = stored(docs.select(doc.alias("doc_id"), printed(text).alias("fp")), "fingerprints")
+    prints = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     best = rooted(prints, budget).groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("_b")).select(F.col("_b.first").alias("_first"), F.col("_b.fp").alias("_best"))
     # the fingerprint is computed once more, so that texts are shuffled once, to the rows that may stay
-    mine = docs.withColumn("_fp", printed(text))
+    mine = with_text(docs, text_col, stamp, "_fp bigint")
     kept = mine.join(best, (F.col("_fp") == F.col("_best")) & doc.eqNullSafe(F.col("_first")))
     one = Window.partitionBy("_best", "_first").orderBy(text)  # equal keys: rows that repeat an id
     return kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*[F.col(quoted(c)) for c in docs.columns])
