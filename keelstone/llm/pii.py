@@ -20,7 +20,7 @@ from .common import id_text, quoted, slices, texts, with_text
 
 #: Kinds in the order of output; the patterns' parts.
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("email", "phone", "id", "name")
+ADDED = ("email", "card", "phone", "id", "name")
 KINDS = (*BASE, "id", "name")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -82,7 +82,7 @@ def shape(word: str) -> str:
 def observe(word: str) -> tuple[str, ...]:
     """The features of one word."""
     bare = word.strip(".,;:!?\"'")
-    found = ["shape=" + shape(bare), f"digits={min(sum(c.isdigit() for c in word), 12)}"]
+    found = ["shape=" + shape(bare), f"digits={min(sum(c.isdigit() for c in word), 20)}"]
     if cue := CUES.get(word.lower().rstrip(",;")):
         found.append("cue=" + cue)
     if "@" in bare[1:-1]:
@@ -92,7 +92,7 @@ def observe(word: str) -> tuple[str, ...]:
     return tuple(found)
 
 
-def labelled_lines(lines: int = 320, seed: int = 5) -> list[list[tuple[str, str]]]:
+def labelled_lines(lines: int = 420, seed: int = 5) -> list[list[tuple[str, str]]]:
     """The labelled table: lines of (word, label) with and without personal data, made from a seed."""
     rng = random.Random(seed)
     syllables = ["er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "que", "ion", "mento", "sch", "ung", "keit", "los", "ado", "eau", "tre"]
@@ -104,7 +104,7 @@ def labelled_lines(lines: int = 320, seed: int = 5) -> list[list[tuple[str, str]
         return w + rng.choice([""] * 8 + [",", ".", "!!", "***", ";", ":"])
 
     def plain() -> str:
-        other = [d(rng.randint(1, 6)), d(1) + "." + d(1), f"{d(2)}:{d(2)}", f"20{d(2)}-{d(2)}-{d(2)}", f"{d(4)}-{d(4)}", f"{d(2)}/{d(2)}/{d(4)}", f"${d(3)}.{d(2)}", f"#{d(5)}", "|", "=", d(9), d(12), f"v{d(1)}.{d(2)}", '"' + d(3) + "ab" + d(2) + '"', "a@b", f"{d(3)}-{d(3)}", f"({d(2)})", f"{d(3)}-{d(2)}", f"{d(1)}-{d(3)}-{d(5)}"]
+        other = [d(rng.randint(1, 6)), d(1) + "." + d(1), f"{d(2)}:{d(2)}", f"20{d(2)}-{d(2)}-{d(2)}", f"{d(4)}-{d(4)}", f"{d(2)}/{d(2)}/{d(4)}", f"${d(3)}.{d(2)}", f"#{d(5)}", "|", "=", d(9), d(12), d(20), f"{d(3)}.{d(2)}.{d(3)}.{d(2)}", f"{d(1)}.{d(2)}.{d(3)}.{d(3)}", f"v{d(1)}.{d(2)}", '"' + d(3) + "ab" + d(2) + '"', "a@b", f"{d(3)}-{d(3)}", f"({d(2)})", f"{d(3)}-{d(2)}", f"{d(1)}-{d(3)}-{d(5)}"]
         return rng.choice([word()] * 8 + [rng.choice(other)])
 
     def name() -> str:
@@ -113,6 +113,11 @@ def labelled_lines(lines: int = 320, seed: int = 5) -> list[list[tuple[str, str]
     def entity(kind: str) -> list[str]:
         if kind == "phone":
             return rng.choice([[f"{d(3)}-{d(3)}-{d(4)}"], [f"({d(3)})", f"{d(3)}-{d(4)}"], [f"+{d(1)}", f"({d(3)})", f"{d(3)}-{d(4)}"], [f"{d(3)}.{d(3)}.{d(4)}"]])
+        if kind == "card":
+            body = rng.choice("3456") + d(14)
+            body += str(next(c for c in range(10) if luhn(body + str(c))))
+            groups = [body[i : i + 4] for i in range(0, 16, 4)]
+            return rng.choice([[body], [body], groups, ["-".join(groups)]])
         if kind == "id":
             return [f"{d(3)}-{d(2)}-{d(4)}"]
         if kind == "name":
@@ -126,12 +131,16 @@ def labelled_lines(lines: int = 320, seed: int = 5) -> list[list[tuple[str, str]
         line = [(plain(), "O") for _ in range(rng.randint(2, 7))]
         for _ in range(rng.choice([0, 0, 1, 1, 2])):
             kind = rng.choice(ADDED)
-            cue = {"name": ["Mr.", "Mrs.", "Dr.", "Ms.", "Prof."], "phone": ["call", "phone:", "tel", "Tel.", "mobile"], "id": ["SSN", "ssn:", "passport"], "email": ["mail"]}[kind]
+            cue = {"name": ["Mr.", "Mrs.", "Dr.", "Ms.", "Prof."], "phone": ["call", "phone:", "tel", "Tel.", "mobile"], "id": ["SSN", "ssn:", "passport"], "email": ["mail"], "card": ["card", "visa"]}[kind]
             if kind == "name" or rng.random() < 0.6:
                 line.append((rng.choice(cue), "O"))
             words = entity(kind)
             words[-1] += rng.choice(["", "", ",", "."])
             line += [(w, ("B-" if i == 0 else "I-") + kind) for i, w in enumerate(words)]
+            if rng.random() < 0.2:  # two kinds side by side: the patterns run them together
+                beside = rng.choice(["phone", "card", "phone", "id"])
+                more = entity(beside)
+                line += [(w, ("B-" if i == 0 else "I-") + beside) for i, w in enumerate(more)]
             # what follows a name in lower case ends it; capitals after a stop do too
             line += [(word().lower(), "O")] + [(plain(), "O") for _ in range(rng.randint(0, 4))]
         out.append(line)
@@ -354,6 +363,14 @@ def tagger(field: Field) -> Tagger:
     return _TAGGERS[key]
 
 
+def sound(kind: int, found: str) -> bool:
+    """The exact check after the field: digits of a card (with its check digit) and of a phone number."""
+    digits = "".join(_DIGITS.findall(found))
+    if KINDS[kind] == "card":
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    return KINDS[kind] != "phone" or 7 <= len(digits) <= 15
+
+
 def all_spans(batch: list[str], tag: Tagger) -> list[tuple[list, list]]:
     """Base spans and all spans of each text; what the field adds never overlaps a base span or another added one."""
     out = []
@@ -361,7 +378,7 @@ def all_spans(batch: list[str], tag: Tagger) -> list[tuple[list, list]]:
         base = base_spans(text)
         kept, free = list(base), 0
         for a, kind, b in sorted(extra):
-            if a >= free and not any(x < b and a < y for x, _, y in base):
+            if a >= free and sound(kind, text[a:b]) and not any(x < b and a < y for x, _, y in base):
                 kept.append((a, kind, b))
                 free = b
         out.append((base, sorted(kept)))
