@@ -298,10 +298,10 @@ def interpret(commands: DataFrame, users: DataFrame | None = None, before: DataF
     heard = pubsub.publish_counts(messages, pubsub.intervals(changes))
     published = messages.join(heard, "msg_id").select("session_id", "seq", F.lit(":").alias("type"), none.alias("text"), F.col("receivers").cast("bigint").alias("num"), F.lit(None).cast("array<string>").alias("items"))
 
-    # LASTSAVE: the newest save before it; saves write the whole store, so they are few
-    saves = planned.filter("(cmd = 'SAVE' AND type = '+') OR (cmd = 'BGSAVE' AND type = '+')").select(F.col("seq").alias("s"), F.floor(F.col("ts_ms") / 1000).alias("at"))
+    # LASTSAVE: the newest save before it
+    saves = planned.filter("cmd IN ('SAVE', 'BGSAVE') AND type = '+'").select("seq", F.floor(F.col("ts_ms") / 1000).alias("at"))
     asked = open_rows.filter("cmd = 'LASTSAVE'").select("session_id", "seq")
-    newest = asked.join(saves, F.col("s") < F.col("seq")).groupBy("seq").agg(F.max_by("at", "s").alias("at"))
+    newest = last_before(asked.select("seq"), saves)
     lastsave = asked.join(newest, "seq", "left").select("session_id", "seq", F.lit(":").alias("type"), none.alias("text"), F.coalesce("at", F.lit(0)).cast("bigint").alias("num"), F.lit(None).cast("array<string>").alias("items"))
     told = open_rows.filter("cmd = 'INFO'").select("session_id", "seq", F.lit("$").alias("type"), F.lit(info or "").alias("text"), F.lit(None).cast("bigint").alias("num"), F.lit(None).cast("array<string>").alias("items"))
 
@@ -312,6 +312,22 @@ def interpret(commands: DataFrame, users: DataFrame | None = None, before: DataF
     return out, log
 
 
+def last_before(points: DataFrame, events: DataFrame, span: int = 100_000) -> DataFrame:
+    """``seq, at`` of each point: the value of the newest of ``events (seq, at)`` before it, null if there is none.
+
+    Ranges of ``span`` sequence numbers are walked apart; what a range starts with comes from a table of one
+    row for each range, so no task sees all rows.
+    """
+    rows = points.select("seq", F.lit(None).cast("bigint").alias("at"), F.lit(True).alias("ask"))
+    rows = rows.unionByName(events.select("seq", F.col("at").cast("bigint").alias("at"), F.lit(False).alias("ask"))).withColumn("_range", F.floor(F.col("seq") / span))
+    ends = rows.filter("NOT ask").groupBy("_range").agg(F.max_by("at", "seq").alias("_end"))
+    ranges = rows.select("_range").distinct().join(ends, "_range", "left")
+    carried = ranges.select("_range", F.last("_end", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_start"))
+    within = Window.partitionBy("_range").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.join(carried, "_range").withColumn("at", F.coalesce(F.last("at", ignorenulls=True).over(within), F.col("_start")))
+    return seen.filter("ask").select("seq", "at")
+
+
 def state_after(log: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """The newest entry of each key after a log, deletes included: ``key, value, expires_at_ms, op``."""
     rows = log.select(F.struct("seq", "pos").alias("seq"), "op", "key", "value", "expires_at_ms")

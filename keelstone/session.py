@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,16 +34,26 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"/tmp/keelstone-checkpoints-{os.getpid()}"
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/keelstone-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path under :func:`shared_dir` that no other call gets."""
-    import uuid
+    """A path in this application's part of :func:`shared_dir` that no other call gets."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
 
-    return f"{shared_dir(spark).rstrip('/')}/keelstone/{name}-{uuid.uuid4().hex}"
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables that this application has stored; results that still read them must be written before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

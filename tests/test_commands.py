@@ -72,3 +72,10 @@ def test_random_logs_equal_the_model(spark, seed):
     now = 1_000_000 + 1000 * len(rows)
     left = {r["key"]: (r["value"], r["expires_at_ms"]) for r in commands.state_after(log).filter("op <> 'DEL'").collect() if r["expires_at_ms"] > now}
     assert left == {k: v for k, v in model.d.items() if v[1] > now}
+
+
+def test_last_before(spark):
+    points = spark.createDataFrame([(i,) for i in (1, 5, 12, 25, 40, 99)], "seq bigint")
+    events = spark.createDataFrame([(2, 20), (11, 110), (24, 240), (41, 410)], "seq bigint, at bigint")
+    got = {r["seq"]: r["at"] for r in commands.last_before(points, events, span=10).collect()}
+    assert got == {1: None, 5: 20, 12: 110, 25: 240, 40: 240, 99: 410}
