@@ -130,7 +130,7 @@ class TrieEncoder:
                 self.ids[self.token_bytes[i]] = i
         for token, i in self.special.items():
             self.token_bytes[i] = token.encode()
-        self.longest = max(map(len, self.ids))
+        self.begins = {t[:n] for t in self.ids for n in range(1, len(t) + 1)}
         self.words = regex.compile(WORDS)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, tuple[int, ...]] = {t: (i,) for t, i in self.special.items()}
@@ -141,19 +141,30 @@ class TrieEncoder:
         Sorted order is the depth-first order of the words' trie; ``last`` holds the last token of each node
         from the root to the present one, so going to the next word keeps the states of the shared prefix.
         """
-        ids, longest, fits, size = self.ids, self.longest, self.merges.fits, self.token_bytes
-        last, before = [-1], b""
+        ids, begins, fits, size = self.ids.get, self.begins, self.merges.fits, self.token_bytes
+        verdict = self.merges.verdicts.get
+        # first: of each node, where the longest end of it that begins a token starts; tokens that end below do not start earlier
+        last, first, before = [-1], [0], b""
         for word in words:
             shared, n = 0, min(len(before), len(word))
             while shared < n and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], first[shared + 1 :]
+            low = first[-1]
             for depth in range(shared + 1, len(word) + 1):
-                for start in range(max(0, depth - longest), depth):
-                    token = ids.get(word[start:depth])
-                    if token is not None and (not start or fits(last[start], token)):
-                        last.append(token)
-                        break
+                while word[low:depth] not in begins:
+                    low += 1
+                first.append(low)
+                for start in range(low, depth):
+                    token = ids(word[start:depth])
+                    if token is None:
+                        continue
+                    if start:
+                        known = verdict(last[start] << 20 | token)
+                        if not (fits(last[start], token) if known is None else known):
+                            continue
+                    last.append(token)
+                    break
             out, depth = [], len(word)
             while depth:
                 out.append(token := last[depth])
