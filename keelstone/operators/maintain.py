@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from threading import Lock
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..functions.text import entry_bytes
 from ..schema import DEL, MUTATIONS
 from .resolve import latest_per_key, live, not_expired
 
@@ -57,6 +61,39 @@ def level_bytes(files: DataFrame) -> DataFrame:
     return total.withColumn("due", F.when(F.col("level") == 0, F.col("files") >= LEVEL0_FILES).otherwise(F.col("bytes") > limit))
 
 
+def pick(files: DataFrame) -> DataFrame:
+    """The files ``name, level, seq, bytes`` that the next compaction of each due level takes: all of level 0, else the oldest."""
+    due = level_bytes(files).filter("due").select("level")
+    oldest = files.groupBy("level").agg(F.min("seq").alias("_oldest"))  # one row a level
+    chosen = files.join(due, "level").join(oldest, "level").filter((F.col("level") == 0) | (F.col("seq") == F.col("_oldest")))
+    return chosen.select("name", "level", "seq", "bytes")
+
+
+def output_chunks(rows: DataFrame, limit: int = OUTPUT_BYTES, run: str = "run") -> DataFrame:
+    """Add ``chunk``: a run's rows in key order, cut once a chunk has reached ``limit`` accounted bytes.
+
+    The count starts again after each cut, which no window frame can say, so each run is walked in order.
+    """
+    sized = rows.withColumn("_bytes", entry_bytes(F.col("key"), F.col("value")))
+    schema = StructType([*rows.schema.fields, StructField("chunk", IntegerType())])
+    width = len(rows.columns)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, chunk, held = None, 0, 0
+        for batch in batches:
+            out = []
+            for name, n in zip(batch.column(run).to_pylist(), batch.column("_bytes").to_pylist(), strict=True):
+                if name != now:
+                    now, chunk, held = name, 0, 0
+                elif held >= limit:
+                    chunk, held = chunk + 1, 0
+                held += n
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(out, pa.int32())], names=[*batch.schema.names[:width], "chunk"])
+
+    return sized.repartition(run).sortWithinPartitions(run, "key").mapInArrow(walk, schema)
+
+
 def snapshot(mutations: DataFrame, folder: str, now_ms: int, upto_seq: int | None = None) -> str:
     """Write the live view as ``snapshot-<13-digit ms>.db`` and return its path; ``upto_seq`` fixes the point in the log."""
     log = mutations if upto_seq is None else mutations.filter(F.col("seq") <= upto_seq)

@@ -160,3 +160,15 @@ def test_null_requests(spark):
     asked = spark.createDataFrame([(1, ["a", "b", "a", None])], "request_id bigint, keys array<string>")
     assert lookup.mget(df, asked).first()["values"] == ["1", None, "1", None]
     assert lookup.exists_count(df, asked).first()["n_exists"] == 2 and lookup.del_count(df, asked).first()["n_deleted"] == 1
+
+
+def test_output_chunks(spark):
+    rows = [("r" + str(i % 2), f"k{i:03d}", "v" * (i * 7 % 40)) for i in range(120)]
+    got = {(r["run"], r["key"]): r["chunk"] for r in maintain.output_chunks(spark.createDataFrame(rows, "run string, key string, value string"), limit=300).collect()}
+    for run in ("r0", "r1"):
+        chunk = held = 0
+        for _, key, value in sorted(r for r in rows if r[0] == run):
+            if held >= 300:
+                chunk, held = chunk + 1, 0
+            held += 2 * len(key) + 2 * len(value) + 8
+            assert got[run, key] == chunk
