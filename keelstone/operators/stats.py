@@ -31,13 +31,16 @@ def peak_connections(events: DataFrame) -> DataFrame:
     return daily.withColumn("start", F.coalesce(F.sum("net").over(before), F.lit(0))).agg(F.max(F.col("start") + F.col("top")).cast("bigint").alias("peak"))
 
 
-def info_text(f: dict) -> str:
-    """The five sections of INFO; missing figures are 0. ``max_connections`` 0 means unlimited."""
+def info_text(f: dict, product: str = "keelstone") -> str:
+    """The five sections of INFO; missing figures are 0. ``max_connections`` 0 means unlimited.
+
+    ``product`` begins the name of the version field, so clients of another server can be given theirs.
+    """
     g = lambda k: f.get(k, 0)
     hits, misses = g("block_cache_hits"), g("block_cache_misses")
     rate = hits / (hits + misses) if hits + misses else 0.0
     sections = {
-        "server": [f"kvstore_version:{f.get('kvstore_version', '0.1.0')}", f"uptime_in_seconds:{g('uptime_in_seconds')}", f"process_id:{g('process_id')}"],
+        "server": [f"{product}_version:{f.get('version', '0.1.0')}", f"uptime_in_seconds:{g('uptime_in_seconds')}", f"process_id:{g('process_id')}"],
         "stats": [f"{k}:{g(k)}" for k in ("total_commands_processed", "total_connections_received", "connected_clients", "rejected_connections", "peak_concurrent_connections")],
         "storage": [f"{k}:{g(k)}" for k in ("memtable_bytes", "sstable_count", "sstable_total_bytes", "last_snapshot_epoch_sec", "dbsize_approx")],
         "cache": [f"block_cache_size:{g('block_cache_size')}", f"block_cache_capacity:{f.get('block_cache_capacity', 1024)}", f"block_cache_hits:{hits}", f"block_cache_misses:{misses}", f"block_cache_hit_rate:{rate:.4f}"],

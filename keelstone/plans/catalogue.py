@@ -348,7 +348,14 @@ def publish_counts(spark, sf_dir):
     return pubsub.publish_counts(_messages(spark, sf_dir), _subscriptions(spark))
 
 
-@query("publish_frames")
+def _bulk(x: str) -> str:
+    return f"'$' || CAST(strlen({x}) AS VARCHAR) || chr(13) || chr(10) || {x} || chr(13) || chr(10)"
+
+
+_FRAME = " || ".join(_bulk(x) for x in ("m.channel", "m.props"))
+
+
+@query("publish_frames", f"{_MET}, r AS (SELECT *, row_number() OVER (PARTITION BY msg_id, conn ORDER BY kind, target) AS rn FROM met) SELECT r.msg_id AS msg_id, r.conn AS conn, CASE WHEN r.kind = 'channel' THEN '*3' || chr(13) || chr(10) || {_bulk("'message'")} || {_FRAME} ELSE '*4' || chr(13) || chr(10) || {_bulk("'pmessage'")} || {_bulk('r.target')} || {_FRAME} END AS frame FROM r JOIN m ON r.msg_id = m.msg_id WHERE rn = 1")
 def publish_frames(spark, sf_dir):
     return pubsub.frames(_messages(spark, sf_dir), _subscriptions(spark))
 

@@ -172,3 +172,10 @@ def test_output_chunks(spark):
                 chunk, held = chunk + 1, 0
             held += 2 * len(key) + 2 * len(value) + 8
             assert got[run, key] == chunk
+
+
+def test_checksums(spark):
+    rows = [(0, b"abc", 891568578), (1, b"abd", 891568578), (2, b"", 0)]
+    df = wal.checked(spark.createDataFrame([("f", *r) for r in rows], "file string, offset bigint, payload binary, stored_crc bigint"))
+    assert {r["offset"]: r["bad"] for r in df.collect()} == {0: False, 1: True, 2: False}
+    assert [r["offset"] for r in wal.valid_prefix(df).collect()] == [0]
