@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,8 +23,8 @@ from .common import id_text, slices, texts
 
 #: Samples in a fingerprint (the likeness has a standard error of at most 0.063); terms whose draws a worker keeps.
 SAMPLES, KEPT = 64, 150_000
-#: Words longer than this are taken apart into runs of five characters, for scripts without spaces.
-LONG_WORD, RUN = 40, 5
+#: Words longer than this are cut where two neighbouring characters say so, every 16 characters or so: for scripts without spaces.
+LONG_WORD, CUT = 40, 16
 #: Rows in a bucket of neighbouring documents, and buckets at most (the driver holds two numbers for each).
 BUCKET_ROWS, BUCKETS = 4096, 10_000
 
@@ -35,8 +35,11 @@ def terms(text: str) -> Counter:
     found = Counter(words)
     for w in [w for w in found if len(w) > LONG_WORD]:
         n = found.pop(w)
-        for i in range(len(w) - RUN + 1):
-            found[w[i : i + RUN]] += n
+        code = np.frombuffer(w.encode("utf-32-le", "replace"), np.uint32)
+        marks = ((code[:-1] * np.uint32(31) + code[1:]) * np.uint32(2654435761)) >> np.uint32(28)
+        ends = [*(np.flatnonzero(marks % CUT == 0) + 1).tolist(), len(w)]
+        for a, b in zip([0, *ends], ends, strict=False):
+            found[w[a:b]] += n
     return found
 
 
@@ -112,19 +115,29 @@ class Sampler:
             found = terms(text)
             if not found:
                 continue
-            if self.used + len(found) > self.kept:
-                self.clear()
-            rows = self.rows(found)
             best = np.full(self.samples, np.inf, np.float32)
-            for k in range(0, len(rows), 8192):
-                part = rows[k : k + 8192]
-                v = self.value[part]
+            for v, mark in self.draws(found):
                 low = v.argmin(axis=0)
                 take = v[low, every] < best
                 best = np.where(take, v[low, every], best)
-                out[i] = np.where(take, self.mark[part[low], every], out[i])
+                out[i] = np.where(take, mark(low, every), out[i])
         return out
 
+    def draws(self, found: Counter) -> Iterator[tuple[np.ndarray, Callable]]:
+        """A text's values, some rows at a time, each with the function that gives its marks."""
+        if len(found) > self.kept // 4:  # too many to keep: drawn and dropped
+            keys = list(found.items())
+            for k in range(0, len(keys), 4096):
+                value, mark = self.draw(keys[k : k + 4096])
+                yield value, lambda low, every, mark=mark: mark[low, every]
+            return
+        if self.used + len(found) > self.kept:
+            self.clear()
+        rows = self.rows(found)
+        for k in range(0, len(rows), 8192):
+            part = rows[k : k + 8192]
+            yield self.value[part], lambda low, every, part=part: self.mark[part[low], every]
+
 
 _LOADED: dict[int, Sampler] = {}
 
