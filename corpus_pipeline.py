@@ -37,7 +37,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenise and pack: a row for each piece."""
     prepare(spark)
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.tiktoken"), {"<|endoftext|>": 50256}, capacity=1024, end_id=2)
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), capacity=1024, end_id=2)
 
 
 STAGES = [("quality", quality_stage), ("near_dedup", dedup_stage), ("pii", pii_stage), ("packing", packing_stage)]

@@ -30,13 +30,21 @@ from .common import id_text, slices, texts
 
 #: Contractions that are words of their own.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-#: Code points in a chunk; columns and cells of the transition table before it is dropped and built anew.
-CHUNK, COLUMNS, CELLS = 384, 384, 24_000_000
+#: Code points in a chunk; columns of the transition table; its cells and the states at which the machine is
+#: dropped before the next batch, and those it never exceeds.
+CHUNK, COLUMNS, CELLS, STATES, MOST_CELLS, MOST_STATES = 384, 384, 24_000_000, 200_000, 40_000_000, 280_000
 #: Symbols beyond Unicode: the end of a text (also padding), and a special token's string.
 END, SPECIAL = 0x110000, 0x110001
 EMIT = 128
 
 
+class Full(Exception):
+    """The batch would compile more states than the table may hold."""
+
+
+START = ("start",)
+
+
 class Transducer:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -74,11 +82,13 @@ class Transducer:
         self.table = np.full((1024, self.width), -1, np.int32)
         self.rest: dict[tuple[int, int], int] = {}
         self.kinds: dict[int, str] = {}
-        self.start = self.state(("start",))
+        self.start = self.state(START)
 
     def state(self, name: tuple) -> int:
         found = self.names.get(name)
         if found is None:
+            if len(self.states) >= MOST_STATES or len(self.states) * self.width >= MOST_CELLS:
+                raise Full
             found = self.names[name] = len(self.states)
             self.states.append(name)
             if found >= len(self.table):
@@ -153,20 +163,20 @@ class Transducer:
             total += n
         return total + extra
 
-    def step(self, state: int, cp: int) -> tuple[int, int]:
-        name, kind = self.states[state], self.kind(cp)
-        mode = name[0]
+    def step(self, name: tuple, cp: int) -> tuple[tuple, int]:
+        """The state after a code point, and the tokens emitted."""
+        mode, kind = name[0], self.kind(cp)
         if mode == "quote":  # an apostrophe at a word's start, and the letters of a contraction after it
             seen = name[1] + (chr(cp) if cp < END else " ")
             if seen in CONTRACTIONS:
-                return self.start, self.whole(seen)
+                return START, self.whole(seen)
             if any(c.startswith(seen) for c in CONTRACTIONS):
-                return self.state(("quote", seen)), 0
+                return ("quote", seen), 0
             if len(name[1]) == 1 and kind == "O":
                 word, emitted, extra = self.read(self.NEW, ord("'"))
                 word, n, extra = self.read(word, cp)
-                return self.state(("O", word, extra)), emitted + n
-            emitted, inside = self.whole("'"), self.start
+                return ("O", word, extra), emitted + n
+            emitted, inside = self.whole("'"), START
             for c in name[1][1:]:
                 inside, n = self.step(inside, ord(c))
                 emitted += n
@@ -174,18 +184,26 @@ class Transducer:
             return end, emitted + n
         if mode == kind:
             word, emitted, extra = self.read(name[1], cp)
-            return self.state((kind, word, extra)), emitted
+            return (kind, word, extra), emitted
         emitted = name[2] if mode in "LO" else 0
         if kind in ("S", "end"):
-            return self.start, emitted
+            return START, emitted
         if kind == "special":
-            return self.start, emitted + 1
+            return START, emitted + 1
         if kind == "N":
-            return self.start, emitted + self.whole(chr(cp))
+            return START, emitted + self.whole(chr(cp))
         if cp == 0x27 and mode != "O":
-            return self.state(("quote", "'")), emitted
+            return ("quote", "'"), emitted
         word, n, extra = self.read(self.NEW, cp)
-        return self.state((kind, word, extra)), emitted + n
+        return (kind, word, extra), emitted + n
+
+    def walk(self, text: str) -> int:
+        """Tokens of one text, symbol by symbol, keeping no state: for texts of ever new states."""
+        name, total = START, 0
+        for cp in [*self.normal(text).tolist(), END]:
+            name, n = self.step(name, cp)
+            total += n
+        return total
 
     # -- many chunks at once ---------------------------------------------------------------------
 
@@ -222,10 +240,10 @@ class Transducer:
         got = self.table.ravel()[state * self.width + column]
         for i in np.flatnonzero(got < 0).tolist():
             s, cp, c = int(state[i]), int(point[i]), int(column[i])
-            known = int(self.table[s, c]) if c else self.rest.get((s, cp), -1)
+            known = int(self.table[s, c]) if c else self.rest.get((s, cp), -1)  # other rows of this step may have compiled it
             if known < 0:
-                end, emitted = self.step(s, cp)
-                known = end << 8 | emitted + EMIT
+                end, emitted = self.step(self.states[s], cp)
+                known = self.state(end) << 8 | emitted + EMIT
                 if c:
                     self.table[s, c] = known
                 elif len(self.rest) < 1_000_000:
@@ -262,9 +280,20 @@ class Transducer:
         return end, emitted
 
     def counts(self, batch: list[str], chunk: int = CHUNK) -> np.ndarray:
-        """Tokens of each text."""
-        if len(self.states) * self.width > CELLS:
+        """Tokens of each text. A batch that fills the table is halved; a text that does so alone is walked."""
+        if len(self.states) > STATES or len(self.states) * self.width > CELLS:
             self.clear()
+        try:
+            return self.scan(batch, chunk)
+        except Full:
+            self.clear()
+        if len(batch) == 1:
+            return np.array([self.walk(batch[0])], np.int64)
+        half = len(batch) // 2
+        return np.concatenate([self.counts(batch[:half], chunk), self.counts(batch[half:], chunk)])
+
+    def scan(self, batch: list[str], chunk: int) -> np.ndarray:
+        """Tokens of each text by chunks, state maps and the prefix scan."""
         arrays = [self.normal(t) for t in batch]
         chunks = np.array([len(a) // chunk + 1 for a in arrays], np.int64)  # one END at least
         first = np.concatenate([[0], np.cumsum(chunks)])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .bpe import WORDS
+from .bpe import WORDS, encoder
 from .common import id_text, slices, texts
 
 #: Pieces that one task packs; each shard of this size leaves a few sequences part full.
@@ -40,6 +40,19 @@ def rank_encoder(ranks: str, special: dict[str, int]):
     return _LOADED[key]
 
 
+def token_ids(text: str, tokenizer: str, ranks: str) -> list[int]:
+    """Ids of a text as the tokenizer's file gives them, special strings included.
+
+    The rank table's encoder is the quick way; where its pattern engine gives up (on a million blanks in a
+    row, say) the trie encoder takes over: both give the same ids.
+    """
+    exact = encoder(tokenizer)
+    try:
+        return rank_encoder(ranks, exact.special).encode(text, allowed_special="all")
+    except ValueError:
+        return exact.encode([text])[0]
+
+
 def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Sequence number and offset of each piece, pieces taken in the order given."""
     open_by_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -66,7 +79,7 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return sequence, offset
 
 
-def pieces(df: DataFrame, ranks: str, special: dict[str, int], capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, ranks: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) of each document's pieces; no shuffle.
 
     A document is its ids and ``end_id``; only a longer one than ``capacity`` is cut, and all its pieces
@@ -74,11 +87,10 @@ def pieces(df: DataFrame, ranks: str, special: dict[str, int], capacity: int, en
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = rank_encoder(ranks, special)
         for part in slices(batches):
             out: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(part.column("doc_id").to_pylist(), texts(part), strict=True):
-                ids = np.array([*coder.encode(text, allowed_special="all"), end_id], "<u4")
+                ids = np.array([*token_ids(text, tokenizer, ranks), end_id], "<u4")
                 head = len(ids) % capacity or capacity
                 cuts = [0, *range(head, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -120,13 +132,14 @@ def pack(found: DataFrame, capacity: int = 1024, shard: int = SHARD) -> DataFram
     return packed.unionByName(full)
 
 
-def pack_documents(df: DataFrame, ranks: str, special: dict[str, int], capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, ranks: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise, cut and pack: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
+    ``tokenizer`` and ``ranks`` are paths of one vocabulary in its two forms, readable on every executor.
     A null text counts as empty (one piece: ``end_id``); a repeated row is packed as often as it occurs; a
     null id is kept; other columns are ignored; an empty table gives no rows.
     """
-    made = pieces(df, ranks, special, capacity, end_id, id_col, text_col)
+    made = pieces(df, tokenizer, ranks, capacity, end_id, id_col, text_col)
     made = made.withColumn("_null", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
     out = pack(stored(made, "pieces"), capacity)
     return out.select(F.when(~F.col("_null"), F.col("doc_id")).alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -49,7 +49,7 @@ def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(table(prepare(spark), sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), {"<|endoftext|>": 50256}, capacity=1024, end_id=2)
+    return pack_documents(table(prepare(spark), sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), capacity=1024, end_id=2)
 
 
 def op6_cws(spark: SparkSession, sf_dir: str) -> DataFrame:

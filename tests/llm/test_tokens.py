@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from keelstone.llm import packing
+from keelstone.llm import counts, packing
 from keelstone.llm.bpe import TrieEncoder, bpe_encode
 from keelstone.llm.counts import Transducer, token_counts
 
@@ -37,10 +37,19 @@ def test_transducer_equals_the_library(word_json, chunk):
     assert np.array_equal(got, want)
 
 
+def test_transducer_with_a_full_table(word_json, monkeypatch):
+    monkeypatch.setattr(counts, "MOST_CELLS", 60_000)
+    ours, theirs = Transducer(word_json), Tokenizer.from_file(word_json)
+    rng = random.Random(8)
+    batch = [*random_texts(150, 5), "".join(rng.choice("abcdefghij'") for _ in range(6000)), "'ve'r'v 'll'"]
+    assert ours.counts(batch).tolist() == [len(e.ids) for e in theirs.encode_batch(batch, add_special_tokens=False)]
+    assert len(ours.states) * ours.width <= 60_000 + ours.width
+
+
 def test_ranks_equal_the_library(byte_json, ranks):
-    ours, theirs = packing.rank_encoder(ranks, {"<|endoftext|>": 50256}), Tokenizer.from_file(byte_json)
-    batch = random_texts(3000, 3)
-    assert [ours.encode(t, allowed_special="all") for t in batch] == [e.ids for e in theirs.encode_batch(batch, add_special_tokens=False)]
+    theirs = Tokenizer.from_file(byte_json)
+    batch = [*random_texts(3000, 3), "x" + " " * 1_000_000 + "y"]
+    assert [packing.token_ids(t, byte_json, ranks) for t in batch] == [e.ids for e in theirs.encode_batch(batch, add_special_tokens=False)]
 
 
 def test_encode_on_odd_rows(odd, none, byte_json):
@@ -76,7 +85,7 @@ def check_packing(rows, capacity):
 
 def test_packing(docs, ranks, byte_json):
     theirs = Tokenizer.from_file(byte_json)
-    rows = packing.pack_documents(docs, ranks, {"<|endoftext|>": 50256}).collect()
+    rows = packing.pack_documents(docs, byte_json, ranks).collect()
     used = check_packing(rows, 1024)
     want, total, ids = {}, 0, {r["doc_id"]: r["text"] for r in docs.collect()}
     for doc, text in ids.items():
@@ -90,11 +99,11 @@ def test_packing(docs, ranks, byte_json):
     assert used <= 1.02 * -(-total // 1024)
 
 
-def test_packing_on_odd_rows(spark, odd, none, ranks):
-    rows = packing.pack_documents(odd, ranks, {"<|endoftext|>": 50256}, capacity=64).collect()
+def test_packing_on_odd_rows(spark, odd, none, byte_json, ranks):
+    rows = packing.pack_documents(odd, byte_json, ranks, capacity=64).collect()
     check_packing(rows, 64)
     assert sum(r["piece"] == 0 for r in rows) == odd.count() and sum(r["doc_id"] is None for r in rows) >= 2
-    assert packing.pack_documents(none, ranks, {}).count() == 0
+    assert packing.pack_documents(none, byte_json, ranks).count() == 0
 
 
 def test_sum_of_squares_choice():
