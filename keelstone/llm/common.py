@@ -26,6 +26,21 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def place_of(df: DataFrame, name: str) -> int:
+    """The place of a column, found as Spark does in any case if not as written."""
+    if name in df.columns:
+        return df.columns.index(name)
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id bigint, text string)`` of any table: extra columns go, a null text is the empty text."""
     return df.select(
@@ -69,7 +84,7 @@ def with_text(df: DataFrame, text_col: str, change: Callable[[pa.RecordBatch, li
     schema = df.schema
     for field in StructType.fromDDL(extra).fields if extra else ():
         schema = StructType([*schema.fields, field])
-    at = df.columns.index(text_col)
+    at = place_of(df, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, quoted, slices, texts, with_text
+from .common import id_text, place_of, quoted, slices, texts, with_text
 
 #: Kinds in the order of output; the patterns' parts.
 BASE = ("email", "ip", "card", "phone")
@@ -433,7 +433,7 @@ def redact(docs: DataFrame, field: Field | None = None, text_col: str = "text",
     """
     field = field or trained()
 
-    at = docs.columns.index(text_col)
+    at = place_of(docs, text_col)
 
     def clean(part: pa.RecordBatch, rows: list[str | None]) -> pa.RecordBatch:
         found = all_spans([t or "" for t in rows], tagger(field))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from ..session import stored
-from .common import id_text, quoted, slices, texts, with_text
+from .common import fresh, id_text, quoted, slices, texts, with_text
 from .graph import components
 
 #: Rows of whole groups that a task joins at once; node pairs that it holds at once.
@@ -256,12 +256,13 @@ def keep_one(docs: DataFrame, budget: int = 4, shingle: int = 4, id_col: str = "
         return part.append_column("fp", pa.array(fp))
 
     prints = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    best = rooted(prints, budget).groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("_b")).select(F.col("_b.first").alias("_first"), F.col("_b.fp").alias("_best"))
+    fp, best, first, n = (fresh(docs, c) for c in ("_fp", "_best", "_first", "_n"))
+    stand = rooted(prints, budget).groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("b")).select(F.col("b.first").alias(first), F.col("b.fp").alias(best))
     # the fingerprint is computed once more, so that texts are shuffled once, to the rows that may stay
-    mine = with_text(docs, text_col, stamp, "_fp bigint")
-    kept = mine.join(best, (F.col("_fp") == F.col("_best")) & doc.eqNullSafe(F.col("_first")))
-    one = Window.partitionBy("_best", "_first").orderBy(text)  # equal keys: rows that repeat an id
-    return kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*[F.col(quoted(c)) for c in docs.columns])
+    mine = with_text(docs, text_col, stamp, f"{fp} bigint")
+    kept = mine.join(stand, (F.col(fp) == F.col(best)) & doc.eqNullSafe(F.col(first)))
+    one = Window.partitionBy(best, first).orderBy(text)  # equal keys: rows that repeat an id
+    return kept.withColumn(n, F.row_number().over(one)).filter(F.col(n) == 1).select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def with_components(prints: DataFrame, budget: int = 4) -> DataFrame:
