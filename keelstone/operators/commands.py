@@ -13,7 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,23 +228,39 @@ def plan(commands: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """Step 1: each command's answer or operations. The users table is collected: it is a configuration of a server."""
     known = {u["username"]: (u["password"], frozenset(c.upper() for c in u["allowed"] or [])) for u in users.collect()} if users is not None else {}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    op = pa.struct([("pos", pa.int32()), ("key", pa.string()), ("op", pa.string()), ("value", pa.string()), ("n", pa.int64())])
+    change = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("target", pa.string()), ("add", pa.bool_())])
+    kinds = [("session_id", pa.string()), ("seq", pa.int64()), ("ts_ms", pa.int64()), ("cmd", pa.string()), ("type", pa.string()), ("text", pa.string()), ("num", pa.int64()), ("items", pa.list_(pa.string())), ("ops", pa.list_(op)), ("changes", pa.list_(change)), ("lo", pa.string()), ("hi", pa.string())]
+
+    def structs(rows: list[list[tuple] | None], kind: pa.StructType) -> pa.ListArray:
+        """Lists of structs from lists of tuples, a column at a time."""
+        flat = [x for r in rows if r for x in r]
+        fields = list(zip(*flat, strict=True)) if flat else [[] for _ in kind]
+        body = pa.StructArray.from_arrays([pa.array(f, k.type) for f, k in zip(fields, kind, strict=True)], fields=list(kind))
+        ends = np.cumsum([0, *(len(r) if r else 0 for r in rows)])
+        gone = np.array([*(r is None for r in rows), False])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=gone), body)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, session, first = None, None, True
         for batch in batches:
-            out = []
-            for sid, seq, now, argv in zip(batch["session_id"], batch["seq"], batch["ts_ms"], batch["argv"], strict=True):
+            head, rows = [], []
+            for sid, seq, now, argv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if first or sid != name:
                     name, session, first = sid, Session(known), False
                 if session.closed:  # what follows QUIT is never read
                     continue
-                out.append({"session_id": sid, "seq": seq, "ts_ms": now, **session.plan(None if argv is None else list(argv), int(now))})
-            if out:
-                frame = pd.DataFrame(out)
-                frame["num"] = frame["num"].astype("Int64")
-                yield frame
+                head.append((sid, seq, now))
+                rows.append(session.plan(argv, now))
+            if rows:
+                columns = [pa.array(c, k) for c, (_, k) in zip(zip(*head, strict=True), kinds, strict=False)]
+                for column, kind in kinds[3:]:
+                    values = [r[column] for r in rows]
+                    columns.append(structs(values, kind.value_type) if column in ("ops", "changes") else pa.array(values, kind))
+                yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in kinds])
 
     dealt = commands.select("session_id", "seq", "ts_ms", "argv").repartition("session_id").sortWithinPartitions("session_id", "seq")
-    return dealt.mapInPandas(run, _PLAN)
+    return dealt.mapInArrow(run, _PLAN)
 
 
 def interpret(commands: DataFrame, users: DataFrame | None = None, before: DataFrame | None = None, info: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -253,6 +270,9 @@ def interpret(commands: DataFrame, users: DataFrame | None = None, before: DataF
     Replies are ``session_id, seq, type, text, num, items, resp``; nothing for SHUTDOWN and after QUIT.
     """
     planned = stored(plan(commands, users), "planned")
+    # the commands that need more than their own keys; what does not occur needs no part of the plan
+    wide = ("SCAN", "DBSIZE", "PUBLISH", "LASTSAVE", "INFO")
+    present = {r["cmd"] for r in planned.filter(F.col("cmd").isin(*wide)).select("cmd").distinct().collect()}
     ops = planned.filter("ops IS NOT NULL").select("seq", "ts_ms", F.explode("ops").alias("o")).select("o.key", "seq", "o.pos", "ts_ms", "o.op", "o.value", "o.n")
     folded = stored(fold.fold(ops, before), "folded")
     log = fold.mutations_of(folded)
@@ -276,40 +296,50 @@ def interpret(commands: DataFrame, users: DataFrame | None = None, before: DataF
     fixed = planned.filter("type IS NOT NULL AND type <> 'none'").select("session_id", "seq", "type", "text", "num", "items")
     open_rows = planned.filter("type IS NULL AND ops IS NULL")
 
-    # reads of many keys, as of their place in the order
-    start = None if before is None else before.select(F.lit(LOW).alias("seq"), F.lit(0).alias("pos"), F.lit("PUT").alias("op"), "key", "value", "expires_at_ms")
+    parts = [fixed, answered]
+    number, text, items = F.lit(None).cast("bigint"), F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+
+    def add(rows: DataFrame, kind: str, **more: F.Column) -> None:
+        found = {"type": F.lit(kind), "text": text, "num": number, "items": items} | more
+        parts.append(rows.select("session_id", "seq", *[c.alias(n) for n, c in found.items()]))
+
+    if present & {"SCAN", "DBSIZE"}:  # reads of many keys, as of their place in the order
+        held = history(log, before)
+        if "SCAN" in present:
+            scans = open_rows.filter("cmd = 'SCAN'").select("session_id", "seq", "ts_ms", "lo", "hi")
+            pairs = F.array_sort(F.collect_list(F.struct("key", "value")))
+            found = sizes.scan_at(held, scans).groupBy("seq").agg(F.flatten(F.transform(pairs, lambda e: F.array(e["key"], e["value"]))).alias("found"))
+            add(scans.join(found, "seq", "left"), "*", items=F.coalesce("found", F.array().cast("array<string>")))
+        if "DBSIZE" in present:
+            sized = open_rows.filter("cmd = 'DBSIZE'").select("session_id", "seq", "ts_ms")
+            add(sized.join(sizes.dbsize_at(held, sized), "seq", "left"), ":", num=F.coalesce("dbsize", F.lit(0)).cast("bigint"))
+    if "PUBLISH" in present:  # receivers at that moment
+        changes = planned.filter("changes IS NOT NULL").select(F.col("session_id").alias("conn"), "seq", F.explode("changes").alias("c")).select("conn", "seq", "c.pos", "c.kind", "c.target", "c.add")
+        messages = open_rows.filter("cmd = 'PUBLISH'").select(F.col("seq").alias("msg_id"), "session_id", "seq", F.col("lo").alias("channel"), F.col("hi").alias("payload"))
+        add(messages.join(pubsub.publish_counts(messages, pubsub.intervals(changes)), "msg_id"), ":", num=F.col("receivers").cast("bigint"))
+    if "LASTSAVE" in present:  # the newest save before it
+        saves = planned.filter("cmd IN ('SAVE', 'BGSAVE') AND type = '+'").select("seq", F.floor(F.col("ts_ms") / 1000).alias("at"))
+        asked = open_rows.filter("cmd = 'LASTSAVE'").select("session_id", "seq")
+        add(asked.join(last_before(asked.select("seq"), saves), "seq", "left"), ":", num=F.coalesce("at", F.lit(0)).cast("bigint"))
+    if "INFO" in present:
+        add(open_rows.filter("cmd = 'INFO'"), "$", text=F.lit(info or ""))
+
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    out = out.withColumn("resp", resp.reply(F.col("type"), F.col("text"), F.col("num"), F.col("items")))
+    return out, log
+
+
+def history(log: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The versions of every key that a log ``seq, pos, ...`` makes, after the entries ``before``."""
     writes = log.select("seq", "pos", "op", "key", "value", "expires_at_ms")
-    if start is not None:
-        writes = writes.unionByName(start)
+    if before is not None:
+        writes = writes.unionByName(before.select(F.lit(LOW).alias("seq"), F.lit(0).alias("pos"), F.lit("PUT").alias("op"), "key", "value", "expires_at_ms"))
     last = Window.partitionBy("key", "seq").orderBy(F.col("pos").desc())
     writes = writes.withColumn("_n", F.row_number().over(last)).filter("_n = 1")  # MSET may write a key twice
     order = Window.partitionBy("key").orderBy("seq")
-    held = writes.select("key", F.col("seq").alias("seq_from"), F.lead("seq", 1, NEVER).over(order).alias("seq_to"), "op", "value", "expires_at_ms")
-    scans = open_rows.filter("cmd = 'SCAN'").select("session_id", "seq", "ts_ms", "lo", "hi")
-    sized = open_rows.filter("cmd = 'DBSIZE'").select("session_id", "seq", "ts_ms")
-    found = sizes.scan_at(held, scans).groupBy("seq").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda e: F.array(e["key"], e["value"]))).alias("items"))
-    none = F.lit(None).cast("string")
-    scanned = scans.join(found, "seq", "left").select("session_id", "seq", F.lit("*").alias("type"), none.alias("text"), F.lit(None).cast("bigint").alias("num"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    counted = sized.join(sizes.dbsize_at(held, sized), "seq", "left").select("session_id", "seq", F.lit(":").alias("type"), none.alias("text"), F.coalesce("dbsize", F.lit(0)).cast("bigint").alias("num"), F.lit(None).cast("array<string>").alias("items"))
-
-    # publish: receivers at that moment
-    changes = planned.filter("changes IS NOT NULL").select(F.col("session_id").alias("conn"), "seq", F.explode("changes").alias("c")).select("conn", "seq", "c.pos", "c.kind", "c.target", "c.add")
-    messages = open_rows.filter("cmd = 'PUBLISH'").select(F.col("seq").alias("msg_id"), "session_id", "seq", F.col("lo").alias("channel"), F.col("hi").alias("payload"))
-    heard = pubsub.publish_counts(messages, pubsub.intervals(changes))
-    published = messages.join(heard, "msg_id").select("session_id", "seq", F.lit(":").alias("type"), none.alias("text"), F.col("receivers").cast("bigint").alias("num"), F.lit(None).cast("array<string>").alias("items"))
-
-    # LASTSAVE: the newest save before it
-    saves = planned.filter("cmd IN ('SAVE', 'BGSAVE') AND type = '+'").select("seq", F.floor(F.col("ts_ms") / 1000).alias("at"))
-    asked = open_rows.filter("cmd = 'LASTSAVE'").select("session_id", "seq")
-    newest = last_before(asked.select("seq"), saves)
-    lastsave = asked.join(newest, "seq", "left").select("session_id", "seq", F.lit(":").alias("type"), none.alias("text"), F.coalesce("at", F.lit(0)).cast("bigint").alias("num"), F.lit(None).cast("array<string>").alias("items"))
-    told = open_rows.filter("cmd = 'INFO'").select("session_id", "seq", F.lit("$").alias("type"), F.lit(info or "").alias("text"), F.lit(None).cast("bigint").alias("num"), F.lit(None).cast("array<string>").alias("items"))
-
-    out = fixed
-    for part in (answered, scanned, counted, published, lastsave, told):
-        out = out.unionByName(part)
-    out = out.withColumn("resp", resp.reply(F.col("type"), F.col("text"), F.col("num"), F.col("items")))
-    return out, log
+    return writes.select("key", F.col("seq").alias("seq_from"), F.lead("seq", 1, NEVER).over(order).alias("seq_to"), "op", "value", "expires_at_ms")
 
 
 def last_before(points: DataFrame, events: DataFrame, span: int = 100_000) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Points that one pass over the versions counts for; boundaries of key buckets.
@@ -61,21 +61,37 @@ def dbsize_at(versions: DataFrame, points: DataFrame) -> DataFrame:
     return found
 
 
-def scan_at(versions: DataFrame, requests: DataFrame) -> DataFrame:
-    """``seq, key, value`` of what scans ``seq, ts_ms, lo, hi`` read.
+def key_ranges(rows: DataFrame) -> Callable[[Column], Column]:
+    """The number of the key range that a key falls in, of at most BUCKETS ranges of about equal numbers of keys.
 
-    Keys are cut into at most BUCKETS ranges; a scan goes to the ranges it meets, so the join is on the range
-    with the exact bounds as a residual. The boundaries come from a sample and affect speed only.
+    The boundaries come from a sample of at most 16 keys for each range and affect speed only.
     """
-    sample = versions.select("key").distinct().orderBy(F.xxhash64("key")).limit(BUCKETS * 16)
-    keys = sorted(r["key"] for r in sample.collect())  # at most BUCKETS * 16 keys
+    sample = rows.select("key").distinct().orderBy(F.xxhash64("key")).limit(BUCKETS * 16)
+    keys = sorted((r["key"] for r in sample.collect()), key=str.encode)
     cuts = keys[:: max(1, len(keys) // BUCKETS)][1:]
     edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<string>")
-    bucket = lambda c: F.size(F.filter(edges, lambda e: e <= c))
-    v = versions.filter("op <> 'DEL'").withColumn("_bucket", bucket(F.col("key"))).alias("v")
-    r = requests.filter("lo < hi").withColumn("_bucket", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi"))))).alias("r")
+    return lambda key: F.size(F.filter(edges, lambda e: e <= key))
+
+
+def scan_many(view: DataFrame, requests: DataFrame) -> DataFrame:
+    """``request_id, key, value`` of many range scans ``request_id, lo, hi`` over one view.
+
+    A scan goes to the key ranges it meets, so the join is on the range, with the exact bounds as a residual.
+    """
+    number = key_ranges(view)
+    v = view.withColumn("_range", number(F.col("key"))).alias("v")
+    r = requests.filter("lo < hi").withColumn("_range", F.explode(F.sequence(number(F.col("lo")), number(F.col("hi"))))).alias("r")
+    hit = (F.col("r._range") == F.col("v._range")) & (F.col("v.key") >= F.col("r.lo")) & (F.col("v.key") < F.col("r.hi"))
+    return r.join(v, hit).select("r.request_id", "v.key", "v.value")
+
+
+def scan_at(versions: DataFrame, requests: DataFrame) -> DataFrame:
+    """``seq, key, value`` of what scans ``seq, ts_ms, lo, hi`` read, each as of its place in the log; joined as in scan_many."""
+    number = key_ranges(versions)
+    v = versions.filter("op <> 'DEL'").withColumn("_range", number(F.col("key"))).alias("v")
+    r = requests.filter("lo < hi").withColumn("_range", F.explode(F.sequence(number(F.col("lo")), number(F.col("hi"))))).alias("r")
     hit = (
-        (F.col("r._bucket") == F.col("v._bucket")) & (F.col("v.key") >= F.col("r.lo")) & (F.col("v.key") < F.col("r.hi"))
+        (F.col("r._range") == F.col("v._range")) & (F.col("v.key") >= F.col("r.lo")) & (F.col("v.key") < F.col("r.hi"))
         & (F.col("v.seq_from") < F.col("r.seq")) & (F.col("r.seq") <= F.col("v.seq_to")) & (F.col("v.expires_at_ms") > F.col("r.ts_ms"))
     )
     return r.join(v, hit).select(F.col("r.seq").alias("seq"), F.col("v.key").alias("key"), F.col("v.value").alias("value"))

@@ -457,6 +457,13 @@ def scan_asof(spark, sf_dir):
     return sizes.scan_at(resolve.versions(mutations(spark, sf_dir)), e.select("seq", "ts_ms", user_key(who).alias("lo"), user_key(who + 40).alias("hi")))
 
 
+@query("scan_many", f"WITH {LOG}, q AS (SELECT s_suppkey AS request_id, 'user:' || lpad(CAST(s_suppkey % 140 AS VARCHAR), 6, '0') AS lo, 'user:' || lpad(CAST(s_suppkey % 140 + s_suppkey % 30 AS VARCHAR), 6, '0') AS hi FROM supplier) SELECT request_id, key, value FROM q JOIN live ON key >= lo AND key < hi")
+def scan_many(spark, sf_dir):
+    k = F.col("s_suppkey")
+    asked = table(prepare(spark), sf_dir, "supplier").select(k.alias("request_id"), user_key(k % 140).alias("lo"), user_key(k % 140 + k % 30).alias("hi"))
+    return sizes.scan_many(view(spark, sf_dir), asked)
+
+
 def fixture_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log as argument lists, with reads of the same user after each command."""
     c = command_rows(spark, sf_dir)
