@@ -444,17 +444,19 @@ def filename_codec(spark, sf_dir):
     return table(prepare(spark), sf_dir, "part").select("p_partkey", name.alias("name")).select("p_partkey", "name", text.file_sequence(F.col("name")).alias("seq"), text.file_level(F.col("name")).alias("level"))
 
 
-@query("dbsize_asof", f"WITH {LOG}, {VERSIONS}, q AS (SELECT seq, ts_ms FROM cmds WHERE seq % 500 = 0) SELECT q.seq AS seq, CAST(count(vers.key) AS BIGINT) AS dbsize FROM q LEFT JOIN vers ON vers.op <> 'DEL' AND seq_from < q.seq AND q.seq <= seq_to AND vers.expires_at_ms > q.ts_ms GROUP BY q.seq")
+@query("dbsize_asof", f"WITH {LOG}, {VERSIONS}, q AS (SELECT seq, ts_ms FROM cmds WHERE event_type = 'purchase') SELECT q.seq AS seq, CAST(count(vers.key) AS BIGINT) AS dbsize FROM q LEFT JOIN vers ON vers.op <> 'DEL' AND seq_from < q.seq AND q.seq <= seq_to AND vers.expires_at_ms > q.ts_ms GROUP BY q.seq")
 def dbsize_asof(spark, sf_dir):
-    points = command_rows(spark, sf_dir).filter("seq % 500 = 0").select("seq", "ts_ms")
+    """The number of live keys at every purchase."""
+    points = command_rows(spark, sf_dir).filter("cmd = 'PEXPIRE'").select("seq", "ts_ms")
     return sizes.dbsize_at(resolve.versions(mutations(spark, sf_dir)), points)
 
 
-@query("scan_asof", f"WITH {LOG}, {VERSIONS}, q AS (SELECT seq, ts_ms, 'user:' || lpad(CAST(user_id % 900 AS VARCHAR), 6, '0') AS lo, 'user:' || lpad(CAST(user_id % 900 + 40 AS VARCHAR), 6, '0') AS hi FROM cmds WHERE seq % 200 = 0) SELECT q.seq AS seq, vers.key AS key, vers.value AS value FROM q JOIN vers ON vers.key >= q.lo AND vers.key < q.hi AND vers.op <> 'DEL' AND seq_from < q.seq AND q.seq <= seq_to AND vers.expires_at_ms > q.ts_ms")
+@query("scan_asof", f"WITH {LOG}, {VERSIONS}, q AS (SELECT seq, ts_ms, 'user:' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS lo, 'user:' || lpad(CAST(user_id + 20 AS VARCHAR), 6, '0') AS hi FROM cmds WHERE event_type = 'purchase') SELECT q.seq AS seq, vers.key AS key, vers.value AS value FROM q JOIN vers ON vers.key >= q.lo AND vers.key < q.hi AND vers.op <> 'DEL' AND seq_from < q.seq AND q.seq <= seq_to AND vers.expires_at_ms > q.ts_ms")
 def scan_asof(spark, sf_dir):
-    e = command_rows(spark, sf_dir).filter("seq % 200 = 0")
-    who = F.substring("key", -6, 6).cast("bigint") % 900
-    return sizes.scan_at(resolve.versions(mutations(spark, sf_dir)), e.select("seq", "ts_ms", user_key(who).alias("lo"), user_key(who + 40).alias("hi")))
+    """What a scan of twenty users reads at every purchase."""
+    e = command_rows(spark, sf_dir).filter("cmd = 'PEXPIRE'")
+    who = F.substring("key", -6, 6).cast("bigint")
+    return sizes.scan_at(resolve.versions(mutations(spark, sf_dir)), e.select("seq", "ts_ms", user_key(who).alias("lo"), user_key(who + 20).alias("hi")))
 
 
 @query("scan_many", f"WITH {LOG}, q AS (SELECT s_suppkey AS request_id, 'user:' || lpad(CAST(s_suppkey % 140 AS VARCHAR), 6, '0') AS lo, 'user:' || lpad(CAST(s_suppkey % 140 + s_suppkey % 30 AS VARCHAR), 6, '0') AS hi FROM supplier) SELECT request_id, key, value FROM q JOIN live ON key >= lo AND key < hi")
