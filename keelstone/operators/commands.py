@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +115,9 @@ def operations(cmd: str, argv: list[str], now: int) -> list[tuple[str, str, str
 DATA = {"SET", "SETEX", "PSETEX", "GET", "DEL", "EXISTS", "MGET", "MSET", "INCR", "DECR", "INCRBY", "DECRBY", "EXPIRE", "PEXPIRE", "TTL", "PTTL", "PERSIST"}
 
 
+EMPTY = dict.fromkeys(("cmd", "type", "text", "num", "items", "ops", "changes", "lo", "hi"))
+
+
 class Session:
     """One connection's state, and what each of its commands becomes."""
 
@@ -122,11 +126,25 @@ class Session:
         self.subs: dict[str, dict[str, None]] = {"channel": {}, "pattern": {}}
         self.closed = False
 
+    def load(self, items: list[str]) -> list[tuple]:
+        """Take up the state that an earlier table of commands ended in; returns its subscriptions as changes."""
+        name, closed, channels, *targets = items
+        self.user, self.closed = name or None, closed == "1"
+        if self.user not in self.users:  # a user who is gone must log in again
+            self.user = None
+        changes = [(i, "channel" if i < int(channels) else "pattern", t, True) for i, t in enumerate(targets)]
+        for _, kind, target, _ in changes:
+            self.subs[kind][target] = None
+        return changes
+
+    def save(self) -> list[str]:
+        return [self.user or "", "1" if self.closed else "0", str(len(self.subs["channel"])), *self.subs["channel"], *self.subs["pattern"]]
+
     def count(self) -> int:
         return len(self.subs["channel"]) + len(self.subs["pattern"])
 
     def plan(self, argv: list[str | None], now: int) -> dict:
-        row: dict = {"cmd": None, "type": None, "text": None, "num": None, "items": None, "ops": None, "changes": None, "lo": None, "hi": None}
+        row: dict = dict(EMPTY)
         try:
             if not argv:
                 raise _error("ERR empty command")
@@ -224,8 +242,11 @@ def _frame(tag: str, target: str | None, count: int) -> str:
     return f"*3\r\n${len(tag)}\r\n{tag}\r\n{text}:{count}\r\n"
 
 
-def plan(commands: DataFrame, users: DataFrame | None = None) -> DataFrame:
-    """Step 1: each command's answer or operations. The users table is collected: it is a configuration of a server."""
+def plan(commands: DataFrame, users: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
+    """Step 1: each command's answer or operations. The users table is collected: it is a configuration of a server.
+
+    Rows ``_LOAD`` and ``_STATE`` carry the state that each session starts from and ends in.
+    """
     known = {u["username"]: (u["password"], frozenset(c.upper() for c in u["allowed"] or [])) for u in users.collect()} if users is not None else {}
 
     op = pa.struct([("pos", pa.int32()), ("key", pa.string()), ("op", pa.string()), ("value", pa.string()), ("n", pa.int64())])
@@ -241,35 +262,56 @@ def plan(commands: DataFrame, users: DataFrame | None = None) -> DataFrame:
         gone = np.array([*(r is None for r in rows), False])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=gone), body)
 
+    def batch_of(head: list[tuple], rows: list[dict]) -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, (_, k) in zip(zip(*head, strict=True), kinds, strict=False)]
+        for column, kind in kinds[3:]:
+            values = [r[column] for r in rows]
+            columns.append(structs(values, kind.value_type) if column in ("ops", "changes") else pa.array(values, kind))
+        return pa.RecordBatch.from_arrays(columns, names=[n for n, _ in kinds])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, session, first = None, None, True
         for batch in batches:
             head, rows = [], []
-            for sid, seq, now, argv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for sid, seq, now, argv, state in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if first or sid != name:
+                    if not first:
+                        head.append((name, HIGH, 0))
+                        rows.append(EMPTY | {"cmd": "_STATE", "type": "none", "items": session.save()})
                     name, session, first = sid, Session(known), False
-                if session.closed:  # what follows QUIT is never read
-                    continue
-                head.append((sid, seq, now))
-                rows.append(session.plan(argv, now))
+                if state is not None:
+                    head.append((sid, LOW, 0))
+                    rows.append(EMPTY | {"cmd": "_LOAD", "type": "none", "changes": session.load(state)})
+                elif not session.closed:  # what follows QUIT is never read
+                    head.append((sid, seq, now))
+                    rows.append(session.plan(argv, now))
             if rows:
-                columns = [pa.array(c, k) for c, (_, k) in zip(zip(*head, strict=True), kinds, strict=False)]
-                for column, kind in kinds[3:]:
-                    values = [r[column] for r in rows]
-                    columns.append(structs(values, kind.value_type) if column in ("ops", "changes") else pa.array(values, kind))
-                yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in kinds])
+                yield batch_of(head, rows)
+        if not first:
+            yield batch_of([(name, HIGH, 0)], [EMPTY | {"cmd": "_STATE", "type": "none", "items": session.save()}])
+
+    rows = commands.select("session_id", "seq", "ts_ms", "argv", F.lit(None).cast("array<string>").alias("state"))
+    if sessions is not None:
+        rows = rows.unionByName(sessions.select("session_id", F.lit(LOW).alias("seq"), F.lit(0).cast("bigint").alias("ts_ms"), F.lit(None).cast("array<string>").alias("argv"), "state"))
+    return rows.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInArrow(run, _PLAN)
+
+
+class Interpreted(NamedTuple):
+    """Replies, the mutation log they wrote, and the state ``session_id, state`` that each session ended in."""
 
-    dealt = commands.select("session_id", "seq", "ts_ms", "argv").repartition("session_id").sortWithinPartitions("session_id", "seq")
-    return dealt.mapInArrow(run, _PLAN)
+    replies: DataFrame
+    log: DataFrame
+    sessions: DataFrame
 
 
-def interpret(commands: DataFrame, users: DataFrame | None = None, before: DataFrame | None = None, info: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Replies of all commands, and the mutation log they write.
+def interpret(commands: DataFrame, users: DataFrame | None = None, before: DataFrame | None = None, info: str | None = None, sessions: DataFrame | None = None) -> Interpreted:
+    """Replies of all commands, the mutation log they write, and the sessions' last states.
 
-    ``before``: the entries that the store starts with. ``info``: the text that INFO answers with.
+    ``before``: the entries that the store starts with. ``info``: the text that INFO answers with. ``sessions``:
+    the states that an earlier table of commands ended in, for sessions that go on.
     Replies are ``session_id, seq, type, text, num, items, resp``; nothing for SHUTDOWN and after QUIT.
     """
-    planned = stored(plan(commands, users), "planned")
+    planned = stored(plan(commands, users, sessions), "planned")
     # the commands that need more than their own keys; what does not occur needs no part of the plan
     wide = ("SCAN", "DBSIZE", "PUBLISH", "LASTSAVE", "INFO")
     present = {r["cmd"] for r in planned.filter(F.col("cmd").isin(*wide)).select("cmd").distinct().collect()}
@@ -328,7 +370,8 @@ def interpret(commands: DataFrame, users: DataFrame | None = None, before: DataF
     for part in parts[1:]:
         out = out.unionByName(part)
     out = out.withColumn("resp", resp.reply(F.col("type"), F.col("text"), F.col("num"), F.col("items")))
-    return out, log
+    states = planned.filter("cmd = '_STATE'").select("session_id", F.col("items").alias("state"))
+    return Interpreted(out, log, states)
 
 
 def history(log: DataFrame, before: DataFrame | None = None) -> DataFrame:

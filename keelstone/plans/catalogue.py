@@ -483,13 +483,13 @@ def fixture_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("command_replies")
 def command_replies(spark, sf_dir):
-    replies, _ = interpreter.interpret(fixture_commands(spark, sf_dir))
+    replies = interpreter.interpret(fixture_commands(spark, sf_dir)).replies
     return replies.select("session_id", "seq", "type", "text", "num", "resp")
 
 
 @query("command_expire_replies", None)
 def command_expire_replies(spark, sf_dir):
-    replies, _ = interpreter.interpret(fixture_commands(spark, sf_dir))
+    replies = interpreter.interpret(fixture_commands(spark, sf_dir)).replies
     asked = fixture_commands(spark, sf_dir).filter("argv[0] = 'PEXPIRE'")
     return asked.join(replies, ["session_id", "seq"]).select(F.floor(F.col("seq") / 2).alias("seq"), F.col("argv")[1].alias("key"), F.col("num").cast("int").alias("result"))
 

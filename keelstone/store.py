@@ -25,6 +25,7 @@ class KeyValueStore:
         self.snapshots = maintain.Snapshots()
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._seq: int | None = None
+        self._sessions: DataFrame | None = None  # of execute(): logins and subscriptions last from call to call
 
     # -- files: base-<n> (compacted) and every delta-<m> with m > n ----------------------------------------
 
@@ -113,7 +114,7 @@ class KeyValueStore:
         """Interpret a table of commands, append what they write, return their replies."""
         figures = stats.storage_figures(table, self.log()).first().asDict() | {"last_snapshot_epoch_sec": self.snapshots.last_epoch_sec}
         before = resolve.latest_per_key(self.log()).filter(F.col("op") != DEL)
-        replies, log = interpreter.interpret(table, users, before, stats.info_text(figures))
+        replies, log, self._sessions = interpreter.interpret(table, users, before, stats.info_text(figures), self._sessions)
         newest = interpreter.state_after(log)
         first = self._next()
         # after the batch only each key's newest write matters to later readers, so all share one number

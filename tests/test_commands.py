@@ -11,8 +11,8 @@ from .model import Model, enc
 def ask(spark, rows, **more):
     """Replies of (session, argv) rows, one second apart."""
     df = spark.createDataFrame([(s, i + 1, 1_000_000 + 1000 * i, list(a)) for i, (s, a) in enumerate(rows)], COMMANDS)
-    out, log = commands.interpret(df, **more)
-    return {r["seq"]: r["resp"] for r in out.collect()}, log
+    out = commands.interpret(df, **more)
+    return {r["seq"]: r["resp"] for r in out.replies.collect()}, out.log
 
 
 def test_replies(spark):
@@ -79,3 +79,14 @@ def test_last_before(spark):
     events = spark.createDataFrame([(2, 20), (11, 110), (24, 240), (41, 410)], "seq bigint, at bigint")
     got = {r["seq"]: r["at"] for r in commands.last_before(points, events, span=10).collect()}
     assert got == {1: None, 5: 20, 12: 110, 25: 240, 40: 240, 99: 410}
+
+
+def test_sessions_go_on(spark):
+    users = acl.users(spark, ["ann:pw"])
+    table = lambda rows: spark.createDataFrame([(s, i, 1000, a) for s, i, a in rows], COMMANDS)
+    first = commands.interpret(table([("a", 1, ["AUTH", "ann", "pw"]), ("b", 2, ["AUTH", "ann", "pw"]), ("b", 3, ["SUBSCRIBE", "news"]), ("b", 4, ["PSUBSCRIBE", "x*"]), ("c", 5, ["QUIT"])]), users)
+    again = commands.interpret(table([("a", 11, ["PUBLISH", "news", "m"]), ("b", 12, ["GET", "k"]), ("b", 13, ["UNSUBSCRIBE"]), ("c", 14, ["PING"]), ("d", 15, ["GET", "k"]), ("a", 16, ["PUBLISH", "news", "m"]), ("a", 17, ["PUBLISH", "xy", "m"])]), users, sessions=first.sessions)
+    got = {r["seq"]: r["resp"] for r in again.replies.collect()}
+    assert got[11] == ":1\r\n" and got[16] == ":0\r\n" and got[17] == ":1\r\n" and 14 not in got and got[15].startswith("-NOAUTH")
+    assert got[12].startswith("-ERR Can't execute 'GET'") and got[13] == "*3\r\n$11\r\nunsubscribe\r\n$4\r\nnews\r\n:1\r\n"
+    assert {r["session_id"]: r["state"] for r in again.sessions.collect()} == {"a": ["ann", "0", "0"], "b": ["ann", "0", "0", "x*"], "c": ["", "1", "0"], "d": ["", "0", "0"]}
