@@ -177,7 +177,7 @@ def train(table: list[list[tuple[str, str]]], rounds: int = 140, rate: float = 0
                     hot[0, i, t + 1, index[f]] = 1
                 if t:
                     hot[2, i, t - 1, index[f]] = 1
-    flat = hot.transpose(1, 2, 0, 3).reshape(n * longest, -1)
+    flat = hot.transpose(1, 2, 0, 3).reshape(n * longest, -1)[live.ravel()].astype(np.float64)
     weight, moves, start = np.zeros((flat.shape[1], k)), np.zeros((k, k)), np.zeros(k)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (weight, moves, start)]
     target = np.zeros((n, longest, k))
@@ -189,7 +189,8 @@ def train(table: list[list[tuple[str, str]]], rounds: int = 140, rate: float = 0
         return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
     for step in range(1, rounds + 1):
-        score = (flat @ weight).reshape(n, longest, k)
+        score = np.zeros((n, longest, k))
+        score[live] = flat @ weight
         fore, back = np.zeros((n, longest, k)), np.zeros((n, longest, k))
         fore[:, 0] = start + score[:, 0]
         for t in range(1, longest):
@@ -202,7 +203,7 @@ def train(table: list[list[tuple[str, str]]], rounds: int = 140, rate: float = 0
         for t in range(1, longest):
             p = np.exp(fore[:, t - 1, :, None] + moves + (score[:, t] + back[:, t])[:, None, :] - whole)
             both += p[live[:, t]].sum(axis=0)
-        grads = (flat.T @ (mean - target).reshape(-1, k) / n, (both - pairs) / n, (mean[:, 0] - target[:, 0]).sum(axis=0) / n)
+        grads = (flat.T @ (mean - target)[live] / n, (both - pairs) / n, (mean[:, 0] - target[:, 0]).sum(axis=0) / n)
         for p, g, s in zip((weight, moves, start), grads, state, strict=True):
             g = g + ridge * p / len(table) ** 0.5
             s[0] = 0.9 * s[0] + 0.1 * g
