@@ -28,7 +28,7 @@ from ..session import stored
 from .common import id_text, slices
 
 #: Tokens in a block (a task's memory), in a word or pair partition; counts up to TOP are discounted.
-BLOCK_TOKENS, PART_TOKENS, TOP = 2_000_000, 2_000_000, 5
+BLOCK_TOKENS, PART_TOKENS, TOP = 1_250_000, 1_250_000, 5
 #: A word before at least one in so many of all tokens has its pairs dealt by both words (so at most so many words).
 HOT_SHARE = 1000
 _END = b"\n"  # no word holds white space
