@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelstone.llm import packing, pii, quality, simhash
+from keelstone.llm import likeness, packing, pii, quality
 from keelstone.llm.registry import vocabulary
 from keelstone.session import prepare, stored, table
 
@@ -23,9 +23,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates, the one with the smallest id."""
+    """Keep one document of each group of near-duplicates (five words, similarity 0.8), the one with the smallest id."""
     prepare(spark)
-    return simhash.keep_one(docs, budget=4, shingle=4)
+    return likeness.keep_one(docs, least=0.8, shingle=5)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ task is a spanning forest of its links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -249,15 +249,20 @@ def keep_one(docs: DataFrame, budget: int = 4, shingle: int = 4, id_col: str = "
 
     The row with the smallest id stays (of rows that repeat an id, one); null ids only where a group has no other.
     """
+    prints = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    return keep_rows(docs, rooted(prints, budget), lambda t: fingerprint(t, shingle), id_col, text_col)
+
+
+def keep_rows(docs: DataFrame, nodes: DataFrame, mark: Callable[[str], int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for the components of ``nodes`` (``fp, first, root``); ``mark`` gives a text's fp."""
     doc, text = F.col(quoted(id_col)).cast("bigint"), F.col(quoted(text_col))
 
     def stamp(part: pa.RecordBatch, rows: list[str | None]) -> pa.RecordBatch:
-        fp = np.array([fingerprint(t or "", shingle) for t in rows], np.uint64).view(np.int64)
+        fp = np.array([mark(t or "") for t in rows], np.uint64).view(np.int64)
         return part.append_column("fp", pa.array(fp))
 
-    prints = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     fp, best, first, n = (fresh(docs, c) for c in ("_fp", "_best", "_first", "_n"))
-    stand = rooted(prints, budget).groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("b")).select(F.col("b.first").alias(first), F.col("b.fp").alias(best))
+    stand = nodes.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("b")).select(F.col("b.first").alias(first), F.col("b.fp").alias(best))
     # the fingerprint is computed once more, so that texts are shuffled once, to the rows that may stay
     mine = with_text(docs, text_col, stamp, f"{fp} bigint")
     kept = mine.join(stand, (F.col(fp) == F.col(best)) & doc.eqNullSafe(F.col(first)))

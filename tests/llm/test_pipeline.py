@@ -1,3 +1,5 @@
+import random
+
 from keelstone.llm import pii, quality, simhash
 from keelstone.llm.registry import QUERIES
 
@@ -44,3 +46,32 @@ def test_stages_on_odd_rows(spark, odd, none):
             assert at.columns == rows.columns
             at.collect()
         corpus_pipeline.STAGES[-1][1](spark, at, SF).collect()
+
+
+def test_dedup_stage_finds_similarity_of_five_words(spark, monkeypatch):
+    """Against all pairs: texts of similarity 0.8 that differ in more than four bits, and none below."""
+    import corpus_pipeline
+    from keelstone.llm import likeness
+
+    rng = random.Random(3)
+    rows = {}
+    for base in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        for _ in range(12):
+            text = list(words)
+            for _ in range(rng.randint(0, 5)):
+                text[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+            rows[len(rows) * 7 % 144 + 1000 * (base % 2)] = " ".join(text)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(146)} for i, t in rows.items()}
+    like = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in rows for j in rows if i < j}
+    root = {i: i for i in rows}
+    for (i, j), s in like.items():
+        if s >= 0.8:
+            root = {k: min(root[i], root[j]) if r in (root[i], root[j]) else r for k, r in root.items()}
+    prints = {i: simhash.fingerprint(t) for i, t in rows.items()}
+    assert any(s >= 0.8 and (prints[i] ^ prints[j]).bit_count() > 4 for (i, j), s in like.items())
+    for limit in (likeness.BLOCK_BYTES, 3000):  # whole groups, and groups dealt out
+        monkeypatch.setattr(likeness, "BLOCK_BYTES", limit)
+        got = corpus_pipeline.dedup_stage(spark, spark.createDataFrame(list(rows.items()), "doc_id bigint, text string"), SF)
+        assert {r["doc_id"] for r in got.collect()} == set(root.values())
+    assert likeness.MISS < 1e-4
