@@ -94,11 +94,11 @@ def output_chunks(rows: DataFrame, limit: int = OUTPUT_BYTES, run: str = "run")
     return sized.repartition(run).sortWithinPartitions(run, "key").mapInArrow(walk, schema)
 
 
-def snapshot(mutations: DataFrame, folder: str, now_ms: int, upto_seq: int | None = None) -> str:
+def snapshot(mutations: DataFrame, folder: str, now_ms: int, upto_seq: int | None = None, mode: str = "errorifexists") -> str:
     """Write the live view as ``snapshot-<13-digit ms>.db`` and return its path; ``upto_seq`` fixes the point in the log."""
     log = mutations if upto_seq is None else mutations.filter(F.col("seq") <= upto_seq)
     path = f"{folder.rstrip('/')}/snapshot-{now_ms:013d}.db"
-    write_run(live(log, now_ms), path)
+    write_run(live(log, now_ms), path, mode=mode)
     return path
 
 
@@ -116,8 +116,8 @@ class Snapshots:
         self._running: Future | None = None
         self.last_epoch_sec = 0
 
-    def save(self, mutations: DataFrame, folder: str, now_ms: int, upto_seq: int | None = None) -> str:
-        path = snapshot(mutations, folder, now_ms, upto_seq)
+    def save(self, mutations: DataFrame, folder: str, now_ms: int, upto_seq: int | None = None, mode: str = "errorifexists") -> str:
+        path = snapshot(mutations, folder, now_ms, upto_seq, mode)
         self.last_epoch_sec = now_ms // 1000
         return path
 

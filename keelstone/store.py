@@ -115,12 +115,23 @@ class KeyValueStore:
         figures = stats.storage_figures(table, self.log()).first().asDict() | {"last_snapshot_epoch_sec": self.snapshots.last_epoch_sec}
         before = resolve.latest_per_key(self.log()).filter(F.col("op") != DEL)
         replies, log, self._sessions = interpreter.interpret(table, users, before, stats.info_text(figures), self._sessions)
+        self._save_asked(table, replies, log, before)
         newest = interpreter.state_after(log)
         first = self._next()
         # after the batch only each key's newest write matters to later readers, so all share one number
         self.write(newest.select(F.lit(first).alias("seq"), F.lit(self.clock()).alias("ts_ms"), "op", "key", "value", "expires_at_ms"))
         return replies
 
+    def _save_asked(self, table: DataFrame, replies: DataFrame, log: DataFrame, before: DataFrame) -> None:
+        """Write a snapshot as of each SAVE and BGSAVE that was accepted; of those of one millisecond, the last."""
+        asked = table.filter(F.upper(F.get("argv", F.lit(0))).isin("SAVE", "BGSAVE"))
+        if asked.isEmpty():
+            return
+        done = asked.select("session_id", "seq", "ts_ms").join(replies.filter("type = '+'").select("session_id", "seq"), ["session_id", "seq"])
+        for at in done.groupBy("ts_ms").agg(F.max("seq").alias("seq")).orderBy("seq").collect():
+            state = interpreter.state_after(log.filter(F.col("seq") <= at["seq"]), before)
+            self.snapshots.save(state.withColumn("seq", F.lit(at["seq"])), self.path, at["ts_ms"], mode="overwrite")
+
     def compact(self, partitions: int | None = None) -> None:
         """Fold everything into a new base in key order; deletes and expired entries go."""
         number = max([0, *self._names("delta"), *self._names("base")])

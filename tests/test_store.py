@@ -1,6 +1,6 @@
 import pytest
 
-from keelstone.operators import fold
+from keelstone.operators import fold, maintain
 from keelstone.schema import COMMANDS, MUTATIONS, NEVER
 from keelstone.store import KeyValueStore
 from keelstone.streaming import streams
@@ -57,3 +57,14 @@ def test_streaming_fold_equals_batch_fold(spark, tmp_path):
     q = streams.folded(spark.readStream.schema(fold.OPS).parquet(str(tmp_path / "ops"))).writeStream.format("memory").queryName("folded").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(90)
     assert sorted((r["seq"], r["num"], r["text"], r["err"]) for r in spark.table("folded").collect()) == want
+
+
+def test_save_commands_write_snapshots(spark, tmp_path):
+    s = KeyValueStore(spark, str(tmp_path / "db"), clock=lambda: 9000)
+    s.put("old", "0")
+    argv = [["SAVE", "x"], ["SET", "a", "1"], ["SAVE"], ["SET", "a", "2"], ["DEL", "old"], ["BGSAVE"], ["SET", "b", "3"], ["LASTSAVE"]]
+    rows = spark.createDataFrame([("s", i, 1000 * i, a) for i, a in enumerate(argv, 1)], COMMANDS)
+    assert s.execute(rows).filter("seq = 8").first()["num"] == s.last_snapshot_epoch_sec() == 6
+    saved = {p.name: sorted((r["key"], r["value"]) for r in maintain.restore(spark, str(p)).collect()) for p in (tmp_path / "db").glob("snapshot-*")}
+    assert saved == {"snapshot-0000000003000.db": [("a", "1"), ("old", "0")], "snapshot-0000000006000.db": [("a", "2")]}
+    assert s.get("a") == "2" and s.get("b") == "3"
