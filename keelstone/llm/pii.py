@@ -74,9 +74,10 @@ _RUNS = re.compile(r"(.)\1+")
 
 
 def shape(word: str) -> str:
-    """Letters as X or x in runs cut to one, digits counted up to six, the rest as it is."""
-    out = "".join("X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c for c in word[:40])
-    return re.sub(r"d+", lambda m: f"d{min(len(m.group()), 6)}", _RUNS.sub(lambda m: m.group() if m.group(1) == "d" else m.group(1), out))
+    """Letters as X or x in runs cut to one, digits counted up to six, the rest as it is; a hash of what is longer than 40."""
+    out = "".join("X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c for c in word)
+    out = re.sub(r"d+", lambda m: f"d{min(len(m.group()), 6)}", _RUNS.sub(lambda m: m.group() if m.group(1) == "d" else m.group(1), out))
+    return out if len(out) <= 40 else "#" + hashlib.sha256(out.encode("utf-8", "replace")).hexdigest()[:16]
 
 
 def observe(word: str) -> tuple[str, ...]:

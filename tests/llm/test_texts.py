@@ -311,3 +311,9 @@ def test_quality_on_odd_rows(spark, odd, none):
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows) and not any(r["held_out"] for r in rows if r["doc_id"] is None)
     assert quality.score(none, quality.learn(none, labels)).count() == 0 and quality.accepted(none, forest).columns == odd.columns
     assert quality.accepted(odd, forest, 0.0).count() == odd.count()
+
+
+def test_shape_sees_the_whole_word():
+    joined = ",".join(["ab"] * 30)
+    assert pii.shape(joined + ",12") != pii.shape(joined + ",ab") and len(pii.shape(joined)) <= 40
+    assert pii.shape("x" * 50 + "1") == "xd1" and pii.shape("Abc-1234567") == "Xx-d6"
