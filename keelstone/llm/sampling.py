@@ -9,11 +9,11 @@ smaller weights over the sum of larger ones, so the share of equal samples estim
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +25,8 @@ from .common import id_text, slices, texts
 SAMPLES, KEPT = 64, 150_000
 #: Words longer than this are cut where two neighbouring characters say so, every 16 characters or so: for scripts without spaces.
 LONG_WORD, CUT = 40, 16
-#: Rows in a bucket of neighbouring documents, and buckets at most (the driver holds two numbers for each).
-BUCKET_ROWS, BUCKETS = 4096, 10_000
+#: Rows in a bucket of neighbouring documents; code points by which rows of one id are told apart.
+BUCKET_ROWS, TIE = 4096, 64
 
 
 def terms(text: str) -> Counter:
@@ -182,41 +182,37 @@ def edited(text: str, following: str) -> str:
 def beside_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows dealt into buckets of neighbouring ids: ``bucket, borrowed, doc_id, text``, sorted in each partition.
 
-    Each bucket ends with a copy of the next bucket's first rows (``borrowed``), so every row stands before
-    its successor in some bucket, and the texts are shuffled once. Null ids come last.
+    Each bucket ends with a copy of the next bucket's first row (``borrowed``), so every row stands before its
+    successor in some bucket, and the texts are shuffled once. The order is that of ids (null ids last), then of
+    the texts' first TIE code points, then of the rows' places in the table, so rows that share an id, or have
+    none, are dealt into as many buckets as others. The driver holds one row for each BUCKET_ROWS rows.
     """
-    docs = id_text(df, id_col, text_col)
-    n = docs.count()
-    buckets = min(BUCKETS, max(1, -(-n // BUCKET_ROWS)))
-    splits: list[int] = []
-    if buckets > 1:
-        # at most BUCKETS numbers, whatever the table's size
-        found = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], F.lit(20_000))).first()[0]
-        splits = sorted(set(found or []))
-    edges = np.array(splits, np.int64)
-    nulls = len(edges) + 1
-
-    def places(ids: pd.Series) -> np.ndarray:
-        gone = ids.isna().to_numpy()
-        return np.where(gone, nulls, np.searchsorted(edges, ids.fillna(0).to_numpy(dtype=np.int64), side="right"))
-
-    @F.pandas_udf("int")
-    def own(ids: pd.Series) -> pd.Series:
-        return pd.Series(places(ids))
-
-    firsts = docs.select("doc_id", own("doc_id").alias("bucket")).groupBy("bucket").agg(F.min("doc_id").alias("first")).toArrow()
-    # a bucket's first id and the bucket before it, around the end; at most BUCKETS + 2 pairs
-    heads = sorted((b, f) for b, f in zip(firsts["bucket"].to_pylist(), firsts["first"].to_pylist(), strict=True))
-    before = {f: heads[i - 1][0] for i, (_, f) in enumerate(heads)}
-
-    @F.pandas_udf("array<int>")
-    def both(ids: pd.Series) -> pd.Series:
-        first = [before.get(None if pd.isna(x) else int(x)) for x in ids]
-        return pd.Series([[p] if f is None else [p, f] for p, f in zip(places(ids).tolist(), first, strict=True)])
-
-    dealt = docs.select("doc_id", "text", F.posexplode(both("doc_id")).alias("borrowed", "bucket"))
-    dealt = dealt.repartitionById(nulls + 1, F.col("bucket"))
-    return dealt.sortWithinPartitions("bucket", "borrowed", F.col("doc_id").asc_nulls_last(), "text").select("bucket", "borrowed", "doc_id", "text")
+    docs = id_text(df, id_col, text_col).withColumn("tie", F.substring("text", 1, TIE)).withColumn("place", F.monotonically_increasing_id())
+    buckets = max(1, -(-docs.count() // BUCKET_ROWS))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("tie"), F.col("place")]
+    ranged = docs.select("doc_id", "tie", "place").repartitionByRange(buckets, *order).groupBy(F.spark_partition_id().alias("part"))
+    firsts = ranged.agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "tie", "place")).alias("e")).select("e.*").orderBy("gone", "doc_id", "tie", "place").toArrow()
+    known = firsts["doc_id"].drop_null().to_numpy()  # of the first rows with an id; the others come after them
+    rest = list(zip(firsts["tie"].to_pylist(), firsts["place"].to_pylist(), strict=True))
+    n = len(rest)
+
+    @F.arrow_udf("array<int>")
+    def places(ids: pa.Array, tie: pa.Array, place: pa.Array) -> pa.Array:
+        gone = ids.is_null().to_numpy(zero_copy_only=False)
+        value = ids.fill_null(0).to_numpy()
+        low = np.where(gone, len(known), np.searchsorted(known, value, side="left"))
+        high = np.where(gone, n, np.searchsorted(known, value, side="right"))
+        own = (high - 1).tolist()
+        out = [[x] for x in own]
+        for i in np.flatnonzero(low < high).tolist():  # some bucket begins with this id
+            key = (tie[i].as_py(), place[i].as_py())
+            at = bisect_right(rest, key, int(low[i]), int(high[i])) - 1
+            out[i] = [at, (at - 1) % n] if at >= low[i] and rest[at] == key else [at]
+        return pa.array(out, pa.list_(pa.int32()))
+
+    dealt = docs.select("doc_id", "text", "tie", "place", F.posexplode(places("doc_id", "tie", "place")).alias("borrowed", "bucket"))
+    dealt = dealt.repartitionById(max(n, 1), F.col("bucket"))
+    return dealt.sortWithinPartitions("bucket", "borrowed", *order).select("bucket", "borrowed", "doc_id", "text")
 
 
 def edited_likeness(df: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +220,7 @@ def edited_likeness(df: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id
 
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``. The next
     document is the one with the next larger id, after the last the first; rows with one id follow each other by
-    their texts, null ids come last; a table of one row is its own next. A null text counts as empty; other
+    their texts' first TIE code points, then by their places in the table, null ids come last; a table of one row is its own next. A null text counts as empty; other
     columns are ignored.
     """
 
@@ -247,6 +243,7 @@ def edited_likeness(df: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None  # a row whose successor has not come yet
+        current = None
         rows: list[tuple[int | None, str, str]] = []
         size = 0
         done = None  # a bucket whose last row has met its successor
@@ -254,6 +251,9 @@ def edited_likeness(df: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id
             for bucket, borrowed, doc, text in zip(*(part.column(c).to_pylist() for c in ("bucket", "borrowed", "doc_id", "text")), strict=True):
                 if bucket == done:
                     continue
+                if bucket != current and waiting is not None:
+                    raise RuntimeError(f"the rows changed between two scans: bucket {current} has no successor")
+                current = bucket
                 if waiting is not None:
                     rows.append((*waiting, text))
                     size += len(text)
@@ -264,6 +264,8 @@ def edited_likeness(df: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id
                 if size > 1 << 21:
                     yield flush(rows)
                     rows, size = [], 0
+        if waiting is not None:
+            raise RuntimeError(f"the rows changed between two scans: bucket {current} has no successor")
         if rows:
             yield flush(rows)
 

@@ -192,6 +192,41 @@ def test_edited_on_odd_rows(spark, odd, none, monkeypatch, rows):
     assert one["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("rows", [4096, 2, 5])
+def test_edited_with_large_and_repeated_ids(spark, monkeypatch, rows):
+    """Every row comes back, whatever its id, and every column of it as recomputed by hand."""
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", rows)
+    rng = random.Random(rows)
+    top = (1 << 63) - 1
+    ids = [(1 << 53) - 1, 1 << 53, (1 << 53) + 1, (1 << 53) + 3, -(1 << 53) - 1, top, top - 1, -top - 1, None, None, None, 5, 5, 5, 5, 5, 5]
+    for _ in range(6):
+        data = [(i, " ".join(rng.choice(["sun", "moon", "Star", "ö", "x" * 60]) for _ in range(rng.randrange(12)))) for i in rng.sample(ids, rng.randrange(1, len(ids)))]
+        data += [data[0]] * rng.randrange(4)
+        got = sampling.edited_likeness(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)).collect()
+        order = sorted(data, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        coder = sampling.Sampler()
+        want = Counter()
+        for (i, a), (_, b) in zip(order, order[1:] + order[:1], strict=True):
+            text = sampling.edited(a, b)
+            mine, other, nxt = coder.signatures([a, text, b])
+            prints = sampling.as_text(np.stack([mine, other]))
+            want[i, len(a), hashlib.sha256(text.encode()).hexdigest(), *prints, float((mine == other).mean()), float((mine == nxt).mean())] += 1
+        tied = len({(i, t) for i, t in data}) > len({(i, t[: sampling.TIE]) for i, t in data})
+        if not tied:
+            assert Counter(tuple(r) for r in got) == want
+        assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in data)
+
+
+def test_signature_by_hand():
+    """A sample is the term with the smallest value; equal draws are equal marks."""
+    text = "one two two three"
+    coder = sampling.Sampler(16)
+    found = sorted(sampling.terms(text).items())
+    value, mark = coder.draw(found)
+    want = [int(mark[min(range(len(found)), key=lambda k: value[k, s]), s]) for s in range(16)]
+    assert coder.signatures([text])[0].tolist() == want
+
+
 # -- near-duplicates -------------------------------------------------------------------------------------
 
 
