@@ -10,23 +10,50 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import chain
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex
+from tokenizers.pre_tokenizers import Split
 
 from .common import id_text, slices, texts
 
-#: The pattern that the byte-level pre-tokenizer splits by, with Unicode's white space spelt out.
-SPACE = r"\t-\r\x20\x85\xa0  -     　"
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: The words that the byte-level pre-tokenizer splits by, for given sets of letters, numbers and white space.
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+#: The code points that Unicode has given or may soon give classes to (the planes beyond hold none, or private ones).
+PLANES = 0x40000
 
 #: Words whose encodings a worker keeps between batches, and token pairs whose verdicts it keeps.
 KEPT_WORDS, KEPT_PAIRS = 250_000, 400_000
 
 
+@cache
+def library_classes() -> dict[str, list[tuple[int, int]]]:
+    """The library's own letters, numbers and white space, as ranges of code points (first, last).
+
+    Python's Unicode tables are of another version, so nothing is taken from them; once in a process.
+    """
+    points = [*range(0xD800), *range(0xE000, PLANES)]
+    every = "".join(map(chr, points))
+    out = {}
+    for name, one in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s")):
+        found = Split(Regex(one + "+"), "removed", invert=True).pre_tokenize_str(every)
+        out[name] = []
+        for text, _ in found:  # a run may pass over the surrogates, which no text holds
+            out[name].append((ord(text[0]), ord(text[-1])))
+    return out
+
+
+def words_pattern() -> str:
+    """PATTERN with the library's classes spelt out."""
+    spelt = {k: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in v) for k, v in library_classes().items()}
+    return PATTERN.format(**spelt)
+
+
 def byte_symbols() -> dict[str, int]:
     """The printable stand-in of each byte in byte-level vocabulary files."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -131,8 +158,8 @@ class TrieEncoder:
         for token, i in self.special.items():
             self.token_bytes[i] = token.encode()
         self.begins = {t[:n] for t in self.ids for n in range(1, len(t) + 1)}
-        self.words = regex.compile(WORDS)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.words = re.compile(words_pattern())
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, tuple[int, ...]] = {t: (i,) for t, i in self.special.items()}
 
     def traverse(self, words: list[bytes]) -> Iterator[tuple[int, ...]]:

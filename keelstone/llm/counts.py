@@ -14,18 +14,18 @@ tells each chunk's real start and so each text's count.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Regex
-from tokenizers.pre_tokenizers import Split
+from tokenizers import normalizers
 
-from .bpe import Merges, byte_symbols
+from .bpe import Merges, byte_symbols, library_classes
 from .common import id_text, slices, texts
 
 #: Contractions that are words of their own.
@@ -36,6 +36,9 @@ CHUNK, COLUMNS, CELLS, STATES, MOST_CELLS, MOST_STATES = 384, 384, 24_000_000, 2
 #: Symbols beyond Unicode: the end of a text (also padding), and a special token's string.
 END, SPECIAL = 0x110000, 0x110001
 EMIT = 128
+#: Blocks of old scripts, on which Python's Unicode tables and the library's agree (tests try them all).
+_OLD = re.compile("[^\x00-\u024f\u0370-\u052f\u2000-\u206f\u20a0-\u20bf\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3]")
+_LOWER = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 
 
 class Full(Exception):
@@ -52,7 +55,7 @@ class Transducer:
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.special = [x["content"] for x in spec["added_tokens"]]
-        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         vocab = {k: v for k, v in model["vocab"].items() if k not in self.special}
         self.merges = Merges(vocab, model["merges"])
         good, end = self.merges.reachable(), self.suffix
@@ -67,7 +70,8 @@ class Transducer:
                     self.begins.add(body)  # a closed token may be longer by nothing but its suffix
         self.symbol = {b: s for s, b in byte_symbols().items()}
         # the library's own character classes, so that both follow one version of Unicode
-        self.classes = [(k, Split(Regex(p), "removed", invert=True)) for k, p in (("S", r"\s"), ("L", r"\p{L}"), ("N", r"\p{N}"))]
+        ranges = sorted((a, b, k) for k, v in library_classes().items() for a, b in v)
+        self.firsts, self.classes = [a for a, _, _ in ranges], ranges
         self.clear()
 
     # -- the machine, one symbol at a time -------------------------------------------------------
@@ -102,8 +106,8 @@ class Transducer:
             if cp >= END:
                 found = "end" if cp == END else "special"
             else:
-                c = chr(cp)
-                found = next((k for k, p in self.classes if p.pre_tokenize_str(c)), "O")
+                _, last, name = self.classes[max(bisect_right(self.firsts, cp) - 1, 0)]
+                found = name if self.firsts[0] <= cp <= last else "O"
             self.kinds[cp] = found
         return found
 
@@ -211,7 +215,10 @@ class Transducer:
         """A text's code points as the file's normaliser leaves them, special strings as one symbol each."""
 
         def plain(part: str) -> np.ndarray:
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            if part.isascii() or not _OLD.search(part):
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            else:
+                part = _LOWER.normalize_str(part)
             return np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32)
 
         if self.cut is None or not any(s in text for s in self.special):

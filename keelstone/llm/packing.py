@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .bpe import WORDS, encoder
+from .bpe import encoder, words_pattern
 from .common import id_text, slices, texts
 
 #: Pieces that one task packs; each shard of this size leaves a few sequences part full.
@@ -36,7 +36,7 @@ def rank_encoder(ranks: str, special: dict[str, int]):
     if key not in _LOADED:
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _LOADED[key] = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=table, special_tokens=special)
+        _LOADED[key] = tiktoken.Encoding("ranks", pat_str=words_pattern(), mergeable_ranks=table, special_tokens=special)
     return _LOADED[key]
 
 

@@ -20,6 +20,43 @@ def random_texts(n, seed=1):
     return ["".join(rng.choice(rng.choice(POOLS)) if rng.random() < 0.9 else any_char() for _ in range(rng.randrange(50))) for _ in range(n)] + FIXED
 
 
+#: All code points; of the planes that no character has been given to, and of private ones, every 16th.
+EVERY = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x40000), *range(0x40000, 0x110000, 16))]
+
+
+def sweeps(step):
+    """Every code point in four contexts, ``step`` of them in a text."""
+    for at in range(0, len(EVERY), step):
+        some = EVERY[at : at + step]
+        yield from ("\n".join(a + c + b for c in some) for a, b in (("", "'s"), (" ", ""), ("!", ""), ("", "1")))
+
+
+def test_every_code_point_in_four_contexts(byte_json, word_json, ranks):
+    theirs, words = Tokenizer.from_file(byte_json), Tokenizer.from_file(word_json)
+    ours, machine = TrieEncoder(byte_json), Transducer(word_json)
+    wrong = []
+    for text in sweeps(4096):
+        want = theirs.encode(text, add_special_tokens=False).ids
+        if ours.encode([text])[0] != want or packing.token_ids(text, byte_json, ranks) != want:
+            wrong.append(text)
+        ours.cache.clear()
+    assert not wrong
+    for text in sweeps(16384):
+        if machine.walk(text) != len(words.encode(text, add_special_tokens=False).ids):
+            wrong.append(text)
+    assert not wrong
+
+
+def test_lower_case_of_every_code_point(word_json):
+    """The transducer's quick way to lower case is taken only where it equals the library's."""
+    machine = Transducer(word_json)
+    theirs = Tokenizer.from_file(word_json).normalizer
+    for c in EVERY:
+        if not c.isspace():
+            text = f"a{c}b"
+            assert "".join(map(chr, machine.normal(text).tolist())) == theirs.normalize_str(text), hex(ord(c))
+
+
 def test_trie_equals_the_library(byte_json):
     ours, theirs = TrieEncoder(byte_json), Tokenizer.from_file(byte_json)
     batch = random_texts(4000)
