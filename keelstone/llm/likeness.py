@@ -1,8 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose pairs, the sets decide.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash and MinHash propose groups, the sets decide.
 
-Every distinct text (its lower-case words) is a node. Nodes that agree in a band of MinHash values share a
-group. Each node is compared with its group's smallest node; then, in the groups that still hold several
-components, all pairs of nodes of different components are, a block of nodes in a task. Only exact similarities link: bands can miss a pair (see MISS), never make one.
+Every distinct text (its lower-case words) is a node. The components of the SimHash trie join are groups; as pairs
+of similarity 0.8 often differ in more bits than such a join can spend, nodes that agree in a band of MinHash
+values share a group as well. Each node is compared with its group's smallest node; then, in the groups that
+still hold several components, all pairs of nodes of different components are, a block of nodes in a task. Only
+exact similarities link: a group can miss a pair (see MISS), never make one.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from xxhash import xxh64_intdigest
 from ..session import stored
 from .common import id_text, slices, texts
 from .graph import components
-from .simhash import keep_rows
+from .simhash import keep_rows, line_of, majority, near_links, shingles
 
 #: Bands, and MinHash values in each. A pair of similarity s is proposed with probability 1 - (1 - s ** ROWS) ** BANDS.
 BANDS, ROWS = 24, 5
@@ -30,25 +32,13 @@ _MASKS, _FACTORS = np.random.default_rng(8).integers(0, 1 << 64, (2, BANDS * ROW
 _FACTORS |= np.uint64(1)
 
 
-def line_of(text: str) -> bytes:
-    """The words of a text, as simhash.fingerprint() finds them, with single spaces."""
-    return b" ".join(text.encode("utf-8", "replace").lower().split())
-
-
 def node_of(line: bytes) -> int:
     return xxh64_intdigest(line, 7)
 
 
-def shingles(line: bytes, shingle: int = 5) -> np.ndarray:
-    """The sorted distinct hashes of a line's word shingles; all of a shorter line is one; none without words."""
-    words = line.split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) <= shingle:
-        return np.array([xxh64_intdigest(line)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    begins = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1].tolist()
-    return np.unique(np.array([xxh64_intdigest(line[a:b]) for a, b in zip(begins, ends[shingle - 1 :].tolist(), strict=True)], np.uint64))
+def set_of(hashes: np.ndarray) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(hashes)
 
 
 def bands(found: np.ndarray) -> list[int]:
@@ -72,15 +62,17 @@ def _signed(values: list[int]) -> np.ndarray:
 
 
 def marks(df: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, node, keys`` of every row; no shuffle."""
+    """``doc_id, node, fp, keys`` of every row: its SimHash and its bands; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             lines = [line_of(t) for t in texts(part)]
-            keys = [_signed(bands(shingles(x, shingle))) for x in lines]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_signed([node_of(x) for x in lines])), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+            hashes = [shingles(x, shingle) for x in lines]
+            keys = [_signed(bands(set_of(h))) for h in hashes]
+            node, fp = (pa.array(_signed(x)) for x in ([node_of(x) for x in lines], [majority(h) for h in hashes]))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), node, fp, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "keys"])
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id bigint, node bigint, keys array<bigint>")
+    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id bigint, node bigint, fp bigint, keys array<bigint>")
 
 
 def sets_of(df: DataFrame, wanted: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,7 +84,7 @@ def sets_of(df: DataFrame, wanted: DataFrame, shingle: int = 5, id_col: str = "d
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingles(line_of(t), shingle).tobytes() for t in texts(part)], pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([set_of(shingles(line_of(t), shingle)).tobytes() for t in texts(part)], pa.binary())], names=["node", "shingles"])
 
     mine = id_text(df, id_col, text_col).mapInArrow(name, "doc_id bigint, text string, node bigint")
     mine = mine.join(wanted.withColumnRenamed("node", "w"), (F.col("node") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("first")))
@@ -170,11 +162,14 @@ def open_links(at: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return dealt.select("block", "node", "root", "shingles").repartition("block").sortWithinPartitions("block").mapInArrow(run, "a bigint, b bigint")
 
 
-def rooted(df: DataFrame, seen: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rooted(df: DataFrame, seen: DataFrame, least: float = 0.8, shingle: int = 5, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``node, first, root`` of each node of the stored marks ``seen``: its smallest id, and its component's smallest node."""
     # equal nodes have equal keys, so one of them stands for all
-    distinct = stored(seen.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "nodes")
-    keyed = distinct.select("node", F.explode("keys").alias("key"))
+    distinct = stored(seen.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    # texts without words have no bands: their one node needs no group
+    near = components(near_links(distinct.filter(F.size("keys") > 0).select("fp").distinct(), budget)).select(F.col("node").alias("f"), F.col("root").alias("near"))
+    same = distinct.filter(F.size("keys") > 0).join(near, F.col("fp") == F.col("f"), "left").select("node", F.xxhash64(F.lit("simhash"), F.coalesce("near", "fp")).alias("key"))
+    keyed = distinct.select("node", F.explode("keys").alias("key")).unionByName(same)
     groups = keyed.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "low")
     members = stored(keyed.join(groups, "key").select("key", "node", "low"), "members")
     wanted = distinct.select("node", "first").join(members.select("node").distinct(), "node", "left_semi")
@@ -187,11 +182,12 @@ def rooted(df: DataFrame, seen: DataFrame, least: float = 0.8, shingle: int = 5,
     return distinct.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).checkpoint()
 
 
-def keep_one(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, least: float = 0.8, shingle: int = 5, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their group: one of each component of pairs of similarity ``least``.
 
-    Rows stay as in simhash.keep_one(). Texts without words are one group.
+    ``budget``: the bits within which SimHash links. Rows stay as in simhash.keep_one(): the smallest id of a group
+    (of rows that repeat an id, one), null ids only where it has no other. Texts without words are one group.
     """
     seen = stored(marks(docs, shingle, id_col, text_col), "marks")
-    nodes = rooted(docs, seen, least, shingle, id_col, text_col).withColumnRenamed("node", "fp")
+    nodes = rooted(docs, seen, least, shingle, budget, id_col, text_col).withColumnRenamed("node", "fp")
     return keep_rows(docs, nodes, lambda t: node_of(line_of(t)), id_col, text_col)

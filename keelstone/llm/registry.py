@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import site
-import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +14,11 @@ from ..session import prepare, table
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file; KEELSTONE_TOKENIZERS names another folder."""
     folder = os.environ.get("KEELSTONE_TOKENIZERS")
-    if not folder:
-        places = [*sys.path, *site.getsitepackages()]
-        folder = next((f"{p}/public_tokenizers" for p in places if os.path.isdir(f"{p}/public_tokenizers")), "/opt/tokenizers")
-    return os.path.join(folder, name)
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:

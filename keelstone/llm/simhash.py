@@ -28,24 +28,36 @@ FOREST_ROWS, FRONTIER = 150_000, 400_000
 HOT_GROUP = 20_000
 
 
-def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words."""
-    words = text.encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    line = b" ".join(words)
-    if len(words) <= shingle:
-        return xxh64_intdigest(line, seed)
-    size = np.fromiter(map(len, words), np.int64, len(words))
+def line_of(text: str) -> bytes:
+    """The words of a text with single spaces between: A-Z lowered, cut at ASCII white space only."""
+    return b" ".join(text.encode("utf-8", "replace").lower().split())
+
+
+def shingles(line: bytes, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle of a line, repeats included; all of a shorter line is one; none without words."""
+    if not line:
+        return np.zeros(0, np.uint64)
+    size = np.fromiter(map(len, line.split(b" ")), np.int64)
+    if len(size) <= shingle:
+        return np.array([xxh64_intdigest(line, seed)], np.uint64)
     ends = np.cumsum(size + 1) - 1
-    begins = (ends - size)[: len(words) - shingle + 1].tolist()
-    h = np.fromiter([xxh64_intdigest(line[a:b], seed) for a, b in zip(begins, ends[shingle - 1 :].tolist(), strict=True)], np.uint64, len(begins))
+    begins = (ends - size)[: len(size) - shingle + 1].tolist()
+    return np.fromiter([xxh64_intdigest(line[a:b], seed) for a, b in zip(begins, ends[shingle - 1 :].tolist(), strict=True)], np.uint64, len(begins))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without any."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 14):
         votes += np.unpackbits(h[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * votes > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
+    """64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words."""
+    return majority(shingles(line_of(text), shingle, seed))
+
+
 def fingerprints(df: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` (as a signed bigint) of every row; no shuffle."""
 

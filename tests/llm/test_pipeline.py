@@ -17,10 +17,11 @@ def test_pipeline_equals_plain_steps(spark):
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     forest = quality.learn(docs, labels)
     kept = sorted(i for i, t in rows.items() if forest.predict(quality.features([t]))[0] >= corpus_pipeline.THRESHOLD)
-    prints = {i: simhash.fingerprint(rows[i]) for i in kept}
+    words = {i: rows[i].encode().lower().split() for i in kept}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
     stay, groups = [], []
-    for i in kept:  # ascending ids: the first of a group stays
-        near = [g for g in groups if any((prints[i] ^ prints[j]).bit_count() <= 4 for j in g)]
+    for i in kept:  # five words, similarity 0.8; ascending ids: the first of a group stays
+        near = [g for g in groups if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in g)]
         groups = [g for g in groups if g not in near] + [sorted([i, *(j for g in near for j in g)])]
     stay = {min(g) for g in groups}
     tag = pii.Tagger(pii.trained())
