@@ -128,9 +128,36 @@ def plain_katz(rows):
     return scores, sums
 
 
-@pytest.mark.parametrize(("block", "part", "share"), [(2_000_000, 2_000_000, 1000), (3000, 5000, 1000), (3000, 5000, 10)])
-def test_katz_equals_dictionaries(spark, docs, monkeypatch, block, part, share):
+def test_katz_sums_beyond_32_bits():
+    keys, big = np.array([3, 9], np.uint64), np.array([2**32 - 1, 7], np.uint64)
+    items = katz.Words(keys, big, 4)
+    whole = katz.Words.merged([items.ask(np.arange(2)), items.ask(np.arange(2)), items.ask(np.arange(1))], 4)
+    assert whole.count.tolist() == [3 * (2**32 - 1), 14]
+
+
+@pytest.mark.parametrize(("blocks", "pieces", "fan"), [(1, 1, 256), (300, 40, 256), (70, 300, 4), (5, 2, 2)])
+def test_katz_exchange(blocks, pieces, fan):
+    """A block sends at most ``fan`` messages and every key meets in one partition."""
+    tree = katz.Exchange(blocks, pieces, fan)
+    assert tree.parts >= pieces and (tree.depth == 1 or tree.fan <= fan)
+    rng = np.random.default_rng(1)
+    at = {b: [katz.Words(np.unique(rng.integers(0, 5000, 300).astype(np.uint64)), np.zeros(300, np.uint64), tree.parts)] for b in range(blocks)}
+    for level in range(1, tree.depth + 1):
+        nodes = {}
+        for child, items in at.items():
+            sent = list(tree.messages(child, level, items[0]))
+            assert len(sent) <= max(fan, tree.fan)
+            for node, _, data in sent:
+                nodes.setdefault(node, []).append(data)
+        at = {n: [katz.Words.merged(d, tree.parts)] for n, d in nodes.items()}
+    keys = np.concatenate([x[0].keys for x in at.values()])
+    assert len(keys) == len(np.unique(keys)) and set(at) <= set(range(tree.parts))
+
+
+@pytest.mark.parametrize(("block", "part", "share", "fan"), [(2_000_000, 2_000_000, 1000, 256), (3000, 5000, 1000, 256), (3000, 5000, 10, 256), (3000, 5000, 10, 2)])
+def test_katz_equals_dictionaries(spark, docs, monkeypatch, block, part, share, fan):
     monkeypatch.setattr(katz, "HOT_SHARE", share)
+    monkeypatch.setattr(katz, "FAN", fan)
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()[:60]] + [(1001, None), (1002, ""), (1003, "zzz  THE the\vqqq")]
     scores, sums = plain_katz(rows)
     assert np.allclose(sums, 1)
