@@ -9,7 +9,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +83,7 @@ def shape(word: str) -> str:
 
 
 def observe(word: str) -> tuple[str, ...]:
-    """The features of one word."""
+    """The features of one word; counts of digits from 20 up are one feature."""
     bare = word.strip(".,;:!?\"'")
     found = ["shape=" + shape(bare), f"digits={min(sum(c.isdigit() for c in word), 20)}"]
     if cue := CUES.get(word.lower().rstrip(",;")):
@@ -155,10 +157,13 @@ class Field:
         self.index = {n: i for i, n in enumerate(names)}
         self.weight, self.moves, self.start = weight, moves, start  # weight: 3 x features x labels
 
-    def emissions(self, word: str) -> np.ndarray:
+    def rows(self, word: str) -> tuple[int, ...]:
+        """The features of a word that training has met: all that tells words apart, so classes of words are few."""
+        return tuple(self.index[f] for f in observe(word) if f in self.index)
+
+    def emissions(self, rows: tuple[int, ...]) -> np.ndarray:
         """3 x labels: what a word adds to the scores of the next word, of itself and of the word before."""
-        rows = [self.index[f] for f in observe(word) if f in self.index]
-        return self.weight[:, rows].sum(axis=1)
+        return self.weight[:, list(rows)].sum(axis=1)
 
 
 def train(table: list[list[tuple[str, str]]], rounds: int = 140, rate: float = 0.12, ridge: float = 0.01) -> Field:
@@ -240,14 +245,18 @@ def viterbi(field: Field, score: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Tagger:
-    """Decodes lines with a field; remembers words' emissions, up to a bound."""
+    """Decodes lines with a field; remembers the classes of words, up to a bound.
+
+    A class is a set of features that training has met: a shape or none, a count of digits, a cue or none and two
+    marks, so there are at most some thousands, whatever the texts.
+    """
 
     KEPT = 200_000
 
     def __init__(self, field: Field):
         self.field = field
-        self.vectors: list[np.ndarray] = [np.zeros((3, len(LABELS)))]
-        self.classes: dict[tuple[str, ...], int] = {}
+        self.vectors = np.zeros((64, 3, len(LABELS)))  # by class; 0: beyond a line's ends
+        self.classes: dict[tuple[int, ...], int] = {}
         self.words: dict[str, int] = {}
         self.calm: list[bool] = [True]
         self.lead = np.full((3, len(LABELS)), -1e9)
@@ -279,13 +288,14 @@ class Tagger:
         if found is None:
             if len(self.words) >= self.KEPT:
                 self.words.clear()
-            features = observe(word)
+            features = self.field.rows(word)
             found = self.classes.get(features)
             if found is None:
-                found = self.classes[features] = len(self.vectors)
-                v = self.field.emissions(word)
-                self.vectors.append(v)
-                self.calm.append(self.joins_calm(v))
+                found = self.classes[features] = len(self.calm)
+                if found == len(self.vectors):
+                    self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+                self.vectors[found] = self.field.emissions(features)
+                self.calm.append(self.joins_calm(self.vectors[found]))
             self.words[word] = found
         return found
 
@@ -305,7 +315,7 @@ class Tagger:
                     lines.append((i, at, line, ids))
                 at += len(line) + 1
         lines.sort(key=lambda x: -len(x[3]))
-        vectors = np.array(self.vectors)
+        vectors = self.vectors
         k = 0
         while k < len(lines):
             width = len(lines[k][3])
@@ -379,8 +389,11 @@ def all_spans(batch: list[str], tag: Tagger) -> list[tuple[list, list]]:
     for text, extra in zip(batch, tag.spans(batch), strict=True):
         base = base_spans(text)
         kept, free = list(base), 0
+        starts = [x for x, _, _ in base]
+        reach = list(accumulate((y for _, _, y in base), max))  # the furthest end of the spans up to each
         for a, kind, b in sorted(extra):
-            if a >= free and sound(kind, text[a:b]) and not any(x < b and a < y for x, _, y in base):
+            before = bisect_left(starts, b)  # base spans that start before b
+            if a >= free and (not before or reach[before - 1] <= a) and sound(kind, text[a:b]):
                 kept.append((a, kind, b))
                 free = b
         out.append((base, sorted(kept)))
@@ -431,7 +444,8 @@ def find_pii(df: DataFrame, field: Field | None = None, id_col: str = "doc_id",
 def redact(docs: DataFrame, field: Field | None = None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The rows of ``docs``, all columns, with personal data in the text replaced by its kind in brackets.
 
-    ``length_col``, where ``docs`` has it, becomes the new text's length in code points. A null text stays null.
+    ``length_col``, where ``docs`` has it, becomes the new text's length in code points. A null text stays null,
+    repeated rows are each redacted alike, null ids matter not.
     """
     field = field or trained()
 

@@ -26,7 +26,7 @@ SAMPLES, KEPT = 64, 150_000
 #: Words longer than this are cut where two neighbouring characters say so, every 16 characters or so: for scripts without spaces.
 LONG_WORD, CUT = 40, 16
 #: Rows in a bucket of neighbouring documents; code points by which rows of one id are told apart.
-BUCKET_ROWS, TIE = 4096, 64
+BUCKET_ROWS, TIE = 16_384, 16
 
 
 def terms(text: str) -> Counter:
@@ -193,8 +193,8 @@ def beside_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ranged = docs.select("doc_id", "tie", "place").repartitionByRange(buckets, *order).groupBy(F.spark_partition_id().alias("part"))
     firsts = ranged.agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "tie", "place")).alias("e")).select("e.*").orderBy("gone", "doc_id", "tie", "place").toArrow()
     known = firsts["doc_id"].drop_null().to_numpy()  # of the first rows with an id; the others come after them
-    rest = list(zip(firsts["tie"].to_pylist(), firsts["place"].to_pylist(), strict=True))
-    n = len(rest)
+    ties, begins = firsts["tie"].combine_chunks(), firsts["place"].to_numpy()
+    n = len(begins)
 
     @F.arrow_udf("array<int>")
     def places(ids: pa.Array, tie: pa.Array, place: pa.Array) -> pa.Array:
@@ -204,10 +204,14 @@ def beside_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         high = np.where(gone, n, np.searchsorted(known, value, side="right"))
         own = (high - 1).tolist()
         out = [[x] for x in own]
+        rests: dict[int, list] = {}
         for i in np.flatnonzero(low < high).tolist():  # some bucket begins with this id
+            a, b = int(low[i]), int(high[i])
+            if a not in rests:
+                rests[a] = list(zip(ties[a:b].to_pylist(), begins[a:b].tolist(), strict=True))
             key = (tie[i].as_py(), place[i].as_py())
-            at = bisect_right(rest, key, int(low[i]), int(high[i])) - 1
-            out[i] = [at, (at - 1) % n] if at >= low[i] and rest[at] == key else [at]
+            at = a + bisect_right(rests[a], key) - 1
+            out[i] = [at, (at - 1) % n] if at >= a and rests[a][at - a] == key else [at]
         return pa.array(out, pa.list_(pa.int32()))
 
     dealt = docs.select("doc_id", "text", "tie", "place", F.posexplode(places("doc_id", "tie", "place")).alias("borrowed", "bucket"))
