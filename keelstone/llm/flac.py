@@ -13,8 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import id_text, slices, texts
+from .common import id_text, quoted, slices, texts
 
 #: Fixed values of the format.
 RATE, BITS, BLOCK = 8000, 8, 4096
@@ -214,48 +215,175 @@ class Corrupt(ValueError):
 
 
 def metadata(data: bytes) -> tuple[dict, list[tuple[int, int, int]], int]:
-    """STREAMINFO, the seek points (first sample, byte offset, samples), and where the frames begin."""
+    """STREAMINFO, the seek points (first sample, byte offset, samples; no placeholders), and where the frames begin."""
     if data[:4] != b"fLaC":
         raise Corrupt("no fLaC marker")
-    at, info, seek = 4, None, []
-    while True:
+    at, info, seek, last = 4, None, [], 0
+    while not last:
         if at + 4 > len(data):
             raise Corrupt("metadata is cut off")
         last, kind, size = data[at] >> 7, data[at] & 0x7F, int.from_bytes(data[at + 1 : at + 4], "big")
         body = data[at + 4 : at + 4 + size]
         at += 4 + size
+        if len(body) < size or kind == 0 and size < 34:
+            raise Corrupt("metadata is cut off")
         if kind == 0:
             packed = int.from_bytes(body[10:18], "big")
             info = {"rate": packed >> 44, "channels": (packed >> 41 & 7) + 1, "bits": (packed >> 36 & 31) + 1, "samples": packed & (1 << 36) - 1, "md5": body[18:34]}
         elif kind == 3:
-            seek = [(int.from_bytes(body[i : i + 8], "big"), int.from_bytes(body[i + 8 : i + 16], "big"), int.from_bytes(body[i + 16 : i + 18], "big")) for i in range(0, size, 18)]
-        if last:
-            break
+            points = [(int.from_bytes(body[i : i + 8], "big"), int.from_bytes(body[i + 8 : i + 16], "big"), int.from_bytes(body[i + 16 : i + 18], "big")) for i in range(0, size // 18 * 18, 18)]
+            seek = [x for x in points if x[0] < (1 << 64) - 1]
     if info is None:
         raise Corrupt("no STREAMINFO")
     return info, seek, at
 
 
 def frame_header(data: bytes, at: int) -> tuple[int, int, int]:
-    """Frame number, samples and the first byte after a header of the kind that header() writes."""
-    if data[at : at + 2] != b"\xff\xf8" or data[at + 2] >> 4 != 7:
+    """Frame (or first sample's) number, samples and the first byte after the header of an 8-bit mono frame."""
+    head = data[at : at + 16]
+    if len(head) < 6 or head[0] != 0xFF or head[1] & 0xFE != 0xF8:
         raise Corrupt("no frame where one should begin")
-    lead, p = data[at + 4], at + 5
-    if lead < 0x80:
-        number = lead
+    size, rate, lead = head[2] >> 4, head[2] & 15, head[4]
+    if head[3] >> 4 or head[3] >> 1 & 7 not in (0, 1):
+        raise Corrupt("only one channel of 8 bits is supported")
+    tail = max(0, 7 - (lead ^ 0xFF).bit_length())
+    if head[3] & 1 or size == 0 or rate == 15 or lead == 0xFF or lead >= 0x80 and tail == 0:
+        raise Corrupt("a frame header with reserved values")
+    number, p = lead & ((1 << (6 - tail)) - 1) if tail else lead, 5
+    for byte in head[5 : 5 + tail]:
+        number, p = number << 6 | byte & 0x3F, p + 1
+    spelt = {6: 1, 7: 2}.get(size, 0)
+    if spelt:
+        n = int.from_bytes(head[p : p + spelt], "big") + 1
     else:
-        tail = 8 - (lead ^ 0xFF).bit_length() - 1
-        number = lead & ((1 << (6 - tail)) - 1)
-        for _ in range(tail):
-            number, p = number << 6 | data[p] & 0x3F, p + 1
-    n = int.from_bytes(data[p : p + 2], "big") + 1
-    if crc8(data[at : p + 2]) != data[p + 2]:
+        n = 192 if size == 1 else 576 << (size - 2) if size < 6 else 256 << (size - 8)
+    p += spelt + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if p >= len(head):
+        raise Corrupt("a frame header is cut off")
+    if crc8(head[:p]) != head[p]:
         raise Corrupt("a frame header's CRC-8 differs")
-    return number, n, p + 3
+    return number, n, at + p + 1
+
+
+def frame_table(data: bytes) -> tuple[dict, list[tuple[int, int, int, int]]]:
+    """STREAMINFO, and of each frame its first sample, its samples, and where its bytes begin and end.
+
+    A seek table that names every frame is taken at its word (decoding verifies it); without one, frames are
+    found by their sync codes and both checksums.
+    """
+    info, seek, at = metadata(data)
+    if info["channels"] != 1 or info["bits"] != BITS:
+        raise Corrupt("only one channel of 8 bits is supported")
+    firsts = [x for x, _, _ in seek]
+    if seek and firsts[0] == 0 == seek[0][1] and [x + n for x, _, n in seek] == [*firsts[1:], info["samples"]]:
+        ends = [o for _, o, _ in seek[1:]] + [len(data) - at]
+        return info, [(x, n, at + o, at + e) for (x, o, n), e in zip(seek, ends, strict=True)]
+    out, first = [], 0
+    while at < len(data):
+        n, end = frame_header(data, at)[1], at + 2
+        while True:
+            end = data.find(b"\xff", end + 1)
+            if end < 0:
+                end = len(data)
+            elif end + 1 >= len(data) or data[end + 1] & 0xFE != 0xF8:
+                continue
+            if crc16_each([data[at : end - 2]])[0] == int.from_bytes(data[end - 2 : end], "big"):
+                break
+            if end == len(data):
+                raise Corrupt("a frame's CRC-16 differs")
+        out.append((first, n, at, end))
+        first, at = first + n, end
+    return info, out
+
+
+def plain_frame(frame: bytes) -> np.ndarray:
+    """Samples of one frame, read bit by bit: for what the lock-step decoder leaves (wasted bits, 5-bit parameters)."""
+    _, n, p = frame_header(frame, 0)
+    bits = "".join(f"{b:08b}" for b in frame[p:-2])
+    at = 0
+
+    def take(width: int) -> int:
+        nonlocal at
+        at += width
+        if at > len(bits):
+            raise Corrupt("a frame is cut off")
+        return int(bits[at - width : at], 2) if width else 0
+
+    def signed(width: int) -> int:
+        v = take(width)
+        return v - (1 << width) if width and v >> (width - 1) else v
+
+    def unary() -> int:
+        nonlocal at
+        stop = bits.find("1", at)
+        if stop < 0:
+            raise Corrupt("a frame is cut off")
+        zeros, at = stop - at, stop + 1
+        return zeros
+
+    zero, kind, wasted = take(1), take(6), take(1)
+    wasted = 1 + unary() if wasted else 0
+    depth = BITS - wasted
+    if zero or depth < 1:
+        raise Corrupt("a subframe header with reserved values")
+    if kind == 0:
+        out = [signed(depth)] * n
+    elif kind == 1:
+        out = [signed(depth) for _ in range(n)]
+    elif 8 <= kind <= 12 or kind >= 32:
+        order = kind - 8 if kind < 32 else kind - 31
+        out = [signed(depth) for _ in range(order)]
+        weights, scale = FIXED.get(kind - 8, ()), 0
+        if kind >= 32:
+            precision, scale = take(4) + 1, signed(5)
+            weights = [signed(precision) for _ in range(order)]
+        method, level = take(2), take(4)
+        if method > 1 or n % (1 << level) or n >> level < order or scale < 0:
+            raise Corrupt("residuals with reserved values")
+        width = 4 + method
+        for part in range(1 << level):
+            rice = take(width)
+            raw = take(5) if rice == (1 << width) - 1 else None
+            for _ in range((n >> level) - (0 if part else order)):
+                if raw is not None:
+                    v = signed(raw)
+                else:
+                    v = unary() << rice | take(rice)
+                    v = (v >> 1) ^ -(v & 1)
+                out.append(v + (sum(w * x for w, x in zip(weights, reversed(out[-len(weights) :] if weights else []), strict=True)) >> scale))
+    else:
+        raise Corrupt("a subframe of an unknown kind")
+    return (np.array(out, np.int64) << wasted).astype(np.int8)
+
+
+def unusual(frame: bytes, p: int) -> bool:
+    """Whether a subframe has wasted bits or Rice parameters of another width than 4."""
+    kind, at = frame[p] >> 1 & 0x3F, 8 * (p + 1)
+    if frame[p] & 1:
+        return True
+    if kind >= 32:
+        at += BITS * (kind - 31)
+        precision = (int.from_bytes(frame[at // 8 : at // 8 + 2], "big") >> (12 - at % 8) & 15) + 1
+        at += 9 + precision * (kind - 31)
+    elif 8 <= kind <= 12:
+        at += BITS * (kind - 8)
+    else:
+        return False
+    return int.from_bytes(frame[at // 8 : at // 8 + 2], "big") >> (14 - at % 8) & 3 != 0
 
 
 def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
-    """Samples of frames with constant, verbatim, fixed or LPC subframes; both checksums are verified."""
+    """Samples of 8-bit mono frames of any subframe kind; both checksums are verified.
+
+    Whatever breaks the format raises Corrupt.
+    """
+    try:
+        return _decode(frames)
+    except (IndexError, OverflowError) as e:
+        raise Corrupt("a frame is cut off") from e
+
+
+def _decode(frames: list[bytes]) -> list[np.ndarray]:
     done: list[np.ndarray | None] = [None] * len(frames)
     heads = [frame_header(f, 0) for f in frames]
     order = sorted(range(len(frames)), key=lambda i: -heads[i][1])
@@ -283,11 +411,15 @@ def _decode_group(frames: list[bytes], heads: list[tuple[int, int, int]], some:
         number, n, p = heads[i]
         f = frames[i]
         kind = f[p] >> 1 & 0x3F
-        if f[p] & 0x81:
-            raise Corrupt("wasted bits are not supported")
-        if kind == 0:
+        if f[p] & 0x80:
+            raise Corrupt("a subframe header with reserved values")
+        if unusual(f, p):
+            done[i] = plain_frame(f)
+        elif kind == 0:
             done[i] = np.full(n, f[p + 1], np.uint8).view(np.int8)
         elif kind == 1:
+            if len(f) < p + 3 + n:
+                raise Corrupt("a frame is cut off")
             done[i] = np.frombuffer(f, np.int8, n, p + 1)
         elif 8 <= kind <= 12 or kind >= 32:
             rice.append((j, i))
@@ -341,10 +473,11 @@ def _decode_group(frames: list[bytes], heads: list[tuple[int, int, int]], some:
         for k in range(top):
             on = order[lpc] > k
             weights[k, lpc[on]] = signed(take(lpc[on], precision[on]), precision[on])
-    if (take(every, 2) > 0).any():
-        raise Corrupt("only Rice parameters of 4 bits are supported")
+    take(every, 2)
     level = take(every, 4)
     part = n >> level
+    if (n % (1 << level)).any() or (part < order).any() or (scale < 0).any():
+        raise Corrupt("residuals with reserved values")
     param, raw = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
     left = np.zeros(len(ids), np.int64)  # residuals left in the partition
     started = np.zeros(len(ids), bool)
@@ -408,21 +541,18 @@ def _decode_group(frames: list[bytes], heads: list[tuple[int, int, int]], some:
 
 
 def split_frames(data: bytes) -> list[bytes]:
-    """A stream's frames, as its seek table bounds them."""
-    info, seek, at = metadata(data)
-    ends = [o for _, o, _ in seek[1:]] + [len(data) - at]
-    return [data[at + a : at + b] for (_, a, _), b in zip(seek, ends, strict=True)]
+    """A stream's frames."""
+    return [data[a:b] for _, _, a, b in frame_table(data)[1]]
 
 
 def decode(streams: list[bytes]) -> list[bytes]:
-    """The byte strings that encode() was given; every frame's CRCs and each stream's MD5 are verified."""
-    parts = [split_frames(s) for s in streams]
-    samples, at, out = decode_frames([f for p in parts for f in p]), 0, []
-    for s, p in zip(streams, parts, strict=True):
-        whole = np.concatenate(samples[at : at + len(p)])
-        at += len(p)
-        info = metadata(s)[0]
-        if len(whole) != info["samples"] or hashlib.md5(whole.tobytes()).digest() != info["md5"]:
+    """The byte strings that encode() was given; every frame's CRCs and each stream's MD5 (where stated) are verified."""
+    tables = [frame_table(s) for s in streams]
+    samples, at, out = decode_frames([s[a:b] for s, (_, t) in zip(streams, tables, strict=True) for _, _, a, b in t]), 0, []
+    for info, t in tables:
+        whole = np.concatenate([np.zeros(0, np.int8), *samples[at : at + len(t)]])
+        at += len(t)
+        if info["samples"] not in (0, len(whole)) or any(info["md5"]) and hashlib.md5(whole.tobytes()).digest() != info["md5"]:
             raise Corrupt("the decoded samples differ from STREAMINFO")
         out.append((whole.view(np.uint8) ^ 0x80).tobytes())
     return out
@@ -430,16 +560,35 @@ def decode(streams: list[bytes]) -> list[bytes]:
 
 def read_samples(data: bytes, first: int, count: int) -> np.ndarray:
     """Samples ``first`` to ``first + count`` of a stream; only the frames that hold them are decoded."""
-    info, seek, at = metadata(data)
-    frames, starts = [], []
-    for k, (sample, offset, n) in enumerate(seek):
-        if sample < first + count and sample + n > first:
-            end = seek[k + 1][1] if k + 1 < len(seek) else len(data) - at
-            frames.append(data[at + offset : at + end])
-            starts.append(sample)
-    if not frames:
+    hit = [x for x in frame_table(data)[1] if x[0] < first + count and x[0] + x[1] > first]
+    if not hit:
         return np.zeros(0, np.int8)
-    return np.concatenate(decode_frames(frames))[first - starts[0] : first - starts[0] + count]
+    start = first - hit[0][0]
+    return np.concatenate(decode_frames([data[a:b] for _, _, a, b in hit]))[max(start, 0) : start + count]
+
+
+def pcm_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """FLAC streams as PCM blocks that can be sought by sample: one row for each frame; no shuffle.
+
+    Returns ``doc_id, block, first_sample, n_samples, byte_offset, pcm`` (signed 8-bit samples; ``byte_offset`` is the
+    frame's place in the stream). A null stream, or one without frames, gives no rows; a broken one raises Corrupt;
+    null ids and repeated rows are kept; other columns are ignored.
+    """
+    names = ["doc_id", "block", "first_sample", "n_samples", "byte_offset", "pcm"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "media", 1 << 20):
+            for doc, data in zip(part.column("doc_id").to_pylist(), part.column("media").to_pylist(), strict=True):
+                table = frame_table(data)[1] if data is not None else []
+                for at in range(0, len(table), 256):  # a megabyte of samples at a time
+                    some = table[at : at + 256]
+                    pcm = [x.tobytes() for x in decode_frames([data[a:b] for _, _, a, b in some])]
+                    columns = [[doc] * len(some), [at + i for i in range(len(some))], [x for x, *_ in some], [n for _, n, *_ in some], [a for _, _, a, _ in some], pcm]
+                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    media = df.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), F.col(quoted(media_col)).alias("media"))
+    return media.mapInArrow(run, "doc_id bigint, block int, first_sample bigint, n_samples int, byte_offset bigint, pcm binary")
 
 
 def padded(text: str, multiple: int = 64) -> bytes:

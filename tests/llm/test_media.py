@@ -70,6 +70,82 @@ def test_checksums_equal_plain_division():
     assert [flac.utf8_number(n).hex() for n in (0, 127, 128, 2047, 2048, 70_000)] == [chr(n).encode().hex() for n in (0, 127, 128, 2047, 2048, 70_000)]
 
 
+def bare(media):
+    """A stream without its seek table, the length and MD5 in STREAMINFO unstated."""
+    info, _, at = flac.metadata(media)
+    return b"fLaC\x80" + (34).to_bytes(3, "big") + media[8:18] + (media[18:26][:-5] + bytes([media[21] & 0xF0]) + bytes(4)) + bytes(16) + media[at:]
+
+
+def test_flac_without_a_seek_table():
+    for p in PAYLOADS:
+        media = flac.encode([p], 512)[0]
+        plain = bare(media)
+        assert flac.metadata(plain)[1] == [] and flac.decode([plain]) == [p]
+        assert flac.split_frames(plain) == flac.split_frames(media)
+        assert flac.read_samples(plain, 3, 9).tolist() == flac.read_samples(media, 3, 9).tolist()
+    info, seek, at = flac.metadata(media)
+    hole = b"\xff" * 8 + bytes(10)
+    some = media[:4] + b"\x00" + media[5:42] + b"\x83" + (36).to_bytes(3, "big") + media[46:64] + hole + media[at:]
+    assert len(flac.metadata(some)[1]) == 1 and flac.decode([some]) == [p]
+
+
+def test_lock_step_equals_bit_by_bit():
+    """Two decoders written apart agree on every frame."""
+    for block in (16, 192, 4096):
+        frames = [f for m in flac.encode(PAYLOADS, block) for f in flac.split_frames(m)]
+        for a, b in zip(flac.decode_frames(frames), map(flac.plain_frame, frames), strict=True):
+            assert np.array_equal(a, b)
+
+
+def framed(head, bits):
+    body = head + bytes([flac.crc8(head)]) + int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    return body + flac.crc16_each([body])[0].to_bytes(2, "big")
+
+
+def test_flac_headers_and_odd_subframes():
+    # block sizes and rates in their other codings: 192 samples, 8 bits, 256 << 0, and a rate spelt out
+    for head, n in ((b"\xff\xf8\x14\x02\x00", 192), (b"\xff\xf8\x64\x00\x00\x13", 20), (b"\xff\xf9\x8c\x02\x05\x08", 256)):
+        assert flac.decode_frames([framed(head, "00000000" + "00000101")])[0].tolist() == [5] * n
+    head = b"\xff\xf8\x64\x02\x00\x03"  # four samples
+    wasted = "0" + "000001" + "1" + "01" + "000011" * 2 + "111111" * 2  # verbatim, two wasted bits
+    assert flac.decode_frames([framed(head, wasted)])[0].tolist() == [12, 12, -4, -4]
+    wide = "0" + "001000" + "0" + "01" + "0000" + "00001" + "".join("1" + f"{b}" for b in (0, 1, 0, 1))  # order 0, 5-bit parameter 1
+    assert flac.decode_frames([framed(head, wide)])[0].tolist() == [0, -1, 0, -1]
+
+
+def test_flac_calls_broken_streams_corrupt():
+    rng = random.Random(6)
+    for p in PAYLOADS[:12]:
+        for media in (flac.encode([p], 64)[0], bare(flac.encode([p], 64)[0])):
+            for _ in range(12):
+                cut = media[: rng.randrange(len(media))]
+                try:
+                    assert p.startswith(flac.decode([cut])[0])  # whole frames, where no length is stated
+                except flac.Corrupt:
+                    pass
+                bad = bytearray(media)
+                bad[rng.randrange(42, len(bad))] ^= 1 << rng.randrange(8)
+                try:
+                    assert flac.decode([bytes(bad)])[0] == p  # a bit of the seek table's padding or the like
+                except flac.Corrupt:
+                    pass
+
+
+def test_pcm_blocks(odd, none):
+    made = flac.flac_columns(odd).cache()
+    want = sorted((r["doc_id"] or 0, bytes(r["payload"])) for r in made.collect())
+    rows = flac.pcm_blocks(made).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r["first_sample"]):
+        assert r["n_samples"] == len(r["pcm"])
+        if r["doc_id"] in (1, 2, 3, 4, 5, 6, 8):
+            have = got.setdefault(r["doc_id"], bytearray())
+            assert r["first_sample"] == len(have)
+            have += (np.frombuffer(r["pcm"], np.uint8) ^ 0x80).tobytes()
+    assert all(dict(want)[i] == bytes(x) for i, x in got.items()) and len(got) == 7
+    assert sum(r["doc_id"] is None for r in rows) == 2 and flac.pcm_blocks(flac.flac_columns(none)).count() == 0
+
+
 @pytest.mark.skipif(not shutil.which("flac"), reason="no other decoder here")
 def test_flac_with_another_decoder(tmp_path):
     (tmp_path / "x.flac").write_bytes(flac.encode(PAYLOADS[6:7])[0])
