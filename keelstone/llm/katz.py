@@ -184,10 +184,17 @@ def _stat_columns(counts: np.ndarray) -> dict[str, list[int]]:
 
 
 def _sums(where: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
-    """Exact 64-bit sums of ``count`` by place."""
-    out = np.zeros(n, np.uint64)
-    np.add.at(out, where, count)
-    return out
+    """Exact 64-bit sums of ``count`` by place: both halves are summed as floats, which hold integers to 2 ** 53."""
+    if not len(count) or int(count.max()) >> 32 == 0:
+        return np.bincount(where, count, n).astype(np.uint64)
+    count = count.astype(np.uint64)
+    low, high = (np.bincount(where, half, n).astype(np.uint64) for half in (count & np.uint64(0xFFFFFFFF), count >> np.uint64(32)))
+    return low + (high << np.uint64(32))
+
+
+def narrow(count: np.ndarray) -> np.ndarray:
+    """Counts as 32-bit integers where all of them fit."""
+    return count.astype(np.uint32) if not len(count) or int(count.max()) >> 32 == 0 else count
 
 
 def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -205,7 +212,7 @@ class Words:
         self.keys, self.count, self.q = keys, count, keys % np.uint64(parts)
 
     def ask(self, at: np.ndarray) -> bytes:
-        return pack(gaps(self.keys[at]), self.count[at])
+        return pack(gaps(self.keys[at]), narrow(self.count[at]))
 
     @classmethod
     def merged(cls, asks: list[bytes], parts: int) -> Words:
@@ -222,7 +229,7 @@ class Words:
             self.number[at], self.total[at] = unpack(data)
 
     def replies(self) -> list[bytes]:
-        return [pack(self.number[w], self.total[w]) for w in self.places]
+        return [pack(narrow(self.number[w]), narrow(self.total[w])) for w in self.places]
 
 
 class Pairs:
@@ -242,7 +249,7 @@ class Pairs:
         first, n = np.unique(self.pair[at] >> np.uint64(32), return_counts=True)
         head = np.cumsum(n) - n
         word = (self.pair[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        return pack(gaps(first), n.astype(np.uint32), word, self.after[at], self.count[at], self.hot[at][head].astype(np.uint8))
+        return pack(gaps(first), n.astype(np.uint32), word, narrow(self.after[at]), narrow(self.count[at]), self.hot[at][head].astype(np.uint8))
 
     @classmethod
     def merged(cls, asks: list[bytes], parts: int) -> Pairs:
@@ -283,7 +290,7 @@ class Pairs:
         out = []
         for where, f in zip(self.places, self.asked, strict=True):
             at = np.searchsorted(self.firsts, f)
-            out.append(pack(self.total[where], *self.tally[:, at], self.mass[at]))
+            out.append(pack(narrow(self.total[where]), *(narrow(t) for t in self.tally[:, at]), self.mass[at]))
         return out
 
 
