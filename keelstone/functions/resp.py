@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,76 +42,60 @@ def reply(kind: Column, text: Column, number: Column, items: Column) -> Column:
 
 
 class ProtocolError(ValueError):
-    """Bytes that are no request; ``eof`` if more of them might make one."""
+    """Bytes that are no request. ``kind`` says why: ``incomplete`` (more bytes might make one), ``number``, ``range``, ``mark`` or ``end``."""
 
-    def __init__(self, message: str, eof: bool = False):
-        super().__init__(message)
-        self.eof = eof
+    def __init__(self, kind: str, at: int):
+        super().__init__(f"{kind} at byte {at}")
+        self.kind, self.at = kind, at
+
+
+#: The protocol's tokens: a count with its mark, the end of a counted body, a line of plain words.
+_COUNT = re.compile(rb"([*$])([+-]?[0-9]{1,20})\r\n")
+_PLAIN = re.compile(rb"(.[^\r\n]*)(\r\n|\n)", re.DOTALL)
+_PART_OF_COUNT = re.compile(rb"[*$](?:[^\r]*|[+-]?[0-9]{1,20}\r)")
+_PART_OF_PLAIN = re.compile(rb".[^\r\n]*\r?", re.DOTALL)
+_BLANKS = bytes(range(33))
+
+
+def _count(data: bytes, at: int, mark: bytes, least: int, most: int) -> tuple[int, int]:
+    """The count that stands at ``at``, and the place after it."""
+    if data[at : at + 1] not in (mark, b""):
+        raise ProtocolError("mark", at)
+    token = _COUNT.match(data, at)
+    if token is None:
+        raise ProtocolError("incomplete" if at == len(data) or _PART_OF_COUNT.fullmatch(data, at) else "number", at)
+    value = int(token[2])
+    if not least <= value <= most:
+        raise ProtocolError("range", at)
+    return value, token.end()
 
 
 def parse_command(data: bytes, at: int) -> tuple[list[str | None] | None, int]:
-    """The request at ``at`` and where the next one begins; None at the end of the bytes."""
-    if at >= len(data):
+    """The request at ``at`` and where the next one begins; None at the end of the bytes.
+
+    A request is an array of counted bodies (a count of -1 is a null argument), or a line of words between blanks.
+    """
+    if at == len(data):
         return None, at
-    if data[at] != ord("*"):
-        return _inline(data, at)
-    n, at = _number(data, at + 1)
-    if n < 0:
-        raise ProtocolError(f"array length < 0: {n}")
-    if n > MAX_ARGS:
-        raise ProtocolError(f"array length > MAX_ARGS: {n}")
-    out: list[str | None] = []
-    for _ in range(n):
-        if at >= len(data):
-            raise ProtocolError("eof reading bulk marker", eof=True)
-        if data[at] != ord("$"):
-            raise ProtocolError(f"expected '$', got {chr(data[at])}")
-        size, at = _number(data, at + 1)
-        if size == -1:
-            out.append(None)
-            continue
+    if not data.startswith(b"*", at):
+        line = _PLAIN.match(data, at)
+        if line is None:
+            raise ProtocolError("incomplete" if _PART_OF_PLAIN.fullmatch(data, at) else "end", at)
+        first, *more = line[1].strip(_BLANKS).decode("latin-1").split(" ")
+        return [first, *filter(None, more)], line.end()
+    left, at = _count(data, at, b"*", 0, MAX_ARGS)
+    arguments: list[str | None] = []
+    for _ in range(left):
+        size, at = _count(data, at, b"$", -1, MAX_BULK)
         if size < 0:
-            raise ProtocolError(f"bulk len < -1: {size}")
-        if size > MAX_BULK:
-            raise ProtocolError(f"bulk len > MAX_BULK_LEN: {size}")
-        body = data[at : at + size]
-        if len(body) < size:
-            raise ProtocolError(f"short read on bulk: {len(body)}/{size}", eof=True)
-        out.append(body.decode("utf-8", "replace"))
-        end = data[at + size : at + size + 2]
-        if len(end) < 2:
-            raise ProtocolError("eof while expecting CRLF", eof=True)
-        if end != b"\r\n":
-            raise ProtocolError(f"expected CRLF, got {end[0]},{end[1]}")
-        at += size + 2
-    return out, at
-
-
-def _inline(data: bytes, at: int) -> tuple[list[str | None], int]:
-    stops = [i for i in (data.find(b"\r", at + 1), data.find(b"\n", at + 1)) if i >= 0]
-    if not stops:
-        raise ProtocolError("eof in inline command", eof=True)
-    stop = min(stops)
-    line, end = data[at:stop].decode("latin-1"), stop + 1
-    if data[stop] == 13:
-        if data[stop + 1 : stop + 2] != b"\n":
-            raise ProtocolError("expected LF after CR in inline command", eof=stop + 1 >= len(data))
-        end = stop + 2
-    words = line.strip("".join(map(chr, range(33)))).split(" ")
-    return [w for i, w in enumerate(words) if w or i == 0], end
-
-
-def _number(data: bytes, at: int) -> tuple[int, int]:
-    stop = data.find(b"\r", at)
-    if stop < 0:
-        raise ProtocolError("eof reading decimal", eof=True)
-    if data[stop + 1 : stop + 2] != b"\n":
-        raise ProtocolError("expected LF after CR", eof=stop + 1 >= len(data))
-    text = data[at:stop].decode("latin-1")
-    digits = text[1:] if text[:1] in "+-" and text else text
-    if not digits.isascii() or not digits.isdigit() or not -(2**31) <= int(text) < 2**31:
-        raise ProtocolError(f"bad number: {text}")
-    return int(text), stop + 2
+            arguments.append(None)
+            continue
+        stop = at + size
+        if data[stop : stop + 2] != b"\r\n":
+            raise ProtocolError("incomplete" if len(data) < stop + 2 and data[stop:] in (b"", b"\r") else "end", at)
+        arguments.append(data[at:stop].decode("utf-8", "replace"))
+        at = stop + 2
+    return arguments, at
 
 
 def decode(streams: DataFrame) -> DataFrame:

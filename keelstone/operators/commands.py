@@ -23,6 +23,7 @@ from ..functions import resp
 from ..schema import NEVER
 from ..session import stored
 from . import fold, pubsub, sizes
+from .carry import carried
 from .fold import HIGH, LOW, NOT_INTEGER, long_of
 from .resolve import latest_per_key
 
@@ -389,15 +390,13 @@ def last_before(points: DataFrame, events: DataFrame, span: int = 100_000) -> Da
     """``seq, at`` of each point: the value of the newest of ``events (seq, at)`` before it, null if there is none.
 
     Ranges of ``span`` sequence numbers are walked apart; what a range starts with comes from a table of one
-    row for each range, so no task sees all rows.
+    row for each range (see carry), so no task sees all rows.
     """
     rows = points.select("seq", F.lit(None).cast("bigint").alias("at"), F.lit(True).alias("ask"))
     rows = rows.unionByName(events.select("seq", F.col("at").cast("bigint").alias("at"), F.lit(False).alias("ask"))).withColumn("_range", F.floor(F.col("seq") / span))
-    ends = rows.filter("NOT ask").groupBy("_range").agg(F.max_by("at", "seq").alias("_end"))
-    ranges = rows.select("_range").distinct().join(ends, "_range", "left")
-    carried = ranges.select("_range", F.last("_end", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_start"))
+    starts = carried(rows.groupBy("_range").agg(F.max_by("at", F.when(~F.col("ask"), F.col("seq"))).alias("_end")), "last")
     within = Window.partitionBy("_range").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    seen = rows.join(carried, "_range").withColumn("at", F.coalesce(F.last("at", ignorenulls=True).over(within), F.col("_start")))
+    seen = rows.join(starts, "_range").withColumn("at", F.coalesce(F.last("at", ignorenulls=True).over(within), F.col("_start")))
     return seen.filter("ask").select("seq", "at")
 
 

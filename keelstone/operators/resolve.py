@@ -47,13 +47,16 @@ def versions(mutations: DataFrame) -> DataFrame:
 def as_of(versions_df: DataFrame, requests: DataFrame) -> DataFrame:
     """What each request ``(request_id, key, at_seq, now_ms)`` reads: one row each, value null if absent.
 
-    The equality on ``key`` carries the shuffle; the interval is a residual condition, so no pairs across keys
-    are formed. At most one version of a key holds at any sequence number.
+    Versions and requests of a key are walked together in order, and a request takes the last version before it: one
+    sort by key, whatever the number of versions and requests that a key has.
     """
-    v = versions_df.filter(F.col("op") != DEL).alias("v")
-    r = requests.alias("r")
-    hit = (F.col("r.key") == F.col("v.key")) & (F.col("v.seq_from") <= F.col("r.at_seq")) & (F.col("r.at_seq") < F.col("v.seq_to")) & (F.col("v.expires_at_ms") > F.col("r.now_ms"))
-    return r.join(v, hit, "left").select("r.request_id", "r.key", "r.at_seq", F.col("v.value").alias("value"))
+    v = versions_df.select("key", F.col("seq_from").alias("at_seq"), F.struct("seq_to", "op", "value", "expires_at_ms").alias("_v"), F.lit(None).cast("bigint").alias("now_ms"), F.lit(False).alias("_ask"))
+    asked = requests.select("key", "at_seq", F.col("now_ms").cast("bigint").alias("now_ms"), "request_id", F.lit(True).alias("_ask"))
+    rows = v.unionByName(asked, allowMissingColumns=True)
+    near = Window.partitionBy("key").orderBy("at_seq", "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.withColumn("_v", F.last("_v", ignorenulls=True).over(near)).filter("_ask")
+    hit = (F.col("_v.op") != DEL) & (F.col("at_seq") < F.col("_v.seq_to")) & (F.col("_v.expires_at_ms") > F.col("now_ms"))
+    return seen.select("request_id", "key", "at_seq", F.when(hit, F.col("_v.value")).alias("value"))
 
 
 def merge_runs(*runs: DataFrame) -> DataFrame:

@@ -2,75 +2,90 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Points that one pass over the versions counts for; boundaries of key buckets.
-BLOCK, BUCKETS = 50_000, 256
+from ..schema import NEVER
+from ..session import stored
+from .carry import carried, ranged
 
+#: Sequence numbers in a range; key ranges for each shuffle partition, and sampled keys for each of them.
+SPAN, RANGES, SAMPLED = 100_000, 4, 16
+_SO_FAR = (Window.unboundedPreceding, Window.currentRow)
 
-def dbsize_at(versions: DataFrame, points: DataFrame) -> DataFrame:
+
+def clocked(points: DataFrame, span: int = SPAN) -> DataFrame:
+    """``seq, ts_ms, clock`` of distinct points: ``clock`` is the largest ``ts_ms`` up to the point."""
+    p = points.select("seq", "ts_ms").distinct().withColumn("_range", ranged("seq", span))
+    start = carried(p.groupBy("_range").agg(F.max("ts_ms").alias("_end")), "max")
+    top = F.max("ts_ms").over(Window.partitionBy("_range").orderBy("seq").rowsBetween(*_SO_FAR))
+    return p.join(start, "_range").select("seq", "ts_ms", F.greatest(top, "_start").alias("clock"))
+
+
+def first_reached(times: DataFrame, clocks: DataFrame, width: int) -> DataFrame:
+    """``t, at`` of each distinct time ``t``: the first ``seq`` whose ``clock`` is not below it; null if none is."""
+    marks = clocks.groupBy("clock").agg(F.min("seq").alias("at")).select((-F.col("clock")).alias("x"), "at", F.lit(0).alias("ask"))
+    rows = marks.unionByName(times.select((-F.col("t")).alias("x"), F.lit(None).cast("bigint").alias("at"), F.lit(1).alias("ask"))).withColumn("_range", ranged("x", width))
+    start = carried(rows.groupBy("_range").agg(F.max_by("at", F.when(F.col("ask") == 0, F.col("x"))).alias("_end")), "last")
+    near = F.last("at", ignorenulls=True).over(Window.partitionBy("_range").orderBy("x", "ask").rowsBetween(*_SO_FAR))
+    found = rows.join(start, "_range").withColumn("at", F.coalesce(near, "_start"))
+    return found.filter("ask = 1").select((-F.col("x")).alias("t"), "at")
+
+
+def dbsize_at(versions: DataFrame, points: DataFrame, span: int = SPAN) -> DataFrame:
     """``seq, dbsize`` of points ``seq, ts_ms``: how many keys are live at each.
 
-    A stated set of points, in blocks of a fixed size: each pass adds up, for each task, where versions begin
-    and end among the block's points, so what is shuffled is a few numbers for each task and point.
+    A version counts from its begin to its end or to the first point whose running clock has reached its expiry. So
+    its life is +1 and -1 at two sequence numbers, and a point's size is the sum before it: ranges of ``span``
+    sequence numbers are summed apart, with one carried row each. A point whose own clock is behind the running one
+    gets back what has expired between the two: those versions are joined on slots of time.
     """
-    spark = versions.sparkSession
-    found = None
-    wanted = points.select("seq", "ts_ms").distinct().repartitionByRange("seq").sortWithinPartitions("seq")
-    block: list[tuple[int, int]] = []
-
-    def one(block: list[tuple[int, int]]) -> DataFrame:
-        seqs = np.array([s for s, _ in block], np.int64)
-        clock = np.array([t for _, t in block], np.int64)
-        in_order = bool((np.diff(clock) >= 0).all())
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(len(seqs) + 1, np.int64)
-            for v in batches:
-                a = np.searchsorted(seqs, v["seq_from"].to_numpy(), "right")
-                b = np.searchsorted(seqs, v["seq_to"].to_numpy(), "right")
-                if in_order:
-                    b = np.minimum(b, np.searchsorted(clock, v["expires_at_ms"].to_numpy(), "left"))
-                    b = np.maximum(a, b)
-                    np.add.at(total, a, 1)
-                    np.add.at(total, b, -1)
-                else:
-                    for x, y, e in zip(a, b, v["expires_at_ms"].to_numpy(), strict=True):
-                        alive = np.flatnonzero(clock[x:y] < e) + x
-                        np.add.at(total, alive, 1)
-                        np.add.at(total, alive + 1, -1)
-            live = np.cumsum(total)[:-1]
-            yield pd.DataFrame({"seq": seqs, "n": live})
-
-        counts = versions.filter("op <> 'DEL'").select("seq_from", "seq_to", "expires_at_ms").mapInPandas(run, "seq bigint, n bigint")
-        return counts.groupBy("seq").agg(F.sum("n").alias("dbsize"))
-
-    for row in wanted.toLocalIterator():
-        block.append((row["seq"], row["ts_ms"]))
-        if len(block) == BLOCK:
-            found = one(sorted(block)) if found is None else found.unionByName(one(sorted(block)))
-            block = []
-    if block or found is None:
-        part = one(sorted(block)) if block else spark.createDataFrame([], "seq bigint, dbsize bigint")
-        found = part if found is None else found.unionByName(part)
-    return found
+    clocks = stored(clocked(points, span), "clocks")
+    low, high, n, last = clocks.agg(F.min("ts_ms"), F.max("clock"), F.count(F.lit(1)), F.max("seq")).first()
+    if not n:
+        return clocks.select("seq", F.lit(0).cast("bigint").alias("dbsize"))
+    width = (high - low) // (n // span + 1) + 1
+    alive = versions.filter("op <> 'DEL'").select("seq_from", "seq_to", "expires_at_ms")
+    times = alive.filter(F.col("expires_at_ms") <= high).select(F.col("expires_at_ms").alias("t")).distinct()
+    ended = alive.join(first_reached(times, clocks, width), F.col("expires_at_ms") == F.col("t"), "left")
+    ended = ended.select("seq_from", F.least("seq_to", F.coalesce(F.col("at") - 1, F.lit(NEVER))).alias("end")).filter("end > seq_from")
+    steps = ended.select(F.explode(F.array(F.struct(F.col("seq_from").alias("seq"), F.lit(1).alias("w")), F.struct(F.col("end").alias("seq"), F.lit(-1).alias("w")))).alias("e")).select("e.*")
+    steps = steps.filter(F.col("seq") < last).groupBy("seq").agg(F.sum("w").alias("w"))  # what begins or ends at one place is one row
+    rows = steps.select("seq", "w", F.lit(None).cast("bigint").alias("ts_ms")).unionByName(clocks.select("seq", F.lit(0).cast("bigint").alias("w"), "ts_ms")).withColumn("_range", ranged("seq", span))
+    start = carried(rows.groupBy("_range").agg(F.sum("w").alias("_end")), "sum")
+    # a step counts for the points after its place: at one place, points come first
+    order = Window.partitionBy("_range").orderBy("seq", F.col("ts_ms").asc_nulls_last()).rowsBetween(*_SO_FAR)
+    sized = rows.join(start, "_range").withColumn("n", F.sum("w").over(order) + F.col("_start")).filter("ts_ms IS NOT NULL").select("seq", "ts_ms", "n")
+    behind = clocks.filter("ts_ms < clock").withColumn("slot", F.explode(F.sequence(ranged("ts_ms", width), ranged("clock", width)))).alias("p")
+    v = alive.filter(F.col("expires_at_ms").between(low, high)).withColumn("slot", ranged("expires_at_ms", width)).alias("v")
+    hit = F.expr("p.slot = v.slot AND v.seq_from < p.seq AND p.seq <= v.seq_to AND v.expires_at_ms > p.ts_ms AND v.expires_at_ms <= p.clock")
+    back = behind.join(v, hit).groupBy("p.seq", "p.ts_ms").agg(F.count(F.lit(1)).alias("more"))
+    return sized.join(back, ["seq", "ts_ms"], "left").select("seq", (F.col("n") + F.coalesce("more", F.lit(0))).cast("bigint").alias("dbsize"))
 
 
 def key_ranges(rows: DataFrame) -> Callable[[Column], Column]:
-    """The number of the key range that a key falls in, of at most BUCKETS ranges of about equal numbers of keys.
+    """The number of the key range that a key falls in, some for each shuffle partition, of about equal numbers of keys.
 
-    The boundaries come from a sample of at most 16 keys for each range and affect speed only.
+    The boundaries come from a sample of distinct keys (of each of some hash values the least), taken in one pass;
+    they affect speed only. A key finds its range among the boundaries in two steps.
     """
-    sample = rows.select("key").distinct().orderBy(F.xxhash64("key")).limit(BUCKETS * 16)
+    ranges = max(16, RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sample = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(ranges * SAMPLED)).alias("h")).agg(F.min("key").alias("key")).select("key")
     keys = sorted((r["key"] for r in sample.collect()), key=str.encode)
-    cuts = keys[:: max(1, len(keys) // BUCKETS)][1:]
-    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<string>")
-    return lambda key: F.size(F.filter(edges, lambda e: e <= key))
+    cuts = keys[:: max(1, len(keys) // ranges)][1:]
+    if not cuts:
+        return lambda key: F.lit(0)
+    step = int(len(cuts) ** 0.5) + 1
+    rough = F.array(*[F.lit(c) for c in cuts[::step]])
+    fine = F.array(F.array().cast("array<string>"), *[F.array(*[F.lit(c) for c in cuts[i + 1 : i + step]]).cast("array<string>") for i in range(0, len(cuts), step)])
+
+    def number(key: Column) -> Column:
+        above = F.size(F.filter(rough, lambda e: e <= key))
+        return above * step + F.size(F.filter(F.element_at(fine, above + 1), lambda e: e <= key))
+
+    return number
 
 
 def scan_many(view: DataFrame, requests: DataFrame) -> DataFrame:
@@ -86,12 +101,27 @@ def scan_many(view: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def scan_at(versions: DataFrame, requests: DataFrame) -> DataFrame:
-    """``seq, key, value`` of what scans ``seq, ts_ms, lo, hi`` read, each as of its place in the log; joined as in scan_many."""
+    """``seq, key, value`` of what scans ``seq, ts_ms, lo, hi`` read, each as of its place in the log.
+
+    The join is on the key range and on a dyadic interval of sequence numbers: a version's life falls into at most two
+    such intervals of each length, and a scan's place lies in one of each. So of a key with many versions a scan
+    meets the one that holds at its place, not all of them.
+    """
+    low, high = requests.agg(F.min("seq"), F.max("seq")).first()
+    if low is None:
+        low = high = 0
+    levels = max(high - low, 1).bit_length()
     number = key_ranges(versions)
-    v = versions.filter("op <> 'DEL'").withColumn("_range", number(F.col("key"))).alias("v")
-    r = requests.filter("lo < hi").withColumn("_range", F.explode(F.sequence(number(F.col("lo")), number(F.col("hi"))))).alias("r")
+    # the life [a, b) among the places 0 .. high - low; at level n: a rounded up and b rounded down to 2 ** n
+    v = versions.filter("op <> 'DEL'").withColumn("a", F.greatest(F.col("seq_from"), F.lit(low - 1)) + F.lit(1 - low)).withColumn("b", F.least(F.col("seq_to"), F.lit(high)) + F.lit(1 - low)).filter("a < b")
+    up, down = "shiftright(a + shiftleft(1L, n) - 1L, n)", "shiftright(b, n)"
+    left, right = f"{up} % 2 = 1 AND {up} < {down}", f"{down} % 2 = 1 AND {up} + {up} % 2 < {down}"
+    pieces = f"flatten(transform(sequence(0, {levels}), n -> filter(array(IF({left}, struct(n, {up} AS at), NULL), IF({right}, struct(n, {down} - 1 AS at), NULL)), x -> x IS NOT NULL)))"
+    v = v.withColumn("_range", number(F.col("key"))).withColumn("_piece", F.explode(F.expr(pieces))).select("key", "value", "expires_at_ms", "_range", F.col("_piece.n").alias("_n"), F.col("_piece.at").alias("_at")).alias("v")
+    r = requests.filter("lo < hi").withColumn("_range", F.explode(F.sequence(number(F.col("lo")), number(F.col("hi")))))
+    r = r.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("_at", F.expr(f"shiftright(seq - {low}L, _n)")).alias("r")
     hit = (
-        (F.col("r._range") == F.col("v._range")) & (F.col("v.key") >= F.col("r.lo")) & (F.col("v.key") < F.col("r.hi"))
-        & (F.col("v.seq_from") < F.col("r.seq")) & (F.col("r.seq") <= F.col("v.seq_to")) & (F.col("v.expires_at_ms") > F.col("r.ts_ms"))
+        (F.col("r._range") == F.col("v._range")) & (F.col("r._n") == F.col("v._n")) & (F.col("r._at") == F.col("v._at"))
+        & (F.col("v.key") >= F.col("r.lo")) & (F.col("v.key") < F.col("r.hi")) & (F.col("v.expires_at_ms") > F.col("r.ts_ms"))
     )
     return r.join(v, hit).select(F.col("r.seq").alias("seq"), F.col("v.key").alias("key"), F.col("v.value").alias("value"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import entry_bytes
 from ..schema import DEL
+from .carry import carried
 
 
 def memtable_bytes(mutations: DataFrame) -> DataFrame:
@@ -23,12 +24,12 @@ def dbsize_approx(run_entries: int, buffered_bytes: int) -> int:
 def peak_connections(events: DataFrame) -> DataFrame:
     """The most connections open at once, of ``day, seq, step`` (+1 opens, -1 closes).
 
-    Days are summed apart, then a day's start is what the days before left open: only days meet in one window.
+    Days are summed apart, then a day's start is what the days before left open (see carry).
     """
     within = Window.partitionBy("day").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     daily = events.withColumn("open", F.sum("step").over(within)).groupBy("day").agg(F.max("open").alias("top"), F.sum("step").alias("net"))
-    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
-    return daily.withColumn("start", F.coalesce(F.sum("net").over(before), F.lit(0))).agg(F.max(F.col("start") + F.col("top")).cast("bigint").alias("peak"))
+    start = carried(daily.select(F.col("day").alias("_range"), F.col("net").alias("_end")), "sum")
+    return daily.join(start, F.col("day") == F.col("_range")).agg(F.max(F.col("_start") + F.col("top")).cast("bigint").alias("peak"))
 
 
 def info_text(f: dict, product: str = "keelstone") -> str:

@@ -1,10 +1,12 @@
 """The operators on small tables whose answers are known."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from keelstone.functions import resp, text
-from keelstone.operators import acl, fold, lookup, maintain, pubsub, resolve, stats
+from keelstone.operators import acl, carry, fold, lookup, maintain, pubsub, resolve, sizes, stats
 from keelstone.schema import MUTATIONS, NEVER
 from keelstone.sources import wal
 
@@ -179,3 +181,59 @@ def test_checksums(spark):
     df = wal.checked(spark.createDataFrame([("f", *r) for r in rows], "file string, offset bigint, payload binary, stored_crc bigint"))
     assert {r["offset"]: r["bad"] for r in df.collect()} == {0: False, 1: True, 2: False}
     assert [r["offset"] for r in wal.valid_prefix(df).collect()] == [0]
+
+
+def random_history(rng, n, keys):
+    """Versions of some keys, one of which has most of them; points whose clocks are not in order."""
+    at, rows, seq, clock = {}, [], 0, 1000
+    for _ in range(n):
+        seq += rng.randint(1, 3)
+        clock += rng.randint(0, 30)
+        key = "hot" if rng.random() < 0.6 else rng.choice(keys)
+        until = rng.choice([NEVER, clock + rng.randint(1, 400)])
+        if key in at:
+            rows[at[key]][2] = seq
+        at[key] = len(rows)
+        rows.append([key, seq, NEVER, rng.choice(["PUT", "PUT", "DEL"]), f"v{seq}", until])
+    points = [(rng.randint(0, seq + 5), 1000 + rng.randint(0, 15 * n)) for _ in range(40)]
+    return rows, list({s: (s, t) for s, t in points}.values())
+
+
+@pytest.mark.parametrize("span", [7, 100_000])
+def test_reads_at_points_against_plain_loops(spark, span):
+    rng = random.Random(span)
+    for n in (0, 1, 60):
+        rows, points = random_history(rng, n, ["a", "b", "hot", "user:1", "zé"])
+        held = spark.createDataFrame(rows, "key string, seq_from bigint, seq_to bigint, op string, value string, expires_at_ms bigint")
+        asked = spark.createDataFrame(points, "seq bigint, ts_ms bigint")
+        alive = lambda s, t: [r for r in rows if r[3] != "DEL" and r[1] < s <= r[2] and r[5] > t]
+        got = {r["seq"]: r["dbsize"] for r in sizes.dbsize_at(held, asked, span).collect()}
+        assert got == {s: len(alive(s, t)) for s, t in points}
+        scans = [(s, t, *sorted(rng.choice(["", "a", "b", "h", "hot", "hot2", "user:1", "z", "~"]) for _ in range(2))) for s, t in points]
+        got = sorted((r["seq"], r["key"], r["value"]) for r in sizes.scan_at(held, spark.createDataFrame(scans, "seq bigint, ts_ms bigint, lo string, hi string")).collect())
+        assert got == sorted((s, r[0], r[4]) for s, t, lo, hi in scans for r in alive(s, t) if lo <= r[0] < hi)
+        reads = [(i, rng.choice(["a", "hot", "hot", "none"]), s, t) for i, (s, t) in enumerate(points)]
+        got = {r["request_id"]: r["value"] for r in resolve.as_of(held, spark.createDataFrame(reads, "request_id bigint, key string, at_seq bigint, now_ms bigint")).collect()}
+        want = {i: next((r[4] for r in rows if r[0] == k and r[1] <= s < r[2] and r[3] != "DEL" and r[5] > t), None) for i, k, s, t in reads}
+        assert got == want
+    assert sizes.dbsize_at(held, asked.limit(0)).count() == 0 and sizes.scan_at(held, spark.createDataFrame([], "seq bigint, ts_ms bigint, lo string, hi string")).count() == 0
+
+
+@pytest.mark.parametrize("how", ["sum", "max", "last"])
+def test_carried_ranges(spark, how):
+    rng = random.Random(9)
+    rows = [(r, rng.choice([None, rng.randint(-9, 9)])) for r in sorted(rng.sample(range(-50, 200), 60))]
+    got = {r["_range"]: r["_start"] for r in carry.carried(spark.createDataFrame(rows, "_range bigint, _end bigint"), how, wide=7).collect()}
+    for i, (r, _) in enumerate(rows):
+        seen = [x for _, x in rows[:i] if x is not None]
+        assert got[r] == {"sum": sum(seen), "max": max(seen, default=None), "last": seen[-1] if seen else None}[how]
+
+
+def test_reads_at_points_use_no_product(spark):
+    """As-of reads join by sorting; sizes and scans by equality only; nothing goes through the driver's hands."""
+    held = spark.range(10).selectExpr("CAST(id % 2 AS STRING) AS key", "id AS seq_from", "id + 2 AS seq_to", "'PUT' AS op", "'v' AS value", "id + 100 AS expires_at_ms")
+    asked = spark.range(10).selectExpr("id AS request_id", "CAST(id AS STRING) AS key", "id AS at_seq", "id AS now_ms", "id AS seq", "id * 90 AS ts_ms", "CAST(id AS STRING) AS lo", "'z' AS hi")
+    for df in (resolve.as_of(held, asked), sizes.dbsize_at(held, asked), sizes.scan_at(held, asked)):
+        plan = df._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert "Join" not in resolve.as_of(held, asked)._jdf.queryExecution().toString()
