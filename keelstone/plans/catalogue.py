@@ -258,7 +258,11 @@ def compaction_pick(spark, sf_dir):
     return maintain.pick(table(prepare(spark), sf_dir, "part").select(text.file_name(level, k).alias("name"), level.alias("level"), k.alias("seq"), (k * 1000).alias("bytes")))
 
 
-@query("output_chunks")
+@query("output_chunks", f"""WITH RECURSIVE {LOG},
+s AS (SELECT substr(key, 1, 9) AS run, key, 2 * length(key) + coalesce(2 * length(value), 0) + 8 AS n, row_number() OVER (PARTITION BY substr(key, 1, 9) ORDER BY key) AS rn FROM live),
+r AS (SELECT run, rn, key, 0 AS chunk, n AS held FROM s WHERE rn = 1
+      UNION ALL SELECT s.run, s.rn, s.key, CASE WHEN r.held >= 600 THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN r.held >= 600 THEN s.n ELSE r.held + s.n END FROM r JOIN s ON s.run = r.run AND s.rn = r.rn + 1)
+SELECT run, chunk, min(key) AS min_key, max(key) AS max_key, CAST(count(*) AS BIGINT) AS n_keys FROM r GROUP BY run, chunk""")
 def output_chunks(spark, sf_dir):
     rows = view(spark, sf_dir).withColumn("run", F.substring("key", 1, 9))
     return maintain.output_chunks(rows, limit=600).groupBy("run", "chunk").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count(F.lit(1)).alias("n_keys"))
@@ -271,12 +275,20 @@ def tombstones(spark, sf_dir):
 
 @query("wal_prefix", f"WITH {LOG}, f AS (SELECT seq, key, user_id % 8 AS file, CASE WHEN seq % 97 = 13 THEN 1 ELSE 0 END AS bad FROM cmds), m AS (SELECT *, max(bad) OVER (PARTITION BY file ORDER BY seq ROWS UNBOUNDED PRECEDING) AS b FROM f) SELECT seq, key FROM m WHERE b = 0")
 def wal_prefix(spark, sf_dir):
+    """Frames whose payload had a byte changed after its checksum was taken end their log."""
     e = command_rows(spark, sf_dir)
-    frames = e.select("seq", "key", (F.substring("key", -6, 6).cast("bigint") % 8).alias("file"), (F.col("seq") % 97 == 13).alias("bad"))
-    return wal.valid_prefix(frames, order="seq").select("seq", "key")
+    payload, sound = F.concat_ws("|", "cmd", "key", "value"), F.col("seq") % 97 != 13
+    frames = e.select("seq", "key", (F.substring("key", -6, 6).cast("bigint") % 8).alias("file"), F.crc32(payload.cast("binary")).alias("stored_crc"), F.when(sound, payload).otherwise(F.overlay(payload, F.lit("#"), F.lit(2))).cast("binary").alias("payload"))
+    return wal.valid_prefix(wal.checked(frames), order="seq").select("seq", "key")
 
 
-@query("crc32_payload")
+#: CRC-32 in SQL: the table of 256 remainders from its rule, then one step for each byte.
+_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_CRC = f"""tbl AS (SELECT list(c ORDER BY i) AS t FROM (WITH RECURSIVE g AS (SELECT i, i AS c, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, {_STEP}, k + 1 FROM g WHERE k < 8) SELECT i, c FROM g WHERE k = 8)),
+bytes AS (SELECT seq, list_transform(range(strlen(p)), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS b FROM (SELECT seq, p, hex(encode(p)) AS h FROM payloads))"""
+
+
+@query("crc32_payload", f"WITH {LOG}, payloads AS (SELECT seq, concat_ws('|', op, key, value) AS p FROM muts), {_CRC} SELECT seq, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM bytes, tbl")
 def crc32_payload(spark, sf_dir):
     log = mutations(spark, sf_dir)
     return log.select("seq", F.crc32(F.concat_ws("|", "op", "key", "value").cast("binary")).alias("crc"))
@@ -305,9 +317,11 @@ def snapshot_roundtrip(spark, sf_dir):
     return resolve.live(maintain.restore(spark, path), NOW)
 
 
-@query("snapshot_at_seq", f"WITH {LOG}, half AS (SELECT * FROM muts WHERE seq <= 5000), l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM half) SELECT key, value, expires_at_ms FROM l WHERE rn = 1 AND op <> 'DEL' AND expires_at_ms > {NOW}")
+@query("snapshot_at_seq", f"WITH {LOG}, half AS (SELECT * FROM muts WHERE seq <= (SELECT max(seq) // 2 FROM muts)), l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM half) SELECT key, value, expires_at_ms FROM l WHERE rn = 1 AND op <> 'DEL' AND expires_at_ms > {NOW}")
 def snapshot_at_seq(spark, sf_dir):
-    path = maintain.snapshot(mutations(spark, sf_dir), scratch(prepare(spark), "snapshots"), NOW, upto_seq=5000)
+    log = mutations(spark, sf_dir)
+    half = log.agg(F.floor(F.max("seq") / 2)).first()[0]
+    path = maintain.snapshot(log, scratch(prepare(spark), "snapshots"), NOW, upto_seq=half)
     return spark.read.parquet(path).select("key", "value", "expires_at_ms")
 
 
@@ -481,7 +495,18 @@ def fixture_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session_id", (F.col("seq") * 2 + F.col("i")).alias("seq"), "ts_ms", "argv")
 
 
-@query("command_replies")
+@query("command_replies", f"""WITH {LOG},
+c AS (SELECT seq, ts_ms, key, event_type, CASE WHEN event_type = 'error' THEN 0 WHEN event_type = 'signup' THEN {NEVER} WHEN event_type = 'view' THEN ts_ms + {VIEW} ELSE ts_ms + {BUY} END AS until FROM cmds WHERE event_type <> 'click'),
+i AS (SELECT *, sum(CASE WHEN event_type <> 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM c),
+p AS (SELECT *, lag(until) OVER (PARTITION BY key, island ORDER BY seq) AS prv FROM i),
+d AS (SELECT *, max(CASE WHEN event_type = 'purchase' AND (prv IS NULL OR ts_ms >= prv) THEN 1 ELSE 0 END) OVER (PARTITION BY key, island ORDER BY seq ROWS UNBOUNDED PRECEDING) AS dead FROM p),
+e AS (SELECT *, coalesce(lag(CASE WHEN dead = 1 THEN 0 ELSE until END) OVER (PARTITION BY key ORDER BY seq), 0) AS held FROM d),
+n AS (SELECT seq, 0 AS i, CASE event_type WHEN 'error' THEN CASE WHEN held > ts_ms THEN 1 ELSE 0 END WHEN 'purchase' THEN 1 - dead END AS num FROM e
+      UNION ALL SELECT seq, 1, CASE WHEN event_type = 'signup' THEN -1 WHEN event_type = 'view' THEN {VIEW} WHEN event_type = 'error' OR dead = 1 THEN -2 ELSE {BUY} END FROM e
+      UNION ALL SELECT seq, 0, row_number() OVER (PARTITION BY key ORDER BY seq) FROM cmds WHERE event_type = 'click'
+      UNION ALL SELECT seq, 1, -1 FROM cmds WHERE event_type = 'click')
+SELECT 's' || CAST(seq % 64 AS VARCHAR) AS session_id, seq * 2 + i AS seq, CASE WHEN num IS NULL THEN '+' ELSE ':' END AS type, CASE WHEN num IS NULL THEN 'OK' END AS text,
+       CAST(num AS BIGINT) AS num, CASE WHEN num IS NULL THEN '+OK' ELSE ':' || CAST(num AS VARCHAR) END || chr(13) || chr(10) AS resp FROM n""")
 def command_replies(spark, sf_dir):
     replies = interpreter.interpret(fixture_commands(spark, sf_dir)).replies
     return replies.select("session_id", "seq", "type", "text", "num", "resp")
