@@ -11,7 +11,7 @@ from ..functions import resp, text
 from ..operators import acl, commands as interpreter, counters, fold, lookup, maintain, pubsub, resolve, sizes, stats
 from ..schema import NEVER
 from ..session import prepare, scratch, table
-from ..sources import fixture, wal
+from ..sources import fixture, runs, wal
 
 NOW = fixture.NOW_MS
 VIEW, BUY = fixture.VIEW_TTL_MS, fixture.PURCHASE_TTL_MS
@@ -311,6 +311,24 @@ def wal_roundtrip(spark, sf_dir):
     return mutations(spark, sf_dir).select("seq", "op", "key", "value", "expires_at_ms").mapInPandas(run, "seq bigint, op string, key string, value string, expires_at_ms bigint")
 
 
+@query("run_roundtrip", f"WITH {LOG} SELECT key, value, expires_at_ms FROM live")
+def run_roundtrip(spark, sf_dir):
+    """The log cut into four segments, each written as raw sorted-run files and read again; newer segments win."""
+    log = mutations(spark, sf_dir).withColumn("segment", F.floor(F.col("seq") * 4 / (F.lit(1) + mutations(spark, sf_dir).agg(F.max("seq")).first()[0])).cast("int"))
+    n = log.count()
+    newest = resolve.latest_per_key(log.withColumn("key", F.struct("segment", "key"))).select("segment", "key.key", "op", "value", "expires_at_ms")
+
+    def write(key, rows):
+        import pandas as pd
+
+        return pd.DataFrame({"path": [f"L1-{key[0] + 1:06d}.db"], "content": [runs.encode_run(rows[["op", "key", "value", "expires_at_ms"]].itertuples(index=False, name=None))]})
+
+    dealt = newest.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(n // 100_000 + 1)))  # files of some 25,000 entries
+    files = dealt.groupBy("segment", "part").applyInPandas(write, "path string, content binary")
+    read = runs.entries_of(files).withColumn("seq", text.file_sequence(F.col("path"))).withColumn("ts_ms", F.lit(0))
+    return resolve.live(read, NOW)
+
+
 @query("snapshot_roundtrip", f"WITH {LOG} SELECT key, value, expires_at_ms FROM live")
 def snapshot_roundtrip(spark, sf_dir):
     path = maintain.snapshot(mutations(spark, sf_dir), scratch(prepare(spark), "snapshots"), NOW)

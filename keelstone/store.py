@@ -15,6 +15,7 @@ from .operators import commands as interpreter
 from .operators import fold, lookup, maintain, resolve, stats
 from .schema import DEL, MUTATIONS, NEVER, PUT
 from .session import prepare
+from .sources import runs
 
 
 class KeyValueStore:
@@ -57,6 +58,12 @@ class KeyValueStore:
         rows.select(*[c.split()[0] for c in MUTATIONS.split(", ")]).write.parquet(f"{self.path}/delta-{number:09d}")
         self._seq = None
 
+    def take_over(self, folder: str) -> None:
+        """Write what a raw data folder holds (runs and logs of the single-node program) as this store's newest rows."""
+        first = self._next()
+        newest = resolve.latest_per_key(runs.read_folder(self.spark, folder))
+        self.write(newest.withColumn("seq", F.lit(first).cast("bigint")).withColumn("ts_ms", F.lit(self.clock()).cast("bigint")))
+
     def _append(self, op: str, key: str, value: str | None, until: int) -> None:
         if key is None or (op == PUT and value is None):
             raise ValueError("keys and values must not be null")

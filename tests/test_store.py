@@ -2,6 +2,7 @@ import pytest
 
 from keelstone.operators import fold, maintain
 from keelstone.schema import COMMANDS, MUTATIONS, NEVER
+from keelstone.sources import runs, wal
 from keelstone.store import KeyValueStore
 from keelstone.streaming import streams
 
@@ -68,3 +69,34 @@ def test_save_commands_write_snapshots(spark, tmp_path):
     saved = {p.name: sorted((r["key"], r["value"]) for r in maintain.restore(spark, str(p)).collect()) for p in (tmp_path / "db").glob("snapshot-*")}
     assert saved == {"snapshot-0000000003000.db": [("a", "1"), ("old", "0")], "snapshot-0000000006000.db": [("a", "2")]}
     assert s.get("a") == "2" and s.get("b") == "3"
+
+
+def test_raw_runs(spark, tmp_path):
+    rows = [("PUT", "k", "v", NEVER), ("DEL", "gone", None, NEVER), ("PUT", "long", "ab" * 500, NEVER), ("PUT", "ü", "", 12), ("PUT", "z", "xy" * 90, 99)]
+    data = runs.encode_run(rows)
+    assert sorted(runs.decode_run(data), key=lambda r: r[1]) == sorted(rows, key=lambda r: r[1])
+    assert len(data) < 700 and list(runs.decode_run(runs.encode_run([]))) == []
+    for bad in (b"", data[:-1], data[:30] + data[-24:], b"\0" * 60, data[:-4] + b"abcd", data[:40] + b"\xff\xff\xff" + data[43:]):
+        with pytest.raises(runs.BrokenRun):
+            list(runs.decode_run(bad))
+
+
+def test_take_over_of_a_raw_folder(spark, tmp_path):
+    """Runs by number, the newest first to be believed, then the pending log and the active one."""
+    old = tmp_path / "old"
+    old.mkdir()
+    (old / "sst-000001.db").write_bytes(runs.encode_run([("PUT", "a", "1", NEVER), ("PUT", "b", "1", NEVER), ("PUT", "c", "1" * 99, NEVER), ("PUT", "d", "1", NEVER)]))
+    (old / "L1-000002.db").write_bytes(runs.encode_run([("PUT", "b", "2", NEVER), ("DEL", "c", None, NEVER)]))
+    (old / "L2-000010.db").write_bytes(b"broken")
+    (old / "snapshot-0000000000009.db").write_bytes(runs.encode_run([("PUT", "never", "x", NEVER)]))
+    (old / "wal-pending.log").write_bytes(wal.frame("PUT", "d", "3") + wal.frame("PUT", "e", "3"))
+    (old / "wal.log").write_bytes(wal.frame("DEL", "e") + wal.frame("PUT", "f", "4"))
+    store = KeyValueStore(spark, str(tmp_path / "new"), clock=lambda: 1000)
+    store.put("f", "own")
+    store.put("own", "own")
+    store.take_over(str(old))
+    assert {r["key"]: r["value"] for r in store.view().collect()} == {"a": "1", "b": "2", "d": "3", "f": "4", "own": "own"}
+    snap = runs.read_runs(spark, str(old / "snapshot-0000000000009.db"))
+    assert [tuple(r) for r in snap.collect()] == [("snapshot-0000000000009.db", -1, -1, "PUT", "never", "x", NEVER)]
+    with pytest.raises(Exception, match="BrokenRun"):
+        runs.read_runs(spark, str(old)).count()
