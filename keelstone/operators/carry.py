@@ -32,3 +32,15 @@ def carried(ends: DataFrame, how: str, wide: int = WIDE) -> DataFrame:
 def ranged(column: str, span: int) -> Column:
     """The number of the range of ``span`` values that a value falls in."""
     return F.floor(F.col(column) / span)
+
+
+def sums_at(points: DataFrame, events: DataFrame, columns: list[str], span: int) -> DataFrame:
+    """``points`` (distinct ``seq``) with the sums of ``columns`` over the ``events`` whose ``seq`` is not above theirs."""
+    rows = events.groupBy("seq").agg(*[F.sum(c).alias(c) for c in columns]).withColumn("_ask", F.lit(False))
+    rows = rows.unionByName(points.select("seq", *[F.lit(0).cast("bigint").alias(c) for c in columns], F.lit(True).alias("_ask"))).withColumn("_range", ranged("seq", span))
+    so_far = Window.partitionBy("_range").orderBy("seq", "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows
+    for c in columns:
+        start = carried(rows.groupBy("_range").agg(F.sum(c).alias("_end")), "sum").withColumnRenamed("_start", f"_{c}")
+        out = out.join(start, "_range").withColumn(f"_all_{c}", F.sum(c).over(so_far) + F.col(f"_{c}"))
+    return out.filter("_ask").select("seq", *[F.col(f"_all_{c}").cast("bigint").alias(c) for c in columns])

@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import resp
-from ..schema import NEVER
+from ..functions.text import entry_bytes
+from ..schema import DEL, NEVER
 from ..session import stored
-from . import fold, pubsub, sizes
+from . import fold, pubsub, sizes, stats
 from .carry import carried
 from .fold import HIGH, LOW, NOT_INTEGER, long_of
 from .resolve import latest_per_key
@@ -305,14 +306,19 @@ class Interpreted(NamedTuple):
     sessions: DataFrame
 
 
-def interpret(commands: DataFrame, users: DataFrame | None = None, before: DataFrame | None = None, info: str | None = None, sessions: DataFrame | None = None) -> Interpreted:
+def interpret(commands: DataFrame, users: DataFrame | None = None, before: DataFrame | None = None, info: dict | None = None, sessions: DataFrame | None = None) -> Interpreted:
     """Replies of all commands, the mutation log they write, and the sessions' last states.
 
-    ``before``: the entries that the store starts with. ``info``: the text that INFO answers with. ``sessions``:
+    ``before``: the entries that the store starts with. ``info``: the figures that INFO starts from (see stats); commands,
+    sessions and buffered bytes are counted up to its place. ``sessions``:
     the states that an earlier table of commands ended in, for sessions that go on.
-    Replies are ``session_id, seq, type, text, num, items, resp``; nothing for SHUTDOWN and after QUIT.
+    Replies are ``session_id, seq, type, text, num, items, resp``; nothing for SHUTDOWN, after it and after QUIT.
     """
     planned = stored(plan(commands, users, sessions), "planned")
+    states = planned.filter("cmd = '_STATE'").select("session_id", F.col("items").alias("state"))
+    stop = planned.filter("cmd = 'SHUTDOWN' AND type = 'none'").agg(F.min("seq")).first()[0]
+    if stop is not None:  # no command after it is read, and all connections are closed
+        planned, states = planned.filter(F.col("seq") <= stop), states.limit(0)
     # the commands that need more than their own keys; what does not occur needs no part of the plan
     wide = ("SCAN", "DBSIZE", "PUBLISH", "LASTSAVE", "INFO")
     present = {r["cmd"] for r in planned.filter(F.col("cmd").isin(*wide)).select("cmd").distinct().collect()}
@@ -365,13 +371,19 @@ def interpret(commands: DataFrame, users: DataFrame | None = None, before: DataF
         asked = open_rows.filter("cmd = 'LASTSAVE'").select("session_id", "seq")
         add(asked.join(last_before(asked.select("seq"), saves), "seq", "left"), ":", num=F.coalesce("at", F.lit(0)).cast("bigint"))
     if "INFO" in present:
-        add(open_rows.filter("cmd = 'INFO'"), "$", text=F.lit(info or ""))
+        zero = F.lit(0).cast("bigint")
+        came = planned.filter("cmd NOT IN ('_LOAD', '_STATE') OR cmd IS NULL").select("session_id", "seq")
+        events = came.select("seq", F.lit(1).cast("bigint").alias("total_commands_processed"), zero.alias("total_connections_received"), zero.alias("memtable_bytes"))
+        events = events.unionByName(came.groupBy("session_id").agg(F.min("seq").alias("seq")).select("seq", zero.alias("total_commands_processed"), F.lit(1).cast("bigint").alias("total_connections_received"), zero.alias("memtable_bytes")))
+        wrote = F.when(F.col("op") == DEL, entry_bytes(F.col("key"), F.lit(None).cast("string"))).otherwise(entry_bytes(F.col("key"), F.col("value")))
+        events = events.unionByName(log.select("seq", zero.alias("total_commands_processed"), zero.alias("total_connections_received"), wrote.cast("bigint").alias("memtable_bytes")))
+        asked = open_rows.filter("cmd = 'INFO'").select("session_id", "seq")
+        add(asked.join(stats.info_at(asked.select("seq"), events, info or {}).withColumnRenamed("text", "found"), "seq"), "$", text=F.col("found"))
 
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     out = out.withColumn("resp", resp.reply(F.col("type"), F.col("text"), F.col("num"), F.col("items")))
-    states = planned.filter("cmd = '_STATE'").select("session_id", F.col("items").alias("state"))
     return Interpreted(out, log, states)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.text import entry_bytes
+from ..functions.text import entry_bytes, file_name
 from ..schema import DEL, MUTATIONS
 from .resolve import latest_per_key, live, not_expired
 
@@ -34,7 +34,7 @@ def compacted(mutations: DataFrame, now_ms: int | None = None) -> DataFrame:
 def write_run(rows: DataFrame, path: str, partitions: int | None = None, records: int = 2_000_000, mode: str = "errorifexists") -> None:
     """Write rows as runs of disjoint key ranges, sorted, so that a point or range read skips row groups by their bounds."""
     ranged = rows.repartitionByRange(partitions, "key") if partitions else rows.repartitionByRange("key")
-    ranged.sortWithinPartitions("key").write.mode(mode).option("maxRecordsPerFile", records).option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+    ranged.sortWithinPartitions("key").write.mode(mode).option("maxRecordsPerFile", records).option("parquet.bloom.filter.enabled#key", "true").option("compression", "zstd").parquet(path)
 
 
 def compact(mutations: DataFrame, path: str, now_ms: int | None = None, partitions: int | None = None) -> DataFrame:
@@ -94,6 +94,41 @@ def output_chunks(rows: DataFrame, limit: int = OUTPUT_BYTES, run: str = "run")
     return sized.repartition(run).sortWithinPartitions(run, "key").mapInArrow(walk, schema)
 
 
+def run_files(rows: DataFrame) -> DataFrame:
+    """``name, level, number, min_key, max_key, bytes`` of the files that rows ``file, level, number, key, value, ...`` lie in."""
+    size = F.sum(entry_bytes(F.col("key"), F.col("value")))
+    return rows.groupBy(F.col("file").alias("name"), "level", "number").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), size.alias("bytes"))
+
+
+def compact_level(rows: DataFrame, now_ms: int, limit: int = OUTPUT_BYTES, partitions: int | None = None) -> DataFrame | None:
+    """One compaction of leveled runs ``file, level, number`` and mutation columns; None if no level is due.
+
+    The picked files and the files of the next level that they overlap become new files of that level; all other rows
+    stay as they are. The deepest due level goes first, but level 0 before any other. Deletes and expired entries
+    go only if no deeper level holds files and none stays that they may hide. Files are cut at ``limit`` accounted bytes.
+    """
+    files = run_files(rows).checkpoint()
+    due = [r["level"] for r in level_bytes(files).filter("due").select("level").collect()]  # a row a level
+    if not due:
+        return None
+    level = 0 if 0 in due else max(due)
+    picked = pick(files.filter(F.col("level") == level).withColumnRenamed("number", "seq")).select("name")
+    inputs = files.join(picked, "name")
+    below = files.filter(F.col("level") == level + 1)
+    # with deeper files, or files of the level above them that are not picked, a tombstone still hides something
+    deepest = files.agg(F.max("level")).first()[0] <= level + 1
+    first = files.agg(F.max("number")).first()[0] + 1
+    taken = inputs.select("name").unionByName(overlapping(below, inputs).select("name")).distinct().checkpoint()
+    old = rows.join(taken, F.col("file") == F.col("name"), "left_semi")
+    merged = compacted(old.drop("file", "level", "number"), now_ms if deepest else None)
+    ranged = (merged.repartitionByRange(partitions, "key") if partitions else merged.repartitionByRange("key")).withColumn("part", F.spark_partition_id())
+    cut = output_chunks(ranged, limit, "part")
+    number = F.lit(first) + F.col("part").cast("bigint") * 1_000_000 + F.col("chunk")
+    new = cut.withColumn("number", number).withColumn("level", F.lit(level + 1)).withColumn("file", file_name(F.col("level"), F.col("number")))
+    kept = rows.join(taken, F.col("file") == F.col("name"), "left_anti")
+    return kept.unionByName(new.select(*[F.col(c).cast(kept.schema[c].dataType) for c in kept.columns]))
+
+
 def snapshot(mutations: DataFrame, folder: str, now_ms: int, upto_seq: int | None = None, mode: str = "errorifexists") -> str:
     """Write the live view as ``snapshot-<13-digit ms>.db`` and return its path; ``upto_seq`` fixes the point in the log."""
     log = mutations if upto_seq is None else mutations.filter(F.col("seq") <= upto_seq)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import entry_bytes
 from ..schema import DEL
-from .carry import carried
+from .carry import carried, sums_at
 
 
 def memtable_bytes(mutations: DataFrame) -> DataFrame:
@@ -50,6 +50,22 @@ def info_text(f: dict, product: str = "keelstone") -> str:
     return "\n".join("\n".join([f"# {name}", *lines, ""]) for name, lines in sections.items())
 
 
+#: INFO's figures that change within a table of commands.
+MOVING = ("total_commands_processed", "total_connections_received", "memtable_bytes")
+
+
+def info_at(points: DataFrame, events: DataFrame, figures: dict, span: int = 100_000) -> DataFrame:
+    """``seq, text``: what INFO answers at each ``seq``.
+
+    ``events``: rows ``seq`` and the MOVING figures that they add; ``figures``: all figures before the first.
+    """
+    marks = {c: f"\x01{c}\x01" for c in MOVING}  # no figure's text holds the control character
+    text = F.lit(info_text(figures | marks))
+    for c, mark in marks.items():
+        text = F.replace(text, F.lit(mark), (F.col(c) + F.lit(int(figures.get(c, 0)))).cast("string"))
+    return sums_at(points, events, list(MOVING), span).select("seq", text.alias("text"))
+
+
 def storage_figures(commands: DataFrame, mutations: DataFrame) -> DataFrame:
     """One row of counts for INFO from tables of commands and mutations."""
     a = commands.agg(F.count(F.lit(1)).alias("total_commands_processed"), F.count_distinct("session_id").alias("total_connections_received"))

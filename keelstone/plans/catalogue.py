@@ -12,6 +12,7 @@ from ..operators import acl, commands as interpreter, counters, fold, lookup, ma
 from ..schema import NEVER
 from ..session import prepare, scratch, table
 from ..sources import fixture, runs, wal
+from . import wire
 
 NOW = fixture.NOW_MS
 VIEW, BUY = fixture.VIEW_TTL_MS, fixture.PURCHASE_TTL_MS
@@ -569,3 +570,26 @@ def order_latest(spark, sf_dir):
     return resolve.latest_per_key(log).select("key", "value", "seq")
 
 
+
+
+# each wire command, as the scripts of wire.py issue it
+for _name in wire.COMMANDS:
+    query(f"command_{_name.lower()}", wire.oracle(_name))(wire.command(_name))
+
+
+@query("compact_level_equiv", f"WITH {LOG} SELECT key, value, expires_at_ms FROM live")
+def compact_level_equiv(spark, sf_dir):
+    """Runs at three levels, compacted level by level until none is due; reads see the same."""
+    log = mutations(spark, sf_dir)
+    top = log.agg(F.max("seq")).first()[0] or 0
+    seq, place = F.col("seq"), F.substring("key", 6, 4).cast("bigint")
+    columns = ["file", "level", "number", *log.columns]
+    fresh = log.filter(seq > top // 2).withColumn("level", F.lit(0).cast("bigint")).withColumn("number", 200_000 + F.floor(seq * 10 / (top + 1)))
+    parts = [fresh]
+    for level, low, high in ((1, top // 4, top // 2), (2, -1, top // 4)):  # deeper levels: one row a key, files of disjoint keys
+        some = maintain.compacted(log.filter((seq > low) & (seq <= high)))
+        parts.append(some.withColumn("level", F.lit(level).cast("bigint")).withColumn("number", F.lit(10_000 * (3 - level)).cast("bigint") + place))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("file", text.file_name(F.col("level"), F.col("number"))).select(columns)
+    while (after := maintain.compact_level(rows, NOW, limit=20_000)) is not None:
+        rows = after.checkpoint()
+    return resolve.live(rows, NOW)

@@ -25,18 +25,22 @@ class KeyValueStore:
         self.spark, self.path, self.clock = prepare(spark), path.rstrip("/"), clock
         self.snapshots = maintain.Snapshots()
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.snapshots.last_epoch_sec = max([0, *(int(n[9:22]) // 1000 for n in self._finished() if n.startswith("snapshot-") and n[9:22].isdigit())])
         self._seq: int | None = None
         self._sessions: DataFrame | None = None  # of execute(): logins and subscriptions last from call to call
 
     # -- files: base-<n> (compacted) and every delta-<m> with m > n ----------------------------------------
 
-    def _names(self, kind: str) -> list[int]:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not self._fs.exists(root):
+    def _finished(self) -> list[str]:
+        """Names of the folders whose write has been committed."""
+        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        if not self._fs.exists(jvm_path(self.path)):
             return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        done = [n for n in names if n.startswith(kind + "-") and self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n.rsplit("-", 1)[1]) for n in done)
+        names = [s.getPath().getName() for s in self._fs.listStatus(jvm_path(self.path))]
+        return [n for n in names if self._fs.exists(jvm_path(f"{self.path}/{n}/_SUCCESS"))]
+
+    def _names(self, kind: str) -> list[int]:
+        return sorted(int(n.rsplit("-", 1)[1]) for n in self._finished() if n.startswith(kind + "-"))
 
     def log(self) -> DataFrame:
         """The log: the newest base and what was written after it."""
@@ -119,9 +123,10 @@ class KeyValueStore:
 
     def execute(self, table: DataFrame, users: DataFrame | None = None) -> DataFrame:
         """Interpret a table of commands, append what they write, return their replies."""
-        figures = stats.storage_figures(table, self.log()).first().asDict() | {"last_snapshot_epoch_sec": self.snapshots.last_epoch_sec}
+        buffered = stats.memtable_bytes(self.log()).first()[0]
+        figures = {"memtable_bytes": buffered, "last_snapshot_epoch_sec": self.snapshots.last_epoch_sec}
         before = resolve.latest_per_key(self.log()).filter(F.col("op") != DEL)
-        replies, log, self._sessions = interpreter.interpret(table, users, before, stats.info_text(figures), self._sessions)
+        replies, log, self._sessions = interpreter.interpret(table, users, before, figures, self._sessions)
         self._save_asked(table, replies, log, before)
         newest = interpreter.state_after(log)
         first = self._next()
@@ -144,6 +149,22 @@ class KeyValueStore:
         number = max([0, *self._names("delta"), *self._names("base")])
         maintain.write_run(maintain.compacted(self.log(), self.clock()), f"{self.path}/base-{number + 1:09d}", partitions)
 
+    def compact_due(self, partitions: int | None = None) -> bool:
+        """Compact if as many deltas have come since the newest base as start a compaction; whether it did."""
+        base = self._names("base")[-1:]
+        if sum(not base or n > base[0] for n in self._names("delta")) < maintain.LEVEL0_FILES:
+            return False
+        self.compact(partitions)
+        return True
+
+    def vacuum(self) -> list[str]:
+        """Delete the folders that the newest base has replaced; tables that were read before must not be in use."""
+        base = self._names("base")[-1:]
+        gone = [n for n in self._finished() if base and n.startswith(("base-", "delta-")) and int(n.rsplit("-", 1)[1]) < base[0]]
+        for name in gone:
+            self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+        return sorted(gone)
+
     def snapshot(self) -> str:
         return self.snapshots.save(self.log(), self.path, self.clock())
 
