@@ -6,6 +6,7 @@ import json
 import os
 import sys
 import time
+from collections.abc import Callable
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -54,13 +55,13 @@ def batch_lookup(spark: SparkSession) -> tuple[DataFrame, int]:
     return lookup.mget(base(spark), asked), 4 * orders.count()
 
 
-def range_scan(spark: SparkSession) -> tuple[DataFrame, int]:
+def range_scan(spark: SparkSession) -> tuple[DataFrame, Callable[[], int]]:
     """A scan of 100 keys for each customer; the keys returned are counted."""
     c = table(spark, SF_DIR, "customer")
     start = F.col("c_custkey") % 19_900
     name = lambda n: F.concat(F.lit("part:"), F.lpad(n.cast("string"), 8, "0"))
     found = sizes.scan_many(base(spark), c.select(F.col("c_custkey").alias("request_id"), name(start).alias("lo"), name(start + 100).alias("hi")))
-    return found, found.count()
+    return found, found.count
 
 
 def counter_fold(spark: SparkSession) -> tuple[DataFrame, int]:
@@ -99,6 +100,7 @@ def main() -> None:
             df.write.format("noop").mode("overwrite").save()
             took = time.perf_counter() - began
             best = took if best is None else min(best, took)
+        rows = rows() if callable(rows) else rows  # what a scan returned is counted after the clock has stopped
         seconds[name], rates[name] = round(best, 3), round(rows / best)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "rows_per_sec": rates, "sf": SF_DIR.rstrip("/").rsplit("sf", 1)[-1]}))
 

@@ -11,11 +11,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,9 +118,6 @@ def operations(cmd: str, argv: list[str], now: int) -> list[tuple[str, str, str
 DATA = {"SET", "SETEX", "PSETEX", "GET", "DEL", "EXISTS", "MGET", "MSET", "INCR", "DECR", "INCRBY", "DECRBY", "EXPIRE", "PEXPIRE", "TTL", "PTTL", "PERSIST"}
 
 
-EMPTY = dict.fromkeys(("cmd", "type", "text", "num", "items", "ops", "changes", "lo", "hi"))
-
-
 class Session:
     """One connection's state, and what each of its commands becomes."""
 
@@ -146,11 +144,12 @@ class Session:
         return len(self.subs["channel"]) + len(self.subs["pattern"])
 
     def plan(self, argv: list[str | None], now: int) -> dict:
-        row: dict = dict(EMPTY)
+        """The columns of _PLAN that a command sets; the others are null."""
+        row: dict = {}
         try:
             if not argv:
                 raise _error("ERR empty command")
-            if any(x is None for x in argv):
+            if None in argv:
                 raise _error("ERR internal: null argument")
             cmd = row["cmd"] = argv[0].upper()
             if self.count() and cmd not in SUBSCRIBED:
@@ -266,8 +265,12 @@ def plan(commands: DataFrame, users: DataFrame | None = None, sessions: DataFram
 
     def batch_of(head: list[tuple], rows: list[dict]) -> pa.RecordBatch:
         columns = [pa.array(c, k) for c, (_, k) in zip(zip(*head, strict=True), kinds, strict=False)]
+        present = set().union(*rows)
         for column, kind in kinds[3:]:
-            values = [r[column] for r in rows]
+            if column not in present:
+                columns.append(pa.nulls(len(rows), kind))
+                continue
+            values = [r.get(column) for r in rows]
             columns.append(structs(values, kind.value_type) if column in ("ops", "changes") else pa.array(values, kind))
         return pa.RecordBatch.from_arrays(columns, names=[n for n, _ in kinds])
 
@@ -275,27 +278,34 @@ def plan(commands: DataFrame, users: DataFrame | None = None, sessions: DataFram
         name, session, first = None, None, True
         for batch in batches:
             head, rows = [], []
-            for sid, seq, now, argv, state in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            # the lists of arguments by their ends: a list column is slow to turn into lists itself
+            words, ends = batch.column(3).flatten().to_pylist(), np.cumsum(pc.fill_null(pc.list_value_length(batch.column(3)), 0).to_numpy(zero_copy_only=False))
+            given = batch.column(3).is_valid().to_pylist()
+            starts = np.concatenate([[0], ends[:-1]]).tolist()
+            lists = [words[a:b] if ok else None for a, b, ok in zip(starts, ends.tolist(), given, strict=True)]
+            for sid, seq, now, argv, state in zip(*(batch.column(i).to_pylist() for i in range(3)), lists, batch.column(4).to_pylist(), strict=True):
                 if first or sid != name:
                     if not first:
                         head.append((name, HIGH, 0))
-                        rows.append(EMPTY | {"cmd": "_STATE", "type": "none", "items": session.save()})
+                        rows.append({"cmd": "_STATE", "type": "none", "items": session.save()})
                     name, session, first = sid, Session(known), False
                 if state is not None:
                     head.append((sid, LOW, 0))
-                    rows.append(EMPTY | {"cmd": "_LOAD", "type": "none", "changes": session.load(state)})
+                    rows.append({"cmd": "_LOAD", "type": "none", "changes": session.load(state)})
                 elif not session.closed:  # what follows QUIT is never read
                     head.append((sid, seq, now))
                     rows.append(session.plan(argv, now))
             if rows:
                 yield batch_of(head, rows)
         if not first:
-            yield batch_of([(name, HIGH, 0)], [EMPTY | {"cmd": "_STATE", "type": "none", "items": session.save()}])
+            yield batch_of([(name, HIGH, 0)], [{"cmd": "_STATE", "type": "none", "items": session.save()}])
 
     rows = commands.select("session_id", "seq", "ts_ms", "argv", F.lit(None).cast("array<string>").alias("state"))
     if sessions is not None:
         rows = rows.unionByName(sessions.select("session_id", F.lit(LOW).alias("seq"), F.lit(0).cast("bigint").alias("ts_ms"), F.lit(None).cast("array<string>").alias("argv"), "state"))
-    return rows.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInArrow(run, _PLAN)
+    # sessions differ in length and each is walked by one task: several tasks for each partition even this out
+    parts = 4 * int(commands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "session_id").sortWithinPartitions("session_id", "seq").mapInArrow(run, _PLAN)
 
 
 class Interpreted(NamedTuple):
@@ -316,36 +326,46 @@ def interpret(commands: DataFrame, users: DataFrame | None = None, before: DataF
     """
     planned = stored(plan(commands, users, sessions), "planned")
     states = planned.filter("cmd = '_STATE'").select("session_id", F.col("items").alias("state"))
-    stop = planned.filter("cmd = 'SHUTDOWN' AND type = 'none'").agg(F.min("seq")).first()[0]
+    # one row: what else than its own keys some command needs (what does not occur needs no part of the plan), the first
+    # SHUTDOWN, and whether a command has several keys
+    wide = ("SCAN", "DBSIZE", "PUBLISH", "LASTSAVE", "INFO")
+    present, stop, several = planned.agg(
+        F.collect_set(F.when(F.col("cmd").isin(*wide), F.col("cmd"))), F.min(F.when(F.expr("cmd = 'SHUTDOWN' AND type = 'none'"), F.col("seq"))), F.max(F.size("ops") != 1),
+    ).first()
+    present = set(present)
     if stop is not None:  # no command after it is read, and all connections are closed
         planned, states = planned.filter(F.col("seq") <= stop), states.limit(0)
-    # the commands that need more than their own keys; what does not occur needs no part of the plan
-    wide = ("SCAN", "DBSIZE", "PUBLISH", "LASTSAVE", "INFO")
-    present = {r["cmd"] for r in planned.filter(F.col("cmd").isin(*wide)).select("cmd").distinct().collect()}
-    ops = planned.filter("ops IS NOT NULL").select("seq", "ts_ms", F.explode("ops").alias("o")).select("o.key", "seq", "o.pos", "ts_ms", "o.op", "o.value", "o.n")
-    folded = stored(fold.fold(ops, before), "folded")
+    alone = F.size("ops") == 1  # such a command's answer is its operation's: its session and name go along
+    ops = planned.filter("ops IS NOT NULL").select("seq", "ts_ms", F.when(alone, F.col("session_id")).alias("session_id"), F.when(alone, F.col("cmd")).alias("cmd"), F.explode("ops").alias("o"))
+    ops = ops.select("o.key", "seq", "o.pos", "ts_ms", "o.op", "o.value", "o.n", "session_id", "cmd")
+    folded = stored(fold.fold(ops, before, ("session_id", "cmd")), "folded")
     log = fold.mutations_of(folded)
 
-    # data commands: their operations' results in order
-    r = F.array_sort(F.collect_list(F.struct("pos", "num", "text", "err")))
-    done = folded.groupBy("seq").agg(r.alias("r"))
-    data = planned.filter("ops IS NOT NULL").select("session_id", "seq", "cmd").join(done, "seq")
-    one = F.col("r")[0]
-    total = F.aggregate("r", F.lit(0).cast("bigint"), lambda a, x: a + x["num"])
-    cmd = F.col("cmd")
-    seconds = F.when(one["num"] < 0, one["num"]).otherwise(F.floor(one["num"] / 1000))
-    answered = data.select(
-        "session_id", "seq",
-        F.when(one["err"].isNotNull(), "-").when(cmd.isin("SET", "SETEX", "PSETEX", "MSET"), "+").when(cmd == "GET", "$").when(cmd == "MGET", "*").otherwise(":").alias("type"),
-        F.when(one["err"].isNotNull(), one["err"]).when(cmd.isin("SET", "SETEX", "PSETEX", "MSET"), F.lit("OK")).when(cmd == "GET", one["text"]).alias("text"),
-        F.when(one["err"].isNotNull() | cmd.isin("SET", "SETEX", "PSETEX", "MSET", "GET", "MGET"), F.lit(None)).when(cmd.isin("DEL", "EXISTS"), total).when(cmd == "TTL", seconds).otherwise(one["num"]).cast("bigint").alias("num"),
-        F.when(cmd == "MGET", F.transform("r", lambda x: x["text"])).alias("items"),
-    )
+    def answers(rows: DataFrame, one: Callable[[str], F.Column], total: F.Column, texts: F.Column) -> DataFrame:
+        """Replies of data commands from their first result, their results' sum and all texts."""
+        cmd, wrong, number = F.col("cmd"), one("err").isNotNull(), one("num")
+        wrote = cmd.isin("SET", "SETEX", "PSETEX", "MSET")
+        seconds = F.when(number < 0, number).otherwise(F.floor(number / 1000))
+        return rows.select(
+            "session_id", "seq",
+            F.when(wrong, "-").when(wrote, "+").when(cmd == "GET", "$").when(cmd == "MGET", "*").otherwise(":").alias("type"),
+            F.when(wrong, one("err")).when(wrote, F.lit("OK")).when(cmd == "GET", one("text")).alias("text"),
+            F.when(wrong | wrote | cmd.isin("GET", "MGET"), F.lit(None)).when(cmd.isin("DEL", "EXISTS"), total).when(cmd == "TTL", seconds).otherwise(number).cast("bigint").alias("num"),
+            F.when(cmd == "MGET", texts).alias("items"),
+        )
+
+    answered = [answers(folded.filter("cmd IS NOT NULL"), F.col, F.col("num"), F.array("text"))]
+    if several:  # their operations' results in order
+        r = F.array_sort(F.collect_list(F.struct("pos", "num", "text", "err")))
+        done = folded.filter("cmd IS NULL").groupBy("seq").agg(r.alias("r"))
+        data = planned.filter("ops IS NOT NULL AND size(ops) <> 1").select("session_id", "seq", "cmd").join(done, "seq")
+        total = F.aggregate("r", F.lit(0).cast("bigint"), lambda a, x: a + x["num"])
+        answered.append(answers(data, lambda c: F.col("r")[0][c], total, F.transform("r", lambda x: x["text"])))
 
     fixed = planned.filter("type IS NOT NULL AND type <> 'none'").select("session_id", "seq", "type", "text", "num", "items")
     open_rows = planned.filter("type IS NULL AND ops IS NULL")
 
-    parts = [fixed, answered]
+    parts = [fixed, *answered]
     number, text, items = F.lit(None).cast("bigint"), F.lit(None).cast("string"), F.lit(None).cast("array<string>")
 
     def add(rows: DataFrame, kind: str, **more: F.Column) -> None:

@@ -68,23 +68,23 @@ def step(state: State, op: str, now: int, value: str | None, n: int | None) -> t
     raise ValueError(f"no operation {op!r}")
 
 
-def fold(ops: DataFrame, before: DataFrame | None = None) -> DataFrame:
+def fold(ops: DataFrame, before: DataFrame | None = None, along: tuple[str, ...] = ()) -> DataFrame:
     """Results of every row of ``ops`` in the order of ``(seq, pos)`` for each key.
 
-    ``before``: entries ``key, value, expires_at_ms`` that the keys start from.
+    ``before``: entries ``key, value, expires_at_ms`` that the keys start from. ``along``: text columns that rows keep.
     """
-    columns = [c.split()[0] for c in OPS.split(", ")]
+    columns = [*(c.split()[0] for c in OPS.split(", ")), *along]
     rows = ops.select(*columns)
     if before is not None:
-        rows = rows.unionByName(before.select("key", F.lit(LOW).alias("seq"), F.lit(0).alias("pos"), F.lit(0).cast("bigint").alias("ts_ms"), F.lit("LOAD").alias("op"), "value", F.col("expires_at_ms").alias("n")))
+        rows = rows.unionByName(before.select("key", F.lit(LOW).alias("seq"), F.lit(0).alias("pos"), F.lit(0).cast("bigint").alias("ts_ms"), F.lit("LOAD").alias("op"), "value", F.col("expires_at_ms").alias("n"), *[F.lit(None).cast("string").alias(c) for c in along]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
-        names = [c.split()[0] for c in RESULTS.split(", ")]
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64()]
+        names = [*(c.split()[0] for c in RESULTS.split(", ")), *along]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64(), *[pa.string()] * len(along)]
         for batch in batches:
             out: list[tuple] = []
-            for k, seq, pos, now, op, value, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, seq, pos, now, op, value, n, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key:
                     key, state = k, None
                 if op == "LOAD":
@@ -92,12 +92,12 @@ def fold(ops: DataFrame, before: DataFrame | None = None) -> DataFrame:
                     continue
                 state, changed, num, text, err = step(state, op, now, value, n)
                 left = state if changed and state is not None else (None, None)
-                out.append((k, seq, pos, now, op, num, text, err, changed, *left))
+                out.append((k, seq, pos, now, op, num, text, err, changed, *left, *rest))
             data = list(zip(*out, strict=True)) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, kinds, strict=True)], names=names)
 
     dealt = rows.repartition("key").sortWithinPartitions("key", "seq", "pos")
-    return dealt.mapInArrow(run, RESULTS)
+    return dealt.mapInArrow(run, RESULTS + "".join(f", {c} string" for c in along))
 
 
 def mutations_of(results: DataFrame) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..schema import NEVER
 from ..session import stored
 from .carry import carried, ranged
+from .resolve import as_of
 
-#: Sequence numbers in a range; key ranges for each shuffle partition, and sampled keys for each of them.
-SPAN, RANGES, SAMPLED = 100_000, 4, 16
+#: Sequence numbers in a range; key ranges at most, and keys sampled for each; numbers of one scan in a row.
+SPAN, RANGES, SAMPLED, BLOCK = 100_000, 4096, 16, 10_000
 _SO_FAR = (Window.unboundedPreceding, Window.currentRow)
 
 
@@ -66,15 +67,15 @@ def dbsize_at(versions: DataFrame, points: DataFrame, span: int = SPAN) -> DataF
 
 
 def key_ranges(rows: DataFrame) -> Callable[[Column], Column]:
-    """The number of the key range that a key falls in, some for each shuffle partition, of about equal numbers of keys.
+    """The number of the key range that a key falls in, RANGES at most, of about equal numbers of keys.
 
     The boundaries come from a sample of distinct keys (of each of some hash values the least), taken in one pass;
-    they affect speed only. A key finds its range among the boundaries in two steps.
+    they only tell which task sorts a key. A key finds its range among the boundaries in two steps.
     """
-    ranges = max(16, RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sample = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(ranges * SAMPLED)).alias("h")).agg(F.min("key").alias("key")).select("key")
-    keys = sorted((r["key"] for r in sample.collect()), key=str.encode)
-    cuts = keys[:: max(1, len(keys) // ranges)][1:]
+    sample = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(RANGES * SAMPLED)).alias("h")).agg(F.min("key").alias("key")).select("key")
+    keys = sorted((r["key"] for r in sample.collect()), key=str.encode)  # RANGES * SAMPLED rows at most
+    parts = min(RANGES, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = keys[:: max(1, len(keys) // parts)][1:]
     if not cuts:
         return lambda key: F.lit(0)
     step = int(len(cuts) ** 0.5) + 1
@@ -89,39 +90,35 @@ def key_ranges(rows: DataFrame) -> Callable[[Column], Column]:
 
 
 def scan_many(view: DataFrame, requests: DataFrame) -> DataFrame:
-    """``request_id, key, value`` of many range scans ``request_id, lo, hi`` over one view.
+    """What many range scans ``lo, hi`` read of one view ``key, ...`` of distinct keys: the requests' other columns and the view's.
 
-    A scan goes to the key ranges it meets, so the join is on the range, with the exact bounds as a residual.
+    Keys are numbered in order (ranges of them are sorted apart, with carried counts), and the bounds of the scans
+    take part in the same sort, so each scan becomes the numbers it covers, which join by equality. The work grows with
+    the keys, the scans and the rows returned, never with their product.
     """
+    view, wanted = stored(view, "scanned"), requests.filter("lo < hi")
+    bounds = wanted.select(F.explode(F.array("lo", "hi")).alias("key")).distinct()
     number = key_ranges(view)
-    v = view.withColumn("_range", number(F.col("key"))).alias("v")
-    r = requests.filter("lo < hi").withColumn("_range", F.explode(F.sequence(number(F.col("lo")), number(F.col("hi"))))).alias("r")
-    hit = (F.col("r._range") == F.col("v._range")) & (F.col("v.key") >= F.col("r.lo")) & (F.col("v.key") < F.col("r.hi"))
-    return r.join(v, hit).select("r.request_id", "v.key", "v.value")
+    rows = view.withColumn("_own", F.lit(1)).unionByName(bounds.withColumn("_own", F.lit(0)), allowMissingColumns=True).withColumn("_range", number(F.col("key")))
+    start = carried(rows.groupBy("_range").agg(F.sum("_own").alias("_end")), "sum")
+    # keys below: a bound stands before an equal key
+    order = Window.partitionBy("_range").orderBy("key", "_own").rowsBetween(*_SO_FAR)
+    placed = rows.join(start, "_range").withColumn("_below", F.sum("_own").over(order) + F.col("_start"))
+    at = placed.filter("_own = 0").select("key", "_below")
+    spans = wanted.join(at.select(F.col("key").alias("lo"), F.col("_below").alias("_a")), "lo").join(at.select(F.col("key").alias("hi"), F.col("_below").alias("_b")), "hi").filter("_a < _b")
+    blocks = spans.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_a") / BLOCK), F.floor((F.col("_b") - 1) / BLOCK))))
+    each = blocks.withColumn("_n", F.explode(F.sequence(F.greatest("_a", F.col("_block") * BLOCK), F.least("_b", (F.col("_block") + 1) * BLOCK) - 1)))
+    keys = placed.filter("_own = 1").select((F.col("_below") - 1).alias("_n"), *view.columns)
+    return each.drop("lo", "hi", "_a", "_b", "_block").join(keys, "_n").drop("_n")
 
 
 def scan_at(versions: DataFrame, requests: DataFrame) -> DataFrame:
     """``seq, key, value`` of what scans ``seq, ts_ms, lo, hi`` read, each as of its place in the log.
 
-    The join is on the key range and on a dyadic interval of sequence numbers: a version's life falls into at most two
-    such intervals of each length, and a scan's place lies in one of each. So of a key with many versions a scan
-    meets the one that holds at its place, not all of them.
+    Each scan is resolved to the keys it covers, which are then read as of its place (see resolve.as_of): a key's
+    versions and its readers meet in one sort.
     """
-    low, high = requests.agg(F.min("seq"), F.max("seq")).first()
-    if low is None:
-        low = high = 0
-    levels = max(high - low, 1).bit_length()
-    number = key_ranges(versions)
-    # the life [a, b) among the places 0 .. high - low; at level n: a rounded up and b rounded down to 2 ** n
-    v = versions.filter("op <> 'DEL'").withColumn("a", F.greatest(F.col("seq_from"), F.lit(low - 1)) + F.lit(1 - low)).withColumn("b", F.least(F.col("seq_to"), F.lit(high)) + F.lit(1 - low)).filter("a < b")
-    up, down = "shiftright(a + shiftleft(1L, n) - 1L, n)", "shiftright(b, n)"
-    left, right = f"{up} % 2 = 1 AND {up} < {down}", f"{down} % 2 = 1 AND {up} + {up} % 2 < {down}"
-    pieces = f"flatten(transform(sequence(0, {levels}), n -> filter(array(IF({left}, struct(n, {up} AS at), NULL), IF({right}, struct(n, {down} - 1 AS at), NULL)), x -> x IS NOT NULL)))"
-    v = v.withColumn("_range", number(F.col("key"))).withColumn("_piece", F.explode(F.expr(pieces))).select("key", "value", "expires_at_ms", "_range", F.col("_piece.n").alias("_n"), F.col("_piece.at").alias("_at")).alias("v")
-    r = requests.filter("lo < hi").withColumn("_range", F.explode(F.sequence(number(F.col("lo")), number(F.col("hi")))))
-    r = r.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("_at", F.expr(f"shiftright(seq - {low}L, _n)")).alias("r")
-    hit = (
-        (F.col("r._range") == F.col("v._range")) & (F.col("r._n") == F.col("v._n")) & (F.col("r._at") == F.col("v._at"))
-        & (F.col("v.key") >= F.col("r.lo")) & (F.col("v.key") < F.col("r.hi")) & (F.col("v.expires_at_ms") > F.col("r.ts_ms"))
-    )
-    return r.join(v, hit).select(F.col("r.seq").alias("seq"), F.col("v.key").alias("key"), F.col("v.value").alias("value"))
+    versions = stored(versions, "versions")
+    asked = scan_many(versions.select("key").distinct(), requests.select("seq", "ts_ms", "lo", "hi"))
+    read = as_of(versions, asked.select(F.col("seq").alias("request_id"), "key", (F.col("seq") - 1).alias("at_seq"), F.col("ts_ms").alias("now_ms")))
+    return read.filter("value IS NOT NULL").select(F.col("request_id").alias("seq"), "key", "value")

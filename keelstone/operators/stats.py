@@ -21,6 +21,12 @@ def dbsize_approx(run_entries: int, buffered_bytes: int) -> int:
     return run_entries + max(0, buffered_bytes // 50)
 
 
+def dbsize_figure(run_entries: DataFrame, buffered: DataFrame) -> DataFrame:
+    """``dbsize``: dbsize_approx() of a row ``n`` and a row ``memtable_bytes``."""
+    both = run_entries.crossJoin(buffered)  # one row each
+    return both.select((F.col("n") + F.greatest(F.lit(0), F.floor(F.col("memtable_bytes") / 50))).cast("bigint").alias("dbsize"))
+
+
 def peak_connections(events: DataFrame) -> DataFrame:
     """The most connections open at once, of ``day, seq, step`` (+1 opens, -1 closes).
 

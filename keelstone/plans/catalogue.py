@@ -593,3 +593,12 @@ def compact_level_equiv(spark, sf_dir):
     while (after := maintain.compact_level(rows, NOW, limit=20_000)) is not None:
         rows = after.checkpoint()
     return resolve.live(rows, NOW)
+
+
+@query("dbsize_approx", f"WITH {LOG}, h AS (SELECT max(seq) // 2 AS half FROM muts), r AS (SELECT count(*) AS n FROM (SELECT DISTINCT key FROM muts, h WHERE seq <= half) t), b AS (SELECT sum(2 * length(key) + coalesce(2 * length(value), 0) + 8) AS bytes FROM muts, h WHERE seq > half) SELECT CAST(n + bytes // 50 AS BIGINT) AS dbsize FROM r, b")
+def dbsize_approx(spark, sf_dir):
+    """The size heuristic of a store whose older half is one run and whose newer half is still buffered."""
+    log = mutations(spark, sf_dir)
+    half = log.agg(F.floor(F.max("seq") / 2)).first()[0]
+    run = maintain.compacted(log.filter(F.col("seq") <= half)).agg(F.count(F.lit(1)).alias("n"))
+    return stats.dbsize_figure(run, stats.memtable_bytes(log.filter(F.col("seq") > half)))

@@ -232,7 +232,7 @@ def test_carried_ranges(spark, how):
 def test_reads_at_points_use_no_product(spark):
     """As-of reads join by sorting; sizes and scans by equality only; nothing goes through the driver's hands."""
     held = spark.range(10).selectExpr("CAST(id % 2 AS STRING) AS key", "id AS seq_from", "id + 2 AS seq_to", "'PUT' AS op", "'v' AS value", "id + 100 AS expires_at_ms")
-    asked = spark.range(10).selectExpr("id AS request_id", "CAST(id AS STRING) AS key", "id AS at_seq", "id AS now_ms", "id AS seq", "id * 90 AS ts_ms", "CAST(id AS STRING) AS lo", "'z' AS hi")
+    asked = spark.range(10).selectExpr("id AS request_id", "CAST(id AS STRING) AS key", "id AS at_seq", "id AS now_ms", "id AS seq", "id * 90 AS ts_ms", "CAST(id AS STRING) AS lo", "CAST(id + 5 AS STRING) AS hi")
     for df in (resolve.as_of(held, asked), sizes.dbsize_at(held, asked), sizes.scan_at(held, asked)):
         plan = df._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan
