@@ -496,7 +496,7 @@ def scan_asof(spark, sf_dir):
 def scan_many(spark, sf_dir):
     k = F.col("s_suppkey")
     asked = table(prepare(spark), sf_dir, "supplier").select(k.alias("request_id"), user_key(k % 140).alias("lo"), user_key(k % 140 + k % 30).alias("hi"))
-    return sizes.scan_many(view(spark, sf_dir), asked)
+    return sizes.scan_many(view(spark, sf_dir).select("key", "value"), asked)
 
 
 def fixture_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
