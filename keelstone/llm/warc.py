@@ -24,8 +24,8 @@ from .common import quoted, slices
 
 #: Bytes of compressed records after which a task begins its next package.
 PACKAGE_BYTES = 3 << 20
-#: Payloads shorter than this are never deduplicated.
-LEAST_DEDUPLICATED = 100
+#: Payloads shorter than this are never deduplicated; tasks among which rows of one payload are dealt.
+LEAST_DEDUPLICATED, SALT = 100, 16
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Signatures of the ZIP structures, the ZIP64 extra field, the revisit profile and the date.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -222,13 +222,16 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     Of equal payloads of at least 100 bytes, rows with the smallest id are responses and the others revisit
     them; shorter ones are responses. Null payloads count as empty, null urls too; a null id is never what
     others refer to unless no equal payload has an id; other columns are ignored. Digests that occur once are
-    dropped before the join, which is a broadcast only if the planner finds the rest small.
+    dropped before the join, which is a broadcast only if the planner finds the rest small; else rows of one
+    digest are dealt by SALT salts, and short payloads, which match nothing, by their ids.
     """
     slim = pages.select(F.col(quoted(id_col)).cast("bigint").alias("page_id"), F.coalesce(F.col(quoted(url_col)).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(quoted(html_col)).cast("string"), F.lit("")).alias("html"))
     slim = slim.withColumn("digest", F.sha2("html", 256))
     many = slim.filter(F.octet_length("html") >= LEAST_DEDUPLICATED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL")
-    first = stored(many.select(F.col("digest").alias("d"), "first"), "first-pages")
-    marked = slim.join(first, F.col("digest") == F.col("d"), "left").select("page_id", "url", "html", "digest", "first", (F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))).alias("revisit"))
+    first = stored(many.select("digest", "first"), "first-pages")
+    salted = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")).select(F.concat_ws(":", "digest", "salt").alias("d"), "first")
+    salt = F.when(F.octet_length("html") >= LEAST_DEDUPLICATED, F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("string")).otherwise(F.concat_ws("-", F.lit("short"), "page_id", "url"))
+    marked = slim.join(salted, F.concat_ws(":", "digest", salt) == F.col("d"), "left").select("page_id", "url", "html", "digest", "first", (F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))).alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -220,3 +220,18 @@ def test_warc_query_equals_sql(spark):
     names = [d[0] for d in cur.description]
     got = registry.QUERIES["op7_warc"](spark, "/root/testdata/sf0.001").select(*names).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, cur.fetchall()))
+
+
+def test_warc_join_without_a_broadcast(spark):
+    """Salted digests and short payloads meet as the broadcast join has them meet; a long page is packed whole."""
+    big, long = "page " * 50, "<p>long</p>" * 200_000
+    rows = [(i, f"u{i}", [big, "short", None, f"other {i} " * 20, long][i % 5]) for i in range(60)] + [(None, None, big), (None, None, big), (3, "u3", "short")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    kinds = lambda: sorted(repr(tuple(r)) for r in warc.read_packages(warc.write_packages(df), with_payload=False).select("page_id", "record_type", "refers_to", "payload_bytes").collect())
+    want = kinds()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert kinds() == want and len(want) == len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

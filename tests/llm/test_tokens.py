@@ -149,3 +149,30 @@ def test_sum_of_squares_choice():
     assert sequence.tolist()[:2] == [0, 1] and sequence[2] in (0, 1) and offset[2] == 6 and sequence[3] in (0, 1) and sequence[2] != sequence[3]
     sequence, _ = packing.place(np.array([8, 5, 1]), 10)  # gaps 2 and 5, one each: both choices cost the same, the tighter wins
     assert sequence.tolist() == [0, 1, 0]
+
+
+def test_sum_of_squares_against_every_choice():
+    """place() against trying every open sequence for each piece and counting squares anew."""
+    rng = random.Random(12)
+    for _ in range(60):
+        capacity = rng.randint(4, 30)
+        sizes = sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 60))), reverse=True)
+        sequence, offset = packing.place(np.array(sizes), capacity)
+        gaps = {}
+        for size, number, at in zip(sizes, sequence.tolist(), offset.tolist(), strict=True):
+
+            def squares(open_gaps):
+                count = [0] * (capacity + 1)
+                for g in open_gaps.values():
+                    count[g] += 1
+                return sum(c * c for c in count[1:])
+
+            fits = {n: g for n, g in gaps.items() if g >= size}
+            after = {n: squares({**gaps, n: g - size}) for n, g in fits.items()}
+            if not fits:
+                assert number not in gaps and at == 0
+                gaps[number] = capacity - size
+            else:
+                assert gaps[number] >= size and at == capacity - gaps[number]
+                assert after[number] == min(after.values())
+                gaps[number] -= size
