@@ -402,9 +402,9 @@ def word_counts(held: DataFrame, tree: Exchange) -> tuple[DataFrame, DataFrame]:
 
 
 class Asked:
-    """A block with its words' numbers and counts, and its distinct pairs."""
+    """A block with its words' numbers and counts, and its distinct pairs; ``counted``: with their counts in training."""
 
-    def __init__(self, data: bytes, rows: pd.DataFrame, tree: Exchange, docs: int, hot_from: float):
+    def __init__(self, data: bytes, rows: pd.DataFrame, tree: Exchange, docs: int, hot_from: float, counted: bool):
         self.block = b = Block(data)
         words = Words(b.words, b.words, tree.parts)
         tree.answers(words, 1, rows)
@@ -416,8 +416,10 @@ class Asked:
         before = pair >> np.uint64(32)
         self.before = np.where(before == 0, np.uint64(docs), self.of(before))  # the first word's training count
         self.after = self.of(pair & np.uint64(0xFFFFFFFF))
-        mine = np.sort(self.each[b.trained()])
-        count = (np.searchsorted(mine, pair, "right") - np.searchsorted(mine, pair, "left")).astype(np.uint64)
+        count = np.zeros(len(pair), np.uint64)
+        if counted:
+            mine, n = np.unique(self.each[b.trained()], return_counts=True)
+            count[np.searchsorted(pair, mine)] = n
         self.pairs = Pairs(pair, self.after, count, self.before >= hot_from, tree.parts)
 
     def of(self, number: np.ndarray) -> np.ndarray:
@@ -429,7 +431,7 @@ def pair_counts(held: DataFrame, words: DataFrame, tree: Exchange, docs: int, ho
     """Answers on each block's distinct pairs; rows of child -1 are statistics, of -2 partitions' shares of hot words."""
 
     def ask(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        mine = Asked(left["data"].iloc[0], right, tree, docs, hot_from)
+        mine = Asked(left["data"].iloc[0], right, tree, docs, hot_from, True)
         return pd.DataFrame([(node, key[0], digit, data) for node, digit, data in tree.messages(int(key[0]), 1, mine.pairs)], columns=["node", "child", "digit", "data"])
 
     def root(part: int, items: Pairs) -> pd.DataFrame:
@@ -495,7 +497,7 @@ def katz_scores(df: DataFrame, held: int = 1, parts: int = 5, id_col: str = "doc
     shares = hot_words(words, trained_docs, hot_from).join(shares, "word")
 
     def score(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        mine = Asked(left["data"].iloc[0], right[right["kind"] == 0], tree, trained_docs, hot_from)
+        mine = Asked(left["data"].iloc[0], right[right["kind"] == 0], tree, trained_docs, hot_from, False)
         b, p = mine.block, mine.pairs
         tree.answers(p, 1, right[right["kind"] == 1])
         _, at = p.by_first()
