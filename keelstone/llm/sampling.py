@@ -26,7 +26,7 @@ SAMPLES, KEPT = 64, 150_000
 #: Words longer than this are cut where two neighbouring characters say so, every 16 characters or so: for scripts without spaces.
 LONG_WORD, CUT = 40, 16
 #: Rows in a bucket of neighbouring documents; code points by which rows of one id are told apart.
-BUCKET_ROWS, TIE = 16_384, 16
+BUCKET_ROWS, TIE = 8192, 16
 
 
 def terms(text: str) -> Counter:
