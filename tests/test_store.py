@@ -100,3 +100,22 @@ def test_take_over_of_a_raw_folder(spark, tmp_path):
     assert [tuple(r) for r in snap.collect()] == [("snapshot-0000000000009.db", -1, -1, "PUT", "never", "x", NEVER)]
     with pytest.raises(Exception, match="BrokenRun"):
         runs.read_runs(spark, str(old)).count()
+
+
+def test_expired_entries_leave_the_stream_state(spark, tmp_path):
+    """The fold answers as in a batch; entries whose time has passed are gone from the state."""
+    steps = [
+        [("a", 1, 0, 1000, "SET", "x", 5000), ("b", 2, 0, 1000, "SET", "y", None), ("c", 3, 0, 1000, "SET", "z", 900_000)],
+        [("b", 4, 0, 60_000, "GET", None, None), ("c", 5, 0, 60_000, "TTL", None, None)],
+        [("b", 6, 0, 70_000, "DEL", None, None), ("a", 7, 0, 70_000, "GET", None, None)],
+    ]
+    want, got = [], []
+    for i, rows in enumerate(steps):
+        spark.createDataFrame(rows, fold.OPS).coalesce(1).write.mode("append").parquet(str(tmp_path / "ops"))
+        stream = streams.folded(spark.readStream.schema(fold.OPS).parquet(str(tmp_path / "ops")), late="1 second")
+        query = stream.writeStream.foreachBatch(lambda df, n: got.extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        query.awaitTermination(90)
+    every = spark.createDataFrame([r for rows in steps for r in rows], fold.OPS)
+    assert sorted(map(repr, got)) == sorted(repr(tuple(r)) for r in fold.fold(every).collect())
+    held = spark.read.format("statestore").load(str(tmp_path / "ck")).select("key.*").collect()
+    assert [r[0] for r in held] == ["c"]
