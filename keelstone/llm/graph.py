@@ -5,6 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Tasks among which the rows of one key are dealt when they meet the key's one row.
+SALTS = 1024
+
+
+def dealt_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` (with a ``salt`` below SALTS) joined with the one row that ``facts`` has for their ``key``; no salt after.
+
+    First each key's salts meet its fact (at most SALTS rows of a key), then rows meet facts by key and salt,
+    so no task gets all rows of a hot key. Rows whose key has no fact go.
+    """
+    asked = rows.select(key, "salt").distinct().join(facts, key)
+    return rows.join(asked, [key, "salt"]).drop("salt")
+
 
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links (a bigint, b bigint)``; root is the component's smallest node.

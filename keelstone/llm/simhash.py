@@ -20,7 +20,7 @@ from xxhash import xxh64_intdigest
 
 from ..session import stored
 from .common import fresh, id_text, quoted, slices, texts, with_text
-from .graph import components
+from .graph import SALTS, components, dealt_join
 
 #: Rows of whole groups that a task joins at once; node pairs that it holds at once.
 FOREST_ROWS, FRONTIER = 150_000, 400_000
@@ -245,7 +245,9 @@ def near_duplicates(df: DataFrame, budget: int = 4, shingle: int = 4, id_col: st
     ones too) have fingerprint zero and link like any other. Null ids never name a component (null if it has
     no other id); repeated rows and ids are kept; other columns are ignored.
     """
-    prints = stored(fingerprints(df, shingle, id_col, text_col), "fingerprints")
+    # salts go by place, as rows may repeat ids; they are written, so that all readers see the same
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("smallint").alias("salt")
+    prints = stored(fingerprints(df, shingle, id_col, text_col).select("doc_id", "fp", salt), "fingerprints")
     return with_components(prints, budget)
 
 
@@ -283,8 +285,9 @@ def keep_rows(docs: DataFrame, nodes: DataFrame, mark: Callable[[str], int], id_
 
 
 def with_components(prints: DataFrame, budget: int = 4) -> DataFrame:
-    """Add ``component_id`` to a stored table of ``doc_id, fp``."""
+    """``doc_id, fp, component_id`` of a stored table of ``doc_id, fp, salt``; large components and equal prints are dealt by salts."""
     joined = rooted(prints, budget)
     lowest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = joined.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    salted = joined.select("fp", "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt"))
+    named = dealt_join(salted, lowest, "root").select("fp", "component_id")
+    return dealt_join(prints, named, "fp").select("doc_id", "fp", "component_id")

@@ -336,6 +336,14 @@ def test_components_of_paths(spark):
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_dealt_join_keeps_every_row(spark):
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id) AS k", "CAST(id % 1024 AS SMALLINT) AS salt")
+    facts = spark.range(2000).selectExpr("id AS k", "id * 10 AS fact")
+    got = {(r["id"], r["fact"]) for r in graph.dealt_join(rows, facts, "k").collect()}
+    assert got == {(i, 10 * (7 if i % 3 == 0 else i)) for i in range(3000) if i % 3 == 0 or i < 2000}
+    assert graph.dealt_join(rows.limit(0), facts, "k").columns == ["k", "id", "fact"]
+
+
 def test_fingerprint_bits():
     import xxhash
 
