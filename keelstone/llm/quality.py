@@ -136,7 +136,8 @@ def learn(docs: DataFrame, labels: DataFrame, held: int = 2, parts: int = 4, row
 
     At most ``rows`` labelled rows are collected, those with the smallest hash of their id: a fixed bound
     whatever the corpus size. Their features are computed on the executors. An id that is labelled twice
-    takes the larger label; null labels, ids and texts are left out.
+    takes the larger label, of texts that repeat an id the one with the least features counts; null labels,
+    ids and texts are left out.
     """
     mine = labels.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), F.col(quoted(label_col)).cast("int").alias("_y"))
     mine = mine.filter(F.col("doc_id").isNotNull() & F.col("_y").isNotNull() & (bucket("doc_id", parts) != held)).groupBy("doc_id").agg(F.max("_y").alias("_y"))
@@ -146,10 +147,12 @@ def learn(docs: DataFrame, labels: DataFrame, held: int = 2, parts: int = 4, row
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             x = features(texts(part))
-            yield pa.RecordBatch.from_arrays([part.column("_y"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_y"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
 
     # the labelled side has at most `rows` rows of two numbers, so it may be broadcast at any corpus size
-    got = known.join(F.broadcast(mine), "doc_id").select("_y", "text").mapInArrow(measure, "y int, x array<float>").toArrow()
+    measured = known.join(F.broadcast(mine), "doc_id").select("doc_id", "_y", "text").mapInArrow(measure, "doc_id bigint, y int, x array<float>")
+    # one row of an id, combined before the shuffle, so that the bound holds however often documents repeat
+    got = measured.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("b")).select("b.y", "b.x").toArrow()
     if not got.num_rows:
         return fit(np.zeros((0, len(FEATURES)), np.float32), np.zeros(0))
     x = np.array(got["x"].to_pylist(), np.float32)

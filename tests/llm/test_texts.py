@@ -394,6 +394,18 @@ def test_trees_equal_plain_walk():
     assert quality.fit(x, np.ones(800)).predict(x[:2]).min() > 0.99 and len(quality.fit(x[:0], y[:0]).predict(x[:3])) == 3
 
 
+def test_quality_fits_one_row_of_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((x, y)))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][:3]
+    docs = spark.createDataFrame([(ids[0], f"text {i % 7} again") for i in range(500)] + [(i, "another text") for i in ids[1:]], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)] + [(ids[0], 1), (None, 1)], "doc_id bigint, quality int")
+    for rows in (docs, docs.orderBy(docs.text.desc())):
+        quality.learn(rows, labels)
+    assert [len(x) for x, _ in seen] == [3, 3] and sorted(seen[0][1].tolist()) == [0, 1, 1]
+    assert np.array_equal(seen[0][0], seen[1][0]) and np.array_equal(seen[0][1], seen[1][1])
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.score(docs, quality.learn(docs, labels)).join(labels, "doc_id").filter("held_out").collect()
