@@ -10,6 +10,10 @@ from ..functions.text import glob_regex
 from ..schema import NEVER
 
 
+#: Characters at most of a run between wildcards that channels are looked up by.
+GRAM = 32
+
+
 def intervals(changes: DataFrame) -> DataFrame:
     """Subscription intervals of changes ``conn, kind, target, seq, pos, add``: from a first add to the next removal."""
     order = Window.partitionBy("conn", "kind", "target").orderBy("seq", "pos")
@@ -23,12 +27,46 @@ def _now(m: str, s: str) -> F.Column:
     return (F.col(f"{s}.seq_from") < F.col(f"{m}.seq")) & (F.col(f"{m}.seq") < F.col(f"{s}.seq_to"))
 
 
+def met(channels: DataFrame, globs: DataFrame) -> DataFrame:
+    """``target, channel`` of distinct ``channel`` and distinct ``target``: every glob that matches a channel.
+
+    A glob fixes characters: at their places before its first wildcard, from the end after its last, or a run
+    between two. Globs of one shape (the places that they fix) meet the channels by what stands there, in an equality
+    join, and the regular expression decides; so the work grows with the channels times the shapes, not times the globs.
+    """
+    n = F.length("head")
+    places = lambda text, first: F.filter(F.when(F.length(text) > 0, F.sequence(first, first + F.length(text) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(text, i, 1) != "?")
+    # brackets and braces pass through to the expression: what is fixed ends before them, and a brace takes a character along
+    parts = globs.select(
+        "target", F.regexp_extract("target", r"\A([^*\[\]{}]*)", 1).alias("head"), F.regexp_extract("target", r"([^*\[\]{}]*)\z", 1).alias("tail"),
+        F.when(~F.col("target").rlike(r"[\[\]{}]"), F.array_max(F.transform(F.split("target", r"[*?]"), lambda x: F.struct(F.length(x).alias("n"), F.left(x, F.lit(GRAM)).alias("run"))))["run"]).alias("run"),
+    )
+    whole = F.col("head") == F.col("target")
+    brace = F.substring("target", n + 1, 1) == "{"
+    parts = parts.withColumns({"whole": whole, "tail": F.when(whole, F.lit("")).otherwise(F.col("tail")), "head": F.when(brace, F.expr("left(head, length(head) - 1)")).otherwise(F.col("head"))})
+    anchored = F.concat(F.regexp_replace("head", "[?]", ""), F.regexp_replace("tail", "[?]", ""))
+    size, b = F.length("head") + F.length("tail"), F.length("tail")
+    at = F.concat(places(F.col("head"), F.lit(1)), F.transform(places(F.col("tail"), F.lit(1)), lambda i: i - b - 1))
+    inside = F.coalesce(F.length("run") > F.length(anchored), F.lit(False))  # a run between wildcards tells globs apart better
+    keyed = parts.select(
+        "target", F.when(inside, F.col("run")).otherwise(anchored).alias("key"), F.when(inside, F.length("run")).otherwise(F.lit(0)).alias("gram"),
+        F.when(~inside, at).alias("at"), size.alias("least"), F.when(F.col("whole"), size).alias("most"),
+    ).withColumn("shape", F.to_json(F.struct("gram", "at", "least", "most")))
+    fits = (F.length("channel") >= F.col("least")) & (F.length("channel") <= F.coalesce("most", F.length("channel"))) & (F.length("channel") >= F.col("gram"))
+    asked = channels.join(F.broadcast(keyed.select("shape", "gram", "at", "least", "most").distinct()), fits)
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("channel") - F.col("gram") + 1), lambda i: F.substring(F.col("channel"), i, F.col("gram"))))
+    fixed = F.array(F.array_join(F.transform("at", lambda i: F.substring(F.col("channel"), i, F.lit(1))), ""))
+    asked = asked.select("channel", "shape", F.explode(F.when(F.col("gram") > 0, runs).otherwise(fixed)).alias("key"))
+    near = asked.join(keyed.select("target", "shape", "key", glob_regex(F.col("target")).alias("regex")), ["shape", "key"])
+    return near.filter(F.expr("rlike(channel, regex)")).select("target", "channel")
+
+
 def matches(messages: DataFrame, subs: DataFrame) -> DataFrame:
     """Every subscription that a message meets: ``msg_id, conn, kind, target``.
 
     Channels meet by equality. Globs are matched once for each distinct channel and pattern rather than for each
     message and subscription, and a pattern without wildcards is an equality too; only real globs are
-    compared with the distinct channels.
+    compared with the distinct channels (see met).
     """
     m = messages.alias("m")
     direct = m.join(subs.filter("kind = 'channel'").alias("s"), (F.col("m.channel") == F.col("s.target")) & _now("m", "s"))
@@ -36,9 +74,8 @@ def matches(messages: DataFrame, subs: DataFrame) -> DataFrame:
     wild = F.col("target").rlike(r"[*?\[\]{}]")
     plain = patterns.filter(~wild).select("target", F.col("target").alias("channel"))
     channels = messages.select("channel").distinct()
-    globs = patterns.filter(wild).withColumn("regex", glob_regex(F.col("target")))
-    met = channels.join(globs, F.expr("rlike(channel, regex)")).select("target", "channel").unionByName(plain)
-    by_glob = m.join(met.alias("p"), F.col("m.channel") == F.col("p.channel")).join(subs.filter("kind = 'pattern'").alias("s"), (F.col("p.target") == F.col("s.target")) & _now("m", "s"))
+    heard = met(channels, patterns.filter(wild)).unionByName(plain)
+    by_glob = m.join(heard.alias("p"), F.col("m.channel") == F.col("p.channel")).join(subs.filter("kind = 'pattern'").alias("s"), (F.col("p.target") == F.col("s.target")) & _now("m", "s"))
     pick = [F.col("m.msg_id").alias("msg_id"), F.col("s.conn").alias("conn"), F.col("s.kind").alias("kind"), F.col("s.target").alias("target")]
     return direct.select(*pick).unionByName(by_glob.select(*pick))
 

@@ -97,6 +97,20 @@ def test_routing(spark):
     assert frames[1, "b"] == "*4\r\n$8\r\npmessage\r\n$2\r\n*s\r\n$4\r\nnews\r\n$3\r\nhé\r\n"
 
 
+def test_many_globs_meet_many_channels(spark):
+    """Globs by what they fix: the same pairs as each glob with each channel, and few of them looked at."""
+    wild = ["*", "?", "??", "n*", "*s", "n?ws", "*a?b*", "*long run*", "a*long run*b", "[ab]c", "x[ab]*", "a{2}", "xa{2}?", "ba{0}c", "n.*", "*.1?", "?*?", "é?*", "?é", "*é*", "*\U0001f600?", "a]?", "[]a]?", "{n}".replace("{n}", "q?}")]
+    names = ["", "n", "news", "ns", "nws", "a1b", "xa1by", "long run", "a long run b", "bc", "xab", "aa", "xaab", "bc1", "n.", "u.12", "u.1", "é1", "1é", "aé", "\U0001f600x", "y\U0001f600x", "a]x", "]x", "ax", "qx}", "a\nb", "n\n"]
+    globs, channels = spark.createDataFrame([(g,) for g in wild], "target string"), spark.createDataFrame([(c,) for c in names], "channel string")
+    got = sorted(tuple(r) for r in pubsub.met(channels, globs).collect())
+    assert got == sorted(tuple(r) for r in globs.crossJoin(channels).filter(text.glob_match(F.col("target"), F.col("channel"))).collect())
+    many = spark.range(300).select(F.format_string("n?ws%03d*", F.col("id")).alias("target"))
+    plan = pubsub.met(spark.range(300).select(F.format_string("news%03dx", F.col("id")).alias("channel")), many)
+    assert plan.count() == 300
+    joins = [x for x in plan._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in x and "RLIKE" in x]
+    assert joins and all("shape" in x and "key" in x for x in joins)  # the expression is only asked within an equality join
+
+
 def test_users(spark):
     assert acl.user_spec("a:b:get,Set") == ("a", "b", ["GET", "SET"]) and acl.user_spec("a:b:*")[2] == [] and acl.user_spec("a:b:")[2] == []
     for bad in ("a", ":b", "a:"):
