@@ -64,25 +64,28 @@ def met(channels: DataFrame, globs: DataFrame) -> DataFrame:
 def matches(messages: DataFrame, subs: DataFrame) -> DataFrame:
     """Every subscription that a message meets: ``msg_id, conn, kind, target``.
 
-    Channels meet by equality. Globs are matched once for each distinct channel and pattern rather than for each
-    message and subscription, and a pattern without wildcards is an equality too; only real globs are
-    compared with the distinct channels (see met).
+    Channels meet by equality. Globs are matched with the distinct channels (see met), and a pattern without wildcards is
+    an equality too. Subscriptions are then dealt to the channels they hear, so messages are
+    shuffled once, by channel: a pattern that hears all of them draws them into no one task.
     """
-    m = messages.alias("m")
-    direct = m.join(subs.filter("kind = 'channel'").alias("s"), (F.col("m.channel") == F.col("s.target")) & _now("m", "s"))
+    columns = ["conn", "kind", "target", "seq_from", "seq_to"]
     patterns = subs.filter("kind = 'pattern'").select("target").distinct()
     wild = F.col("target").rlike(r"[*?\[\]{}]")
     plain = patterns.filter(~wild).select("target", F.col("target").alias("channel"))
-    channels = messages.select("channel").distinct()
-    heard = met(channels, patterns.filter(wild)).unionByName(plain)
-    by_glob = m.join(heard.alias("p"), F.col("m.channel") == F.col("p.channel")).join(subs.filter("kind = 'pattern'").alias("s"), (F.col("p.target") == F.col("s.target")) & _now("m", "s"))
-    pick = [F.col("m.msg_id").alias("msg_id"), F.col("s.conn").alias("conn"), F.col("s.kind").alias("kind"), F.col("s.target").alias("target")]
-    return direct.select(*pick).unionByName(by_glob.select(*pick))
+    heard = met(messages.select("channel").distinct(), patterns.filter(wild)).unionByName(plain)
+    routes = subs.filter("kind = 'channel'").select(F.col("target").alias("channel"), *columns).unionByName(heard.join(subs.filter("kind = 'pattern'"), "target").select("channel", *columns))
+    both = messages.alias("m").join(routes.alias("s"), (F.col("m.channel") == F.col("s.channel")) & _now("m", "s"))
+    return both.select(F.col("m.msg_id").alias("msg_id"), F.col("s.conn").alias("conn"), F.col("s.kind").alias("kind"), F.col("s.target").alias("target"))
+
+
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows in as many parts as shuffles have: adaptive execution would join parts that compress well into few large sorts."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def deliveries(messages: DataFrame, subs: DataFrame) -> DataFrame:
     """One delivery for each message and connection: its channel if it has subscribed to that, else its least pattern."""
-    best = matches(messages, subs).groupBy("msg_id", "conn").agg(F.min(F.struct("kind", "target")).alias("_b"))  # 'channel' < 'pattern'
+    best = _dealt(matches(messages, subs), "msg_id", "conn").groupBy("msg_id", "conn").agg(F.min(F.struct("kind", "target")).alias("_b"))  # 'channel' < 'pattern'
     return best.select("msg_id", "conn", F.col("_b.kind").alias("kind"), F.col("_b.target").alias("target"))
 
 

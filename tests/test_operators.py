@@ -111,6 +111,15 @@ def test_many_globs_meet_many_channels(spark):
     assert joins and all("shape" in x and "key" in x for x in joins)  # the expression is only asked within an equality join
 
 
+def test_a_pattern_for_all_draws_messages_into_no_one_task(spark):
+    msgs = spark.range(4000).select(F.col("id").alias("msg_id"), F.col("id").alias("seq"), F.concat(F.lit("c"), (F.col("id") % 500).cast("string")).alias("channel"), F.lit("x").alias("payload"))
+    subs = spark.createDataFrame([("a", "pattern", "*", -1, NEVER), ("b", "pattern", "c1*", -1, NEVER)], "conn string, kind string, target string, seq_from bigint, seq_to bigint")
+    assert pubsub.deliveries(msgs, subs).count() == 4000 + 8 * 111
+    assert "REPARTITION_BY_NUM" in pubsub.deliveries(msgs, subs)._jdf.queryExecution().executedPlan().toString()
+    held = pubsub.matches(msgs, subs)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert [x for x in held if "Join " in x][0].count("channel") == 2  # the last join, the messages', is by channel
+
+
 def test_users(spark):
     assert acl.user_spec("a:b:get,Set") == ("a", "b", ["GET", "SET"]) and acl.user_spec("a:b:*")[2] == [] and acl.user_spec("a:b:")[2] == []
     for bad in ("a", ":b", "a:"):
