@@ -91,7 +91,7 @@ def deliveries(messages: DataFrame, subs: DataFrame) -> DataFrame:
 
 def frames(messages: DataFrame, subs: DataFrame) -> DataFrame:
     """``msg_id, conn, frame``: the bytes that each receiver gets."""
-    out = deliveries(messages, subs).join(messages.select("msg_id", "channel", "payload"), "msg_id")
+    out = deliveries(messages, subs).join(_dealt(messages.select("msg_id", "channel", "payload"), "msg_id"), "msg_id")
     direct = resp.array(F.array(F.lit("message"), "channel", "payload"))
     by_glob = resp.array(F.array(F.lit("pmessage"), "target", "channel", "payload"))
     return out.select("msg_id", "conn", F.when(F.col("kind") == "channel", direct).otherwise(by_glob).alias("frame"))

@@ -120,6 +120,14 @@ def test_a_pattern_for_all_draws_messages_into_no_one_task(spark):
     assert [x for x in held if "Join " in x][0].count("channel") == 2  # the last join, the messages', is by channel
 
 
+def test_frames_and_counts_stay_dealt(spark):
+    """What is joined or counted by message keeps as many parts as shuffles have, and every message has one row."""
+    msgs = spark.createDataFrame([(1, 1, "a", "x"), (2, 2, "b", "y"), (3, 3, "z", "w")], "msg_id bigint, seq bigint, channel string, payload string")
+    subs = spark.createDataFrame([("c", "pattern", "?", -1, NEVER), ("d", "channel", "a", -1, NEVER)], "conn string, kind string, target string, seq_from bigint, seq_to bigint")
+    by_message = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning(msg_id" in x and ", conn" not in x and "REPARTITION_BY_NUM" in x]
+    assert by_message(pubsub.frames(msgs, subs)) and pubsub.frames(msgs, subs).count() == 4
+
+
 def test_users(spark):
     assert acl.user_spec("a:b:get,Set") == ("a", "b", ["GET", "SET"]) and acl.user_spec("a:b:*")[2] == [] and acl.user_spec("a:b:")[2] == []
     for bad in ("a", ":b", "a:"):
