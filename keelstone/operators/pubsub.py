@@ -99,5 +99,5 @@ def frames(messages: DataFrame, subs: DataFrame) -> DataFrame:
 
 def publish_counts(messages: DataFrame, subs: DataFrame) -> DataFrame:
     """``msg_id, receivers`` of every message, 0 included."""
-    n = deliveries(messages, subs).groupBy("msg_id").agg(F.count(F.lit(1)).alias("receivers"))
-    return messages.select("msg_id").join(n, "msg_id", "left").select("msg_id", F.coalesce("receivers", F.lit(0)).alias("receivers"))
+    each = messages.select("msg_id", F.lit(0).cast("bigint").alias("n")).unionByName(deliveries(messages, subs).select("msg_id", F.lit(1).cast("bigint").alias("n")))
+    return _dealt(each, "msg_id").groupBy("msg_id").agg(F.sum("n").alias("receivers"))

@@ -126,6 +126,8 @@ def test_frames_and_counts_stay_dealt(spark):
     subs = spark.createDataFrame([("c", "pattern", "?", -1, NEVER), ("d", "channel", "a", -1, NEVER)], "conn string, kind string, target string, seq_from bigint, seq_to bigint")
     by_message = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning(msg_id" in x and ", conn" not in x and "REPARTITION_BY_NUM" in x]
     assert by_message(pubsub.frames(msgs, subs)) and pubsub.frames(msgs, subs).count() == 4
+    counts = pubsub.publish_counts(msgs, subs)
+    assert by_message(counts) and sorted(map(tuple, counts.collect())) == [(1, 2), (2, 1), (3, 1)]
 
 
 def test_users(spark):
