@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: Ranges that are summed up by one row of the level above.
 WIDE = 1000
 
@@ -38,6 +40,7 @@ def sums_at(points: DataFrame, events: DataFrame, columns: list[str], span: int)
     """``points`` (distinct ``seq``) with the sums of ``columns`` over the ``events`` whose ``seq`` is not above theirs."""
     rows = events.groupBy("seq").agg(*[F.sum(c).alias(c) for c in columns]).withColumn("_ask", F.lit(False))
     rows = rows.unionByName(points.select("seq", *[F.lit(0).cast("bigint").alias(c) for c in columns], F.lit(True).alias("_ask"))).withColumn("_range", ranged("seq", span))
+    rows = stored(rows, "sums")  # read once for each column and once more
     so_far = Window.partitionBy("_range").orderBy("seq", "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows
     for c in columns:

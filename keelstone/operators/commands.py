@@ -373,7 +373,7 @@ def interpret(commands: DataFrame, users: DataFrame | None = None, before: DataF
         parts.append(rows.select("session_id", "seq", *[c.alias(n) for n, c in found.items()]))
 
     if present & {"SCAN", "DBSIZE"}:  # reads of many keys, as of their place in the order
-        held = history(log, before)
+        held = stored(history(log, before), "held")  # read several times below, as are the tables stored for PUBLISH and INFO
         if "SCAN" in present:
             scans = open_rows.filter("cmd = 'SCAN'").select("session_id", "seq", "ts_ms", "lo", "hi")
             pairs = F.array_sort(F.collect_list(F.struct("key", "value")))
@@ -381,11 +381,12 @@ def interpret(commands: DataFrame, users: DataFrame | None = None, before: DataF
             add(scans.join(found, "seq", "left"), "*", items=F.coalesce("found", F.array().cast("array<string>")))
         if "DBSIZE" in present:
             sized = open_rows.filter("cmd = 'DBSIZE'").select("session_id", "seq", "ts_ms")
-            add(sized.join(sizes.dbsize_at(held, sized), "seq", "left"), ":", num=F.coalesce("dbsize", F.lit(0)).cast("bigint"))
+            add(sized.join(stored(sizes.dbsize_at(held, sized), "sizes"), "seq", "left"), ":", num=F.coalesce("dbsize", F.lit(0)).cast("bigint"))
     if "PUBLISH" in present:  # receivers at that moment
         changes = planned.filter("changes IS NOT NULL").select(F.col("session_id").alias("conn"), "seq", F.explode("changes").alias("c")).select("conn", "seq", "c.pos", "c.kind", "c.target", "c.add")
         messages = open_rows.filter("cmd = 'PUBLISH'").select(F.col("seq").alias("msg_id"), "session_id", "seq", F.col("lo").alias("channel"), F.col("hi").alias("payload"))
-        add(messages.join(pubsub.publish_counts(messages, pubsub.intervals(changes)), "msg_id"), ":", num=F.col("receivers").cast("bigint"))
+        counted = stored(pubsub.publish_counts(messages, stored(pubsub.intervals(changes), "subscribed")), "receivers")
+        add(messages.join(counted, "msg_id"), ":", num=F.col("receivers").cast("bigint"))
     if "LASTSAVE" in present:  # the newest save before it
         saves = planned.filter("cmd IN ('SAVE', 'BGSAVE') AND type = '+'").select("seq", F.floor(F.col("ts_ms") / 1000).alias("at"))
         asked = open_rows.filter("cmd = 'LASTSAVE'").select("session_id", "seq")

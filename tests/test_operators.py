@@ -130,6 +130,13 @@ def test_frames_and_counts_stay_dealt(spark):
     assert by_message(counts) and sorted(map(tuple, counts.collect())) == [(1, 2), (2, 1), (3, 1)]
 
 
+def test_sums_at_reads_its_events_once(spark):
+    events = spark.range(50).select((F.col("id") * 3).alias("seq"), F.lit(1).cast("bigint").alias("a"), F.col("id").alias("b"))
+    out = carry.sums_at(spark.createDataFrame([(10,), (99,)], "seq bigint"), events, ["a", "b"], span=20)
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(10, 4, 6), (99, 34, 561)]
+
+
 def test_users(spark):
     assert acl.user_spec("a:b:get,Set") == ("a", "b", ["GET", "SET"]) and acl.user_spec("a:b:*")[2] == [] and acl.user_spec("a:b:")[2] == []
     for bad in ("a", ":b", "a:"):
