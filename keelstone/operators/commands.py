@@ -11,7 +11,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -35,7 +36,10 @@ SUBSCRIBED = {"SUBSCRIBE", "UNSUBSCRIBE", "PSUBSCRIBE", "PUNSUBSCRIBE", "PING",
 SYNTAX = "ERR syntax error"
 SCAN_HELP = "ERR This server uses SCAN <from> <to> (range scan), not cursor-based SCAN"
 
-_PLAN = "session_id string, seq bigint, ts_ms bigint, cmd string, type string, text string, num bigint, items array<string>, ops array<struct<pos:int,key:string,op:string,value:string,n:bigint>>, changes array<struct<pos:int,kind:string,target:string,add:boolean>>, lo string, hi string"
+#: Flat, as nested columns are slow to write. A command has one row: its answer (``type``), or none yet (``key`` and ``value``
+#: hold its arguments); a data command has instead a row for each of its ``size`` operations. Changes of subscriptions follow
+#: their command's row, by ``op`` (ADD or REMOVE; ``key`` the target, ``value`` its kind), with type 'none'.
+_PLAN = "session_id string, seq bigint, ts_ms bigint, cmd string, type string, text string, num bigint, items array<string>, size int, pos int, key string, op string, value string, n bigint"
 
 
 class _Answer(Exception):
@@ -144,14 +148,16 @@ class Session:
         return len(self.subs["channel"]) + len(self.subs["pattern"])
 
     def plan(self, argv: list[str | None], now: int) -> dict:
-        """The columns of _PLAN that a command sets; the others are null."""
+        """What a command becomes: its answer, its operations, changes of subscriptions, or arguments that wait (``lo``, ``hi``)."""
         row: dict = {}
         try:
             if not argv:
                 raise _error("ERR empty command")
+            if argv[0] is not None:
+                row["cmd"] = argv[0].upper()
             if None in argv:
                 raise _error("ERR internal: null argument")
-            cmd = row["cmd"] = argv[0].upper()
+            cmd = row["cmd"]
             if self.count() and cmd not in SUBSCRIBED:
                 raise _error(f"ERR Can't execute '{cmd}' in subscribe context, only (P)SUBSCRIBE / (P)UNSUBSCRIBE / PING / QUIT are allowed")
             if self.users and cmd not in OPEN:
@@ -243,41 +249,36 @@ def _frame(tag: str, target: str | None, count: int) -> str:
     return f"*3\r\n${len(tag)}\r\n{tag}\r\n{text}:{count}\r\n"
 
 
-def plan(commands: DataFrame, users: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
+def plan(commands: DataFrame, users: DataFrame | None = None, sessions: DataFrame | None = None, dealt: bool = False) -> DataFrame:
     """Step 1: each command's answer or operations. The users table is collected: it is a configuration of a server.
 
-    Rows ``_LOAD`` and ``_STATE`` carry the state that each session starts from and ends in.
+    Rows ``_LOAD`` and ``_STATE`` carry the state that each session starts from and ends in. ``dealt``: each session's
+    commands already lie in one partition, and are not shuffled again.
     """
     known = {u["username"]: (u["password"], frozenset(c.upper() for c in u["allowed"] or [])) for u in users.collect()} if users is not None else {}
 
-    op = pa.struct([("pos", pa.int32()), ("key", pa.string()), ("op", pa.string()), ("value", pa.string()), ("n", pa.int64())])
-    change = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("target", pa.string()), ("add", pa.bool_())])
-    kinds = [("session_id", pa.string()), ("seq", pa.int64()), ("ts_ms", pa.int64()), ("cmd", pa.string()), ("type", pa.string()), ("text", pa.string()), ("num", pa.int64()), ("items", pa.list_(pa.string())), ("ops", pa.list_(op)), ("changes", pa.list_(change)), ("lo", pa.string()), ("hi", pa.string())]
-
-    def structs(rows: list[list[tuple] | None], kind: pa.StructType) -> pa.ListArray:
-        """Lists of structs from lists of tuples, a column at a time."""
-        flat = [x for r in rows if r for x in r]
-        fields = list(zip(*flat, strict=True)) if flat else [[] for _ in kind]
-        body = pa.StructArray.from_arrays([pa.array(f, k.type) for f, k in zip(fields, kind, strict=True)], fields=list(kind))
-        ends = np.cumsum([0, *(len(r) if r else 0 for r in rows)])
-        gone = np.array([*(r is None for r in rows), False])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=gone), body)
-
-    def batch_of(head: list[tuple], rows: list[dict]) -> pa.RecordBatch:
-        columns = [pa.array(c, k) for c, (_, k) in zip(zip(*head, strict=True), kinds, strict=False)]
-        present = set().union(*rows)
-        for column, kind in kinds[3:]:
-            if column not in present:
-                columns.append(pa.nulls(len(rows), kind))
-                continue
-            values = [r.get(column) for r in rows]
-            columns.append(structs(values, kind.value_type) if column in ("ops", "changes") else pa.array(values, kind))
-        return pa.RecordBatch.from_arrays(columns, names=[n for n, _ in kinds])
+    names = [c.split()[0] for c in _PLAN.split(", ")]
+    text, long = pa.string(), pa.int64()
+    kinds = [text, long, long, text, text, text, long, pa.list_(text), pa.int32(), pa.int32(), text, text, text, long]
+
+    def flat(head: tuple, row: dict) -> Iterator[tuple]:
+        cmd = row.get("cmd")
+        if "ops" in row:
+            size = len(row["ops"])
+            for op in row["ops"]:
+                yield (*head, cmd, None, None, None, None, size, *op)
+            return
+        yield (*head, cmd, row.get("type"), row.get("text"), row.get("num"), row.get("items"), None, None, row.get("lo"), None, row.get("hi"), None)
+        for pos, kind, target, add in row.get("changes", ()):
+            yield (*head, cmd, "none", None, None, None, None, pos, target, "ADD" if add else "REMOVE", kind, None)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, session, first = None, None, True
         for batch in batches:
-            head, rows = [], []
+            rows: list[tuple] = []
             # the lists of arguments by their ends: a list column is slow to turn into lists itself
             words, ends = batch.column(3).flatten().to_pylist(), np.cumsum(pc.fill_null(pc.list_value_length(batch.column(3)), 0).to_numpy(zero_copy_only=False))
             given = batch.column(3).is_valid().to_pylist()
@@ -286,25 +287,24 @@ def plan(commands: DataFrame, users: DataFrame | None = None, sessions: DataFram
             for sid, seq, now, argv, state in zip(*(batch.column(i).to_pylist() for i in range(3)), lists, batch.column(4).to_pylist(), strict=True):
                 if first or sid != name:
                     if not first:
-                        head.append((name, HIGH, 0))
-                        rows.append({"cmd": "_STATE", "type": "none", "items": session.save()})
+                        rows.extend(flat((name, HIGH, 0), {"cmd": "_STATE", "type": "none", "items": session.save()}))
                     name, session, first = sid, Session(known), False
                 if state is not None:
-                    head.append((sid, LOW, 0))
-                    rows.append({"cmd": "_LOAD", "type": "none", "changes": session.load(state)})
+                    rows.extend(flat((sid, LOW, 0), {"cmd": "_LOAD", "type": "none", "changes": session.load(state)}))
                 elif not session.closed:  # what follows QUIT is never read
-                    head.append((sid, seq, now))
-                    rows.append(session.plan(argv, now))
+                    rows.extend(flat((sid, seq, now), session.plan(argv, now)))
             if rows:
-                yield batch_of(head, rows)
+                yield batch_of(rows)
         if not first:
-            yield batch_of([(name, HIGH, 0)], [{"cmd": "_STATE", "type": "none", "items": session.save()}])
+            yield batch_of([*flat((name, HIGH, 0), {"cmd": "_STATE", "type": "none", "items": session.save()})])
 
     rows = commands.select("session_id", "seq", "ts_ms", "argv", F.lit(None).cast("array<string>").alias("state"))
     if sessions is not None:
         rows = rows.unionByName(sessions.select("session_id", F.lit(LOW).alias("seq"), F.lit(0).cast("bigint").alias("ts_ms"), F.lit(None).cast("array<string>").alias("argv"), "state"))
-    # sessions differ in length and each is walked by one task: several tasks for each partition even this out
-    parts = 4 * int(commands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if dealt and sessions is None:
+        return rows.sortWithinPartitions("session_id", "seq").mapInArrow(run, _PLAN)
+    # sessions differ in length and each is walked by one task: several tasks for each core even this out (more only cost their starts)
+    parts = max(int(commands.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * commands.sparkSession.sparkContext.defaultParallelism)
     return rows.repartition(parts, "session_id").sortWithinPartitions("session_id", "seq").mapInArrow(run, _PLAN)
 
 
@@ -316,96 +316,145 @@ class Interpreted(NamedTuple):
     sessions: DataFrame
 
 
-def interpret(commands: DataFrame, users: DataFrame | None = None, before: DataFrame | None = None, info: dict | None = None, sessions: DataFrame | None = None) -> Interpreted:
-    """Replies of all commands, the mutation log they write, and the sessions' last states.
+#: What moves a session or ends all of them.
+STATEFUL = {"AUTH", "QUIT", "SHUTDOWN", "SUBSCRIBE", "UNSUBSCRIBE", "PSUBSCRIBE", "PUNSUBSCRIBE"}
+
+
+def needed_for(only: Iterable[str]) -> set[str] | None:
+    """The commands that replies of ``only`` depend on; None for all (INFO counts every command)."""
+    only = set(only)
+    if "INFO" in only:
+        return None
+    data = DATA if only & (DATA | {"SCAN", "DBSIZE"}) else set()
+    return only | STATEFUL | data | ({"SAVE", "BGSAVE"} if "LASTSAVE" in only else set())
+
+
+class Interpreter:
+    """One table of commands; what its replies need is worked out when it is first asked for, then kept as stored tables.
 
     ``before``: the entries that the store starts with. ``info``: the figures that INFO starts from (see stats); commands,
     sessions and buffered bytes are counted up to its place. ``sessions``:
-    the states that an earlier table of commands ended in, for sessions that go on.
-    Replies are ``session_id, seq, type, text, num, items, resp``; nothing for SHUTDOWN, after it and after QUIT.
+    the states that an earlier table of commands ended in, for sessions that go on. ``dealt``: see plan. ``only``: the
+    commands whose replies will be asked for (upper case; None: all); others are walked as far as those depend on them.
     """
-    planned = stored(plan(commands, users, sessions), "planned")
-    states = planned.filter("cmd = '_STATE'").select("session_id", F.col("items").alias("state"))
-    # one row: what else than its own keys some command needs (what does not occur needs no part of the plan), the first
-    # SHUTDOWN, and whether a command has several keys
-    wide = ("SCAN", "DBSIZE", "PUBLISH", "LASTSAVE", "INFO")
-    present, stop, several = planned.agg(
-        F.collect_set(F.when(F.col("cmd").isin(*wide), F.col("cmd"))), F.min(F.when(F.expr("cmd = 'SHUTDOWN' AND type = 'none'"), F.col("seq"))), F.max(F.size("ops") != 1),
-    ).first()
-    present = set(present)
-    if stop is not None:  # no command after it is read, and all connections are closed
-        planned, states = planned.filter(F.col("seq") <= stop), states.limit(0)
-    alone = F.size("ops") == 1  # such a command's answer is its operation's: its session and name go along
-    ops = planned.filter("ops IS NOT NULL").select("seq", "ts_ms", F.when(alone, F.col("session_id")).alias("session_id"), F.when(alone, F.col("cmd")).alias("cmd"), F.explode("ops").alias("o"))
-    ops = ops.select("o.key", "seq", "o.pos", "ts_ms", "o.op", "o.value", "o.n", "session_id", "cmd")
-    folded = stored(fold.fold(ops, before, ("session_id", "cmd")), "folded")
-    log = fold.mutations_of(folded)
-
-    def answers(rows: DataFrame, one: Callable[[str], F.Column], total: F.Column, texts: F.Column) -> DataFrame:
-        """Replies of data commands from their first result, their results' sum and all texts."""
-        cmd, wrong, number = F.col("cmd"), one("err").isNotNull(), one("num")
-        wrote = cmd.isin("SET", "SETEX", "PSETEX", "MSET")
-        seconds = F.when(number < 0, number).otherwise(F.floor(number / 1000))
-        return rows.select(
-            "session_id", "seq",
-            F.when(wrong, "-").when(wrote, "+").when(cmd == "GET", "$").when(cmd == "MGET", "*").otherwise(":").alias("type"),
-            F.when(wrong, one("err")).when(wrote, F.lit("OK")).when(cmd == "GET", one("text")).alias("text"),
-            F.when(wrong | wrote | cmd.isin("GET", "MGET"), F.lit(None)).when(cmd.isin("DEL", "EXISTS"), total).when(cmd == "TTL", seconds).otherwise(number).cast("bigint").alias("num"),
-            F.when(cmd == "MGET", texts).alias("items"),
-        )
-
-    answered = [answers(folded.filter("cmd IS NOT NULL"), F.col, F.col("num"), F.array("text"))]
-    if several:  # their operations' results in order
-        r = F.array_sort(F.collect_list(F.struct("pos", "num", "text", "err")))
-        done = folded.filter("cmd IS NULL").groupBy("seq").agg(r.alias("r"))
-        data = planned.filter("ops IS NOT NULL AND size(ops) <> 1").select("session_id", "seq", "cmd").join(done, "seq")
-        total = F.aggregate("r", F.lit(0).cast("bigint"), lambda a, x: a + x["num"])
-        answered.append(answers(data, lambda c: F.col("r")[0][c], total, F.transform("r", lambda x: x["text"])))
-
-    fixed = planned.filter("type IS NOT NULL AND type <> 'none'").select("session_id", "seq", "type", "text", "num", "items")
-    open_rows = planned.filter("type IS NULL AND ops IS NULL")
-
-    parts = [fixed, *answered]
-    number, text, items = F.lit(None).cast("bigint"), F.lit(None).cast("string"), F.lit(None).cast("array<string>")
-
-    def add(rows: DataFrame, kind: str, **more: F.Column) -> None:
-        found = {"type": F.lit(kind), "text": text, "num": number, "items": items} | more
-        parts.append(rows.select("session_id", "seq", *[c.alias(n) for n, c in found.items()]))
-
-    if present & {"SCAN", "DBSIZE"}:  # reads of many keys, as of their place in the order
-        held = stored(history(log, before), "held")  # read several times below, as are the tables stored for PUBLISH and INFO
-        if "SCAN" in present:
+
+    def __init__(self, commands: DataFrame, users: DataFrame | None = None, before: DataFrame | None = None, info: dict | None = None, sessions: DataFrame | None = None, dealt: bool = False, only: Iterable[str] | None = None):
+        self.before, self.info, self.only = before, info or {}, None if only is None else frozenset(only)
+        needed = None if only is None else needed_for(self.only)
+        if needed is not None:
+            commands = commands.filter(F.upper(F.get("argv", F.lit(0))).isin(sorted(needed)))
+        planned = stored(plan(commands, users, sessions, dealt), "planned")
+        states = planned.filter("cmd = '_STATE'").select("session_id", F.col("items").alias("state"))
+        # one row: what else than its own keys some command needs (what does not occur needs no part of the plan), the first
+        # SHUTDOWN, and whether a command has several keys
+        wide = ("SCAN", "DBSIZE", "PUBLISH", "LASTSAVE", "INFO")
+        present, stop, self.several = planned.agg(
+            F.collect_set(F.when(F.col("cmd").isin(*wide), F.col("cmd"))), F.min(F.when(F.expr("cmd = 'SHUTDOWN' AND type = 'none'"), F.col("seq"))), F.max(F.col("size") != 1),
+        ).first()
+        self.present = set(present)
+        if stop is not None:  # no command after it is read, and all connections are closed
+            planned, states = planned.filter(F.col("seq") <= stop), states.limit(0)
+        self.planned, self.sessions = planned, states if needed is None else None  # a session may have none of the needed commands
+
+    @cached_property
+    def folded(self) -> DataFrame:
+        """Step 2. A command of one key is answered by its operation: its session and name go along."""
+        alone = F.col("size") == 1
+        ops = self.planned.filter("size IS NOT NULL").select("key", "seq", "pos", "ts_ms", "op", "value", "n", F.when(alone, F.col("session_id")).alias("session_id"), F.when(alone, F.col("cmd")).alias("cmd"))
+        return stored(fold.fold(ops, self.before, ("session_id", "cmd")), "folded")
+
+    @cached_property
+    def log(self) -> DataFrame:
+        """The mutation log that the commands write."""
+        return fold.mutations_of(self.folded)
+
+    @cached_property
+    def held(self) -> DataFrame:
+        """The versions of all keys, for SCAN and DBSIZE."""
+        return stored(history(self.log, self.before), "held")
+
+    def replies(self, only: Iterable[str] | None = None) -> DataFrame:
+        """``session_id, seq, type, text, num, items, resp`` of all commands, or of those named in ``only`` (upper case).
+
+        Each reply is the same either way; steps that no named command depends on are left out of the plan.
+        """
+        named = self.only if only is None else frozenset(only)
+        if self.only is not None and not named <= self.only:
+            raise ValueError(f"walked for {sorted(self.only)} only")
+        asked = (lambda rows: rows) if named is None else lambda rows: rows.filter(F.col("cmd").isin(sorted(named)))
+        wanted = lambda *names: {n for n in names if named is None or n in named}
+        planned, present = asked(self.planned), wanted(*self.present)
+
+        def answers(rows: DataFrame, one: Callable[[str], F.Column], total: F.Column, texts: F.Column) -> DataFrame:
+            """Replies of data commands from their first result, their results' sum and all texts."""
+            cmd, wrong, number = F.col("cmd"), one("err").isNotNull(), one("num")
+            wrote = cmd.isin("SET", "SETEX", "PSETEX", "MSET")
+            seconds = F.when(number < 0, number).otherwise(F.floor(number / 1000))
+            return rows.select(
+                "session_id", "seq",
+                F.when(wrong, "-").when(wrote, "+").when(cmd == "GET", "$").when(cmd == "MGET", "*").otherwise(":").alias("type"),
+                F.when(wrong, one("err")).when(wrote, F.lit("OK")).when(cmd == "GET", one("text")).alias("text"),
+                F.when(wrong | wrote | cmd.isin("GET", "MGET"), F.lit(None)).when(cmd.isin("DEL", "EXISTS"), total).when(cmd == "TTL", seconds).otherwise(number).cast("bigint").alias("num"),
+                F.when(cmd == "MGET", texts).alias("items"),
+            )
+
+        parts = [planned.filter("type IS NOT NULL AND type <> 'none'").select("session_id", "seq", "type", "text", "num", "items")]
+        if wanted(*DATA):
+            parts.append(answers(asked(self.folded.filter("cmd IS NOT NULL")), F.col, F.col("num"), F.array("text")))
+        if self.several and wanted("MSET", "MGET", "DEL", "EXISTS"):  # their operations' results in order
+            r = F.array_sort(F.collect_list(F.struct("pos", "num", "text", "err")))
+            done = self.folded.filter("cmd IS NULL").groupBy("seq").agg(r.alias("r"))
+            data = planned.filter("size <> 1 AND pos = 0").select("session_id", "seq", "cmd").join(done, "seq")
+            total = F.aggregate("r", F.lit(0).cast("bigint"), lambda a, x: a + x["num"])
+            parts.append(answers(data, lambda c: F.col("r")[0][c], total, F.transform("r", lambda x: x["text"])))
+
+        open_rows = planned.filter("type IS NULL AND size IS NULL").withColumnsRenamed({"key": "lo", "value": "hi"})
+        number, text, items = F.lit(None).cast("bigint"), F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+
+        def add(rows: DataFrame, kind: str, **more: F.Column) -> None:
+            found = {"type": F.lit(kind), "text": text, "num": number, "items": items} | more
+            parts.append(rows.select("session_id", "seq", *[c.alias(n) for n, c in found.items()]))
+
+        if "SCAN" in present:  # reads of many keys, as of their place in the order
             scans = open_rows.filter("cmd = 'SCAN'").select("session_id", "seq", "ts_ms", "lo", "hi")
             pairs = F.array_sort(F.collect_list(F.struct("key", "value")))
-            found = sizes.scan_at(held, scans).groupBy("seq").agg(F.flatten(F.transform(pairs, lambda e: F.array(e["key"], e["value"]))).alias("found"))
+            found = sizes.scan_at(self.held, scans).groupBy("seq").agg(F.flatten(F.transform(pairs, lambda e: F.array(e["key"], e["value"]))).alias("found"))
             add(scans.join(found, "seq", "left"), "*", items=F.coalesce("found", F.array().cast("array<string>")))
         if "DBSIZE" in present:
             sized = open_rows.filter("cmd = 'DBSIZE'").select("session_id", "seq", "ts_ms")
-            add(sized.join(stored(sizes.dbsize_at(held, sized), "sizes"), "seq", "left"), ":", num=F.coalesce("dbsize", F.lit(0)).cast("bigint"))
-    if "PUBLISH" in present:  # receivers at that moment
-        changes = planned.filter("changes IS NOT NULL").select(F.col("session_id").alias("conn"), "seq", F.explode("changes").alias("c")).select("conn", "seq", "c.pos", "c.kind", "c.target", "c.add")
-        messages = open_rows.filter("cmd = 'PUBLISH'").select(F.col("seq").alias("msg_id"), "session_id", "seq", F.col("lo").alias("channel"), F.col("hi").alias("payload"))
-        counted = stored(pubsub.publish_counts(messages, stored(pubsub.intervals(changes), "subscribed")), "receivers")
-        add(messages.join(counted, "msg_id"), ":", num=F.col("receivers").cast("bigint"))
-    if "LASTSAVE" in present:  # the newest save before it
-        saves = planned.filter("cmd IN ('SAVE', 'BGSAVE') AND type = '+'").select("seq", F.floor(F.col("ts_ms") / 1000).alias("at"))
-        asked = open_rows.filter("cmd = 'LASTSAVE'").select("session_id", "seq")
-        add(asked.join(last_before(asked.select("seq"), saves), "seq", "left"), ":", num=F.coalesce("at", F.lit(0)).cast("bigint"))
-    if "INFO" in present:
-        zero = F.lit(0).cast("bigint")
-        came = planned.filter("cmd NOT IN ('_LOAD', '_STATE') OR cmd IS NULL").select("session_id", "seq")
-        events = came.select("seq", F.lit(1).cast("bigint").alias("total_commands_processed"), zero.alias("total_connections_received"), zero.alias("memtable_bytes"))
-        events = events.unionByName(came.groupBy("session_id").agg(F.min("seq").alias("seq")).select("seq", zero.alias("total_commands_processed"), F.lit(1).cast("bigint").alias("total_connections_received"), zero.alias("memtable_bytes")))
-        wrote = F.when(F.col("op") == DEL, entry_bytes(F.col("key"), F.lit(None).cast("string"))).otherwise(entry_bytes(F.col("key"), F.col("value")))
-        events = events.unionByName(log.select("seq", zero.alias("total_commands_processed"), zero.alias("total_connections_received"), wrote.cast("bigint").alias("memtable_bytes")))
-        asked = open_rows.filter("cmd = 'INFO'").select("session_id", "seq")
-        add(asked.join(stats.info_at(asked.select("seq"), events, info or {}).withColumnRenamed("text", "found"), "seq"), "$", text=F.col("found"))
-
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    out = out.withColumn("resp", resp.reply(F.col("type"), F.col("text"), F.col("num"), F.col("items")))
-    return Interpreted(out, log, states)
+            add(sized.join(stored(sizes.dbsize_at(self.held, sized), "sizes"), "seq", "left"), ":", num=F.coalesce("dbsize", F.lit(0)).cast("bigint"))
+        if "PUBLISH" in present:  # receivers at that moment
+            changes = self.planned.filter("op IS NOT NULL AND size IS NULL").select(F.col("session_id").alias("conn"), "seq", "pos", F.col("value").alias("kind"), F.col("key").alias("target"), (F.col("op") == "ADD").alias("add"))
+            messages = open_rows.filter("cmd = 'PUBLISH'").select(F.col("seq").alias("msg_id"), "session_id", "seq", F.col("lo").alias("channel"), F.col("hi").alias("payload"))
+            counted = stored(pubsub.publish_counts(messages, stored(pubsub.intervals(changes), "subscribed")), "receivers")
+            add(messages.join(counted, "msg_id"), ":", num=F.col("receivers").cast("bigint"))
+        if "LASTSAVE" in present:  # the newest save before it
+            saves = self.planned.filter("cmd IN ('SAVE', 'BGSAVE') AND type = '+'").select("seq", F.floor(F.col("ts_ms") / 1000).alias("at"))
+            points = open_rows.filter("cmd = 'LASTSAVE'").select("session_id", "seq")
+            add(points.join(last_before(points.select("seq"), saves), "seq", "left"), ":", num=F.coalesce("at", F.lit(0)).cast("bigint"))
+        if "INFO" in present:
+            zero = F.lit(0).cast("bigint")
+            came = self.planned.filter("(cmd NOT IN ('_LOAD', '_STATE') OR cmd IS NULL) AND (op IS NULL OR size IS NOT NULL AND pos = 0)").select("session_id", "seq")
+            events = came.select("seq", F.lit(1).cast("bigint").alias("total_commands_processed"), zero.alias("total_connections_received"), zero.alias("memtable_bytes"))
+            events = events.unionByName(came.groupBy("session_id").agg(F.min("seq").alias("seq")).select("seq", zero.alias("total_commands_processed"), F.lit(1).cast("bigint").alias("total_connections_received"), zero.alias("memtable_bytes")))
+            wrote = F.when(F.col("op") == DEL, entry_bytes(F.col("key"), F.lit(None).cast("string"))).otherwise(entry_bytes(F.col("key"), F.col("value")))
+            events = events.unionByName(self.log.select("seq", zero.alias("total_commands_processed"), zero.alias("total_connections_received"), wrote.cast("bigint").alias("memtable_bytes")))
+            points = open_rows.filter("cmd = 'INFO'").select("session_id", "seq")
+            add(points.join(stats.info_at(points.select("seq"), events, self.info).withColumnRenamed("text", "found"), "seq"), "$", text=F.col("found"))
+
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out.withColumn("resp", resp.reply(F.col("type"), F.col("text"), F.col("num"), F.col("items")))
+
+
+def interpret(commands: DataFrame, users: DataFrame | None = None, before: DataFrame | None = None, info: dict | None = None, sessions: DataFrame | None = None) -> Interpreted:
+    """Replies of all commands, the mutation log they write, and the sessions' last states (see Interpreter).
+
+    Replies are ``session_id, seq, type, text, num, items, resp``; nothing for SHUTDOWN, after it and after QUIT.
+    """
+    found = Interpreter(commands, users, before, info, sessions)
+    return Interpreted(found.replies(), found.log, found.sessions)
 
 
 def history(log: DataFrame, before: DataFrame | None = None) -> DataFrame:

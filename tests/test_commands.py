@@ -90,3 +90,36 @@ def test_sessions_go_on(spark):
     assert got[11] == ":1\r\n" and got[16] == ":0\r\n" and got[17] == ":1\r\n" and 14 not in got and got[15].startswith("-NOAUTH")
     assert got[12].startswith("-ERR Can't execute 'GET'") and got[13] == "*3\r\n$11\r\nunsubscribe\r\n$4\r\nnews\r\n:1\r\n"
     assert {r["session_id"]: r["state"] for r in again.sessions.collect()} == {"a": ["ann", "0", "0"], "b": ["ann", "0", "0", "x*"], "c": ["", "1", "0"], "d": ["", "0", "0"]}
+
+
+def test_named_commands_get_the_replies_of_the_whole(spark):
+    """Walking only what some commands depend on changes none of their replies; steps that they do not need are not run."""
+    rng = random.Random(3)
+    key = lambda: f"k{rng.randrange(6)}"
+    make = [
+        lambda: ["set", key(), "5", "PX", str(rng.randrange(1, 9000))], lambda: ["GET", key()], lambda: ["MSET", key(), "1", key(), "2"], lambda: ["MGET", key(), key()], lambda: ["DEL", key(), key()],
+        lambda: ["INCR", key()], lambda: ["SCAN", "k1", "k4"], lambda: ["DBSIZE"], lambda: ["ping", "x"], lambda: ["GET"], lambda: ["NOSUCH"], lambda: [], lambda: ["GET", None],
+        lambda: ["SUBSCRIBE", "news"], lambda: ["PSUBSCRIBE", "n*"], lambda: ["UNSUBSCRIBE"], lambda: ["PUNSUBSCRIBE"], lambda: ["PUBLISH", "news", "m"], lambda: ["SAVE"], lambda: ["LASTSAVE"], lambda: ["INFO"],
+    ]
+    rows = [(rng.choice("abcdefgh"), rng.choice(make)()) for _ in range(400)] + [("b", ["QUIT"]), ("b", ["PING"]), ("c", ["UNSUBSCRIBE"]), ("c", ["PUNSUBSCRIBE"]), ("c", ["SHUTDOWN"]), ("a", ["PING"])]
+    df = spark.createDataFrame([(s, i + 1, 1_000_000 + 1000 * i, a) for i, (s, a) in enumerate(rows)], COMMANDS)
+    name = {i + 1: a[0].upper() for i, (_, a) in enumerate(rows) if a}
+    whole = {r["seq"]: r["resp"] for r in commands.interpret(df).replies.collect()}
+    session = {"PING", "PUBLISH", "LASTSAVE"}
+    for group in (commands.DATA | {"SCAN", "DBSIZE"}, {"INFO"}, session):
+        walked = commands.Interpreter(df, only=group)
+        for names in [group] if group != session else [{c} for c in sorted(session)]:
+            got = {r["seq"]: r["resp"] for r in walked.replies(names).collect()}
+            assert got and got == {n: x for n, x in whole.items() if name.get(n) in names}
+        assert ("folded" in vars(walked)) == (group != session)
+    with pytest.raises(ValueError):
+        walked.replies(["GET"])
+
+
+def test_dealt_sessions_are_not_shuffled_again(spark):
+    from keelstone.plans import wire
+
+    from .test_plans import plan_of
+
+    plan = plan_of(commands.plan(wire.rows(spark, "/root/testdata/sf0.001", wire.SCRIPT), dealt=True))
+    assert plan.count("Exchange") == 1 and "session_id" not in plan.split("hashpartitioning(")[1].split(")")[0]
