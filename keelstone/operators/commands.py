@@ -27,7 +27,7 @@ from ..schema import DEL, NEVER
 from ..session import stored
 from . import fold, pubsub, sizes, stats
 from .carry import carried
-from .fold import HIGH, LOW, NOT_INTEGER, long_of
+from .fold import HIGH, LOW, NOT_INTEGER, listed, long_of
 from .resolve import latest_per_key
 
 #: Commands that run before authentication, and those allowed while subscribed.
@@ -37,7 +37,8 @@ SYNTAX = "ERR syntax error"
 SCAN_HELP = "ERR This server uses SCAN <from> <to> (range scan), not cursor-based SCAN"
 
 #: Flat, as nested columns are slow to write. A command has one row: its answer (``type``), or none yet (``key`` and ``value``
-#: hold its arguments); a data command has instead a row for each of its ``size`` operations. Changes of subscriptions follow
+#: hold its arguments); a data command has instead a row for each of its ``size`` operations (the first of them has its answer
+#: too, where that is known without the key). Changes of subscriptions follow
 #: their command's row, by ``op`` (ADD or REMOVE; ``key`` the target, ``value`` its kind), with type 'none'.
 _PLAN = "session_id string, seq bigint, ts_ms bigint, cmd string, type string, text string, num bigint, items array<string>, size int, pos int, key string, op string, value string, n bigint"
 
@@ -119,7 +120,11 @@ def operations(cmd: str, argv: list[str], now: int) -> list[tuple[str, str, str
     raise KeyError(cmd)
 
 
-DATA = {"SET", "SETEX", "PSETEX", "GET", "DEL", "EXISTS", "MGET", "MSET", "INCR", "DECR", "INCRBY", "DECRBY", "EXPIRE", "PEXPIRE", "TTL", "PTTL", "PERSIST"}
+#: Data commands: those that are answered OK whatever their keys hold, those that leave their keys as they are, and the others.
+WRITES, READS = {"SET", "SETEX", "PSETEX", "MSET"}, {"GET", "EXISTS", "MGET", "TTL", "PTTL"}
+DATA = WRITES | READS | {"DEL", "INCR", "DECR", "INCRBY", "DECRBY", "EXPIRE", "PEXPIRE", "PERSIST"}
+#: Commands whose replies depend on keys.
+KEYED = DATA - WRITES | {"SCAN", "DBSIZE"}
 
 
 class Session:
@@ -249,28 +254,34 @@ def _frame(tag: str, target: str | None, count: int) -> str:
     return f"*3\r\n${len(tag)}\r\n{tag}\r\n{text}:{count}\r\n"
 
 
-def plan(commands: DataFrame, users: DataFrame | None = None, sessions: DataFrame | None = None, dealt: bool = False) -> DataFrame:
+def plan(commands: DataFrame, users: DataFrame | None = None, sessions: DataFrame | None = None, dealt: bool = False, only: Iterable[str] | None = None) -> DataFrame:
     """Step 1: each command's answer or operations. The users table is collected: it is a configuration of a server.
 
     Rows ``_LOAD`` and ``_STATE`` carry the state that each session starts from and ends in. ``dealt``: each session's
-    commands already lie in one partition, and are not shuffled again.
+    commands already lie in one partition, and are not shuffled again. ``only``: rows that replies of these commands do not
+    need are left out (and so are the states).
     """
+    whole = only is None or needed_for(only) is None
+    shown = frozenset() if whole else frozenset(only) | {"SHUTDOWN"} | (SAVES if "LASTSAVE" in only else set())
+    heard, folds = whole or "PUBLISH" in only, whole or bool(KEYED & set(only))
     known = {u["username"]: (u["password"], frozenset(c.upper() for c in u["allowed"] or [])) for u in users.collect()} if users is not None else {}
 
     names = [c.split()[0] for c in _PLAN.split(", ")]
     text, long = pa.string(), pa.int64()
     kinds = [text, long, long, text, text, text, long, pa.list_(text), pa.int32(), pa.int32(), text, text, text, long]
 
-    def flat(head: tuple, row: dict) -> Iterator[tuple]:
-        cmd = row.get("cmd")
-        if "ops" in row:
-            size = len(row["ops"])
-            for op in row["ops"]:
-                yield (*head, cmd, None, None, None, None, size, *op)
+    def flat(rows: list[tuple], sid: str, seq: int, now: int, row: dict) -> None:
+        cmd, ops = row.get("cmd"), row.get("ops")
+        if ops is not None:
+            size, answer = len(ops), ("+", "OK") if cmd in WRITES else (None, None)
+            for op in ops if folds else ops[:1]:
+                rows.append((sid, seq, now, cmd, *answer, None, None, size, *op))
+                answer = (None, None)
             return
-        yield (*head, cmd, row.get("type"), row.get("text"), row.get("num"), row.get("items"), None, None, row.get("lo"), None, row.get("hi"), None)
-        for pos, kind, target, add in row.get("changes", ()):
-            yield (*head, cmd, "none", None, None, None, None, pos, target, "ADD" if add else "REMOVE", kind, None)
+        if whole or cmd in shown:
+            rows.append((sid, seq, now, cmd, row.get("type"), row.get("text"), row.get("num"), row.get("items"), None, None, row.get("lo"), None, row.get("hi"), None))
+        for pos, kind, target, add in row.get("changes", ()) if heard else ():
+            rows.append((sid, seq, now, cmd, "none", None, None, None, None, pos, target, "ADD" if add else "REMOVE", kind, None))
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -280,27 +291,29 @@ def plan(commands: DataFrame, users: DataFrame | None = None, sessions: DataFram
         for batch in batches:
             rows: list[tuple] = []
             # the lists of arguments by their ends: a list column is slow to turn into lists itself
-            words, ends = batch.column(3).flatten().to_pylist(), np.cumsum(pc.fill_null(pc.list_value_length(batch.column(3)), 0).to_numpy(zero_copy_only=False))
-            given = batch.column(3).is_valid().to_pylist()
+            words, ends = listed(batch.column(3).flatten()), np.cumsum(pc.fill_null(pc.list_value_length(batch.column(3)), 0).to_numpy(zero_copy_only=False))
+            given = listed(batch.column(3).is_valid())
             starts = np.concatenate([[0], ends[:-1]]).tolist()
             lists = [words[a:b] if ok else None for a, b, ok in zip(starts, ends.tolist(), given, strict=True)]
-            for sid, seq, now, argv, state in zip(*(batch.column(i).to_pylist() for i in range(3)), lists, batch.column(4).to_pylist(), strict=True):
+            for sid, seq, now, argv, state in zip(*(listed(batch.column(i)) for i in range(3)), lists, listed(batch.column(4)), strict=True):
                 if first or sid != name:
-                    if not first:
-                        rows.extend(flat((name, HIGH, 0), {"cmd": "_STATE", "type": "none", "items": session.save()}))
+                    if not first and whole:
+                        flat(rows, name, HIGH, 0, {"cmd": "_STATE", "type": "none", "items": session.save()})
                     name, session, first = sid, Session(known), False
-                if state is not None:
-                    rows.extend(flat((sid, LOW, 0), {"cmd": "_LOAD", "type": "none", "changes": session.load(state)}))
+                if state:
+                    flat(rows, sid, LOW, 0, {"cmd": "_LOAD", "type": "none", "changes": session.load(argv)})
                 elif not session.closed:  # what follows QUIT is never read
-                    rows.extend(flat((sid, seq, now), session.plan(argv, now)))
+                    flat(rows, sid, seq, now, session.plan(argv, now))
             if rows:
                 yield batch_of(rows)
-        if not first:
-            yield batch_of([*flat((name, HIGH, 0), {"cmd": "_STATE", "type": "none", "items": session.save()})])
+        if not first and whole:
+            flat(last := [], name, HIGH, 0, {"cmd": "_STATE", "type": "none", "items": session.save()})
+            yield batch_of(last)
 
-    rows = commands.select("session_id", "seq", "ts_ms", "argv", F.lit(None).cast("array<string>").alias("state"))
+    # a state comes in the arguments' column: a second column of lists, mostly null, takes Spark longer to hand over than all others
+    rows = commands.select("session_id", "seq", "ts_ms", "argv", F.lit(False).alias("state"))
     if sessions is not None:
-        rows = rows.unionByName(sessions.select("session_id", F.lit(LOW).alias("seq"), F.lit(0).cast("bigint").alias("ts_ms"), F.lit(None).cast("array<string>").alias("argv"), "state"))
+        rows = rows.unionByName(sessions.select("session_id", F.lit(LOW).alias("seq"), F.lit(0).cast("bigint").alias("ts_ms"), F.col("state").alias("argv"), F.lit(True).alias("state")))
     if dealt and sessions is None:
         return rows.sortWithinPartitions("session_id", "seq").mapInArrow(run, _PLAN)
     # sessions differ in length and each is walked by one task: several tasks for each core even this out (more only cost their starts)
@@ -318,6 +331,7 @@ class Interpreted(NamedTuple):
 
 #: What moves a session or ends all of them.
 STATEFUL = {"AUTH", "QUIT", "SHUTDOWN", "SUBSCRIBE", "UNSUBSCRIBE", "PSUBSCRIBE", "PUNSUBSCRIBE"}
+SAVES = {"SAVE", "BGSAVE"}
 
 
 def needed_for(only: Iterable[str]) -> set[str] | None:
@@ -325,8 +339,7 @@ def needed_for(only: Iterable[str]) -> set[str] | None:
     only = set(only)
     if "INFO" in only:
         return None
-    data = DATA if only & (DATA | {"SCAN", "DBSIZE"}) else set()
-    return only | STATEFUL | data | ({"SAVE", "BGSAVE"} if "LASTSAVE" in only else set())
+    return only | STATEFUL | (DATA - READS if only & KEYED else set()) | (SAVES if "LASTSAVE" in only else set())
 
 
 class Interpreter:
@@ -343,13 +356,13 @@ class Interpreter:
         needed = None if only is None else needed_for(self.only)
         if needed is not None:
             commands = commands.filter(F.upper(F.get("argv", F.lit(0))).isin(sorted(needed)))
-        planned = stored(plan(commands, users, sessions, dealt), "planned")
+        planned = stored(plan(commands, users, sessions, dealt, self.only), "planned")
         states = planned.filter("cmd = '_STATE'").select("session_id", F.col("items").alias("state"))
         # one row: what else than its own keys some command needs (what does not occur needs no part of the plan), the first
-        # SHUTDOWN, and whether a command has several keys
+        # SHUTDOWN, and whether a command is answered by several keys
         wide = ("SCAN", "DBSIZE", "PUBLISH", "LASTSAVE", "INFO")
         present, stop, self.several = planned.agg(
-            F.collect_set(F.when(F.col("cmd").isin(*wide), F.col("cmd"))), F.min(F.when(F.expr("cmd = 'SHUTDOWN' AND type = 'none'"), F.col("seq"))), F.max(F.col("size") != 1),
+            F.collect_set(F.when(F.col("cmd").isin(*wide), F.col("cmd"))), F.min(F.when(F.expr("cmd = 'SHUTDOWN' AND type = 'none'"), F.col("seq"))), F.max(F.expr("size <> 1 AND op <> 'SET'")),
         ).first()
         self.present = set(present)
         if stop is not None:  # no command after it is read, and all connections are closed
@@ -359,13 +372,15 @@ class Interpreter:
     @cached_property
     def folded(self) -> DataFrame:
         """Step 2. A command of one key is answered by its operation: its session and name go along."""
-        alone = F.col("size") == 1
+        alone = F.expr("size = 1 AND type IS NULL")
         ops = self.planned.filter("size IS NOT NULL").select("key", "seq", "pos", "ts_ms", "op", "value", "n", F.when(alone, F.col("session_id")).alias("session_id"), F.when(alone, F.col("cmd")).alias("cmd"))
         return stored(fold.fold(ops, self.before, ("session_id", "cmd")), "folded")
 
     @cached_property
     def log(self) -> DataFrame:
         """The mutation log that the commands write."""
+        if self.only is not None and "INFO" not in self.only and not self.only & KEYED:
+            raise ValueError(f"walked for {sorted(self.only)} only")
         return fold.mutations_of(self.folded)
 
     @cached_property
@@ -386,25 +401,24 @@ class Interpreter:
         planned, present = asked(self.planned), wanted(*self.present)
 
         def answers(rows: DataFrame, one: Callable[[str], F.Column], total: F.Column, texts: F.Column) -> DataFrame:
-            """Replies of data commands from their first result, their results' sum and all texts."""
+            """Replies of KEYED data commands from their first result, their results' sum and all texts."""
             cmd, wrong, number = F.col("cmd"), one("err").isNotNull(), one("num")
-            wrote = cmd.isin("SET", "SETEX", "PSETEX", "MSET")
             seconds = F.when(number < 0, number).otherwise(F.floor(number / 1000))
             return rows.select(
                 "session_id", "seq",
-                F.when(wrong, "-").when(wrote, "+").when(cmd == "GET", "$").when(cmd == "MGET", "*").otherwise(":").alias("type"),
-                F.when(wrong, one("err")).when(wrote, F.lit("OK")).when(cmd == "GET", one("text")).alias("text"),
-                F.when(wrong | wrote | cmd.isin("GET", "MGET"), F.lit(None)).when(cmd.isin("DEL", "EXISTS"), total).when(cmd == "TTL", seconds).otherwise(number).cast("bigint").alias("num"),
+                F.when(wrong, "-").when(cmd == "GET", "$").when(cmd == "MGET", "*").otherwise(":").alias("type"),
+                F.when(wrong, one("err")).when(cmd == "GET", one("text")).alias("text"),
+                F.when(wrong | cmd.isin("GET", "MGET"), F.lit(None)).when(cmd.isin("DEL", "EXISTS"), total).when(cmd == "TTL", seconds).otherwise(number).cast("bigint").alias("num"),
                 F.when(cmd == "MGET", texts).alias("items"),
             )
 
         parts = [planned.filter("type IS NOT NULL AND type <> 'none'").select("session_id", "seq", "type", "text", "num", "items")]
-        if wanted(*DATA):
+        if wanted(*DATA - WRITES):
             parts.append(answers(asked(self.folded.filter("cmd IS NOT NULL")), F.col, F.col("num"), F.array("text")))
-        if self.several and wanted("MSET", "MGET", "DEL", "EXISTS"):  # their operations' results in order
+        if self.several and wanted("MGET", "DEL", "EXISTS"):  # their operations' results in order
             r = F.array_sort(F.collect_list(F.struct("pos", "num", "text", "err")))
-            done = self.folded.filter("cmd IS NULL").groupBy("seq").agg(r.alias("r"))
-            data = planned.filter("size <> 1 AND pos = 0").select("session_id", "seq", "cmd").join(done, "seq")
+            done = self.folded.filter("cmd IS NULL AND op <> 'SET'").groupBy("seq").agg(r.alias("r"))
+            data = planned.filter("size <> 1 AND pos = 0 AND type IS NULL").select("session_id", "seq", "cmd").join(done, "seq")
             total = F.aggregate("r", F.lit(0).cast("bigint"), lambda a, x: a + x["num"])
             parts.append(answers(data, lambda c: F.col("r")[0][c], total, F.transform("r", lambda x: x["text"])))
 

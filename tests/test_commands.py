@@ -123,3 +123,53 @@ def test_dealt_sessions_are_not_shuffled_again(spark):
 
     plan = plan_of(commands.plan(wire.rows(spark, "/root/testdata/sf0.001", wire.SCRIPT), dealt=True))
     assert plan.count("Exchange") == 1 and "session_id" not in plan.split("hashpartitioning(")[1].split(")")[0]
+
+
+def test_a_command_alone_gets_the_replies_of_the_whole(spark):
+    """What a command's replies do not depend on is neither walked nor folded: writes are answered without their keys."""
+    rng = random.Random(5)
+    key = lambda: f"k{rng.randrange(5)}"
+    make = [
+        lambda: ["set", key(), "5"], lambda: ["SET", key(), "5", "XX"], lambda: ["PSETEX", key(), str(rng.randrange(0, 9000)), "7"], lambda: ["MSET", (k := key()), "1", k, "2", key(), "3"], lambda: ["MSET", key()],
+        lambda: ["MGET", key(), key()], lambda: ["EXISTS", key(), key()], lambda: ["DEL", key(), key()], lambda: ["DEL", key()], lambda: ["INCR", key()], lambda: ["PEXPIRE", key(), "3000"], lambda: ["PERSIST", key()], lambda: ["PTTL", key()],
+        lambda: ["DBSIZE"], lambda: ["SUBSCRIBE", "news"], lambda: ["UNSUBSCRIBE"], lambda: ["PUBLISH", "news", "m"], lambda: ["COMMAND"], lambda: ["SAVE"], lambda: ["LASTSAVE"], lambda: ["NOSUCH"], lambda: [],
+    ]
+    rows = [(rng.choice("abcdefgh"), rng.choice(make)()) for _ in range(400)] + [("b", ["QUIT"]), ("b", ["COMMAND"]), ("c", ["UNSUBSCRIBE"]), ("c", ["SHUTDOWN"]), ("a", ["COMMAND"])]
+    df = spark.createDataFrame([(s, i + 1, 1_000_000 + 1000 * i, a) for i, (s, a) in enumerate(rows)], COMMANDS)
+    name = {i + 1: a[0].upper() for i, (_, a) in enumerate(rows) if a}
+    whole = {r["seq"]: r["resp"] for r in commands.interpret(df).replies.collect()}
+    for c in ("MSET", "PSETEX", "MGET", "DEL", "PTTL", "DBSIZE", "PUBLISH", "COMMAND", "LASTSAVE", "UNSUBSCRIBE"):
+        walked = commands.Interpreter(df, only=[c])
+        got = {r["seq"]: r["resp"] for r in walked.replies().collect()}
+        assert len(got) > 3 and got == {n: x for n, x in whole.items() if name.get(n) == c}, c
+        kept = {r["cmd"] for r in walked.planned.select("cmd").distinct().collect()}
+        assert ("folded" in vars(walked)) == (c in commands.KEYED) and not kept & (commands.READS | {None, "_STATE"}) - {c}, c
+    with pytest.raises(ValueError):
+        walked.log  # noqa: B018 (walked without the writes)
+
+
+def test_steps_that_a_command_depends_on():
+    from keelstone.plans import wire
+
+    names = lambda c: [wire.SCRIPT[i][2][0].upper() for i in wire.needed(wire.SCRIPT, c)]
+    assert names("INFO") == ["PING", "PING", "PING", "SET", "INFO"] and names("MSET") == ["MSET", "MSET"] and names("PSETEX") == ["PSETEX"]
+    assert set(names("PERSIST")) == {"SET", "PERSIST"} and "GET" not in names("DBSIZE") and names("GET")[-1] == "GET"
+    assert all(wire.needed(wire.SCRIPT, c)[-1] == max(i for i, x in enumerate(wire.SCRIPT) if x[2][0].upper() == c) for c in {x[2][0].upper() for x in wire.SCRIPT})
+
+
+def test_one_column_of_lists_goes_to_the_walk(spark):
+    """A second one, mostly null, took most of the walk's time."""
+    df = spark.createDataFrame([("s", 1, 1000, ["PING"])], COMMANDS)
+    for states in (None, spark.createDataFrame([("s", ["", "0", "0"])], "session_id string, state array<string>")):
+        child = commands.plan(df, None, states)._jdf.queryExecution().analyzed().children().head().schema()
+        assert [f.name() for f in child.fields() if "array" in f.dataType().simpleString()] == ["argv"]
+
+
+def test_listed_equals_to_pylist():
+    import pyarrow as pa
+
+    from keelstone.operators.fold import HIGH, LOW, listed
+
+    for values, kind in (([LOW, None, HIGH, 0], pa.int64()), ([LOW, HIGH], pa.int64()), ([1, None], pa.int32()), (["é", None, "", "\0"], pa.string()), ([True, False], pa.bool_()), ([True, None], pa.bool_()), ([None, None], pa.string()), ([], pa.int64()), ([["a"], None], pa.list_(pa.string()))):
+        column = pa.array(values, kind)
+        assert listed(column) == column.to_pylist() and list(map(type, listed(column))) == list(map(type, column.to_pylist()))
