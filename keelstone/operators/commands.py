@@ -18,7 +18,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import resp
@@ -125,6 +125,8 @@ WRITES, READS = {"SET", "SETEX", "PSETEX", "MSET"}, {"GET", "EXISTS", "MGET", "T
 DATA = WRITES | READS | {"DEL", "INCR", "DECR", "INCRBY", "DECRBY", "EXPIRE", "PEXPIRE", "PERSIST"}
 #: Commands whose replies depend on keys.
 KEYED = DATA - WRITES | {"SCAN", "DBSIZE"}
+#: Those that several keys may answer.
+SEVERAL = {"DEL", "EXISTS", "MGET"}
 
 
 class Session:
@@ -258,7 +260,7 @@ def plan(commands: DataFrame, users: DataFrame | None = None, sessions: DataFram
     """Step 1: each command's answer or operations. The users table is collected: it is a configuration of a server.
 
     Rows ``_LOAD`` and ``_STATE`` carry the state that each session starts from and ends in. ``dealt``: each session's
-    commands already lie in one partition, and are not shuffled again. ``only``: rows that replies of these commands do not
+    commands already lie together and in order in one partition, and are neither shuffled nor sorted again. ``only``: rows that replies of these commands do not
     need are left out (and so are the states).
     """
     whole = only is None or needed_for(only) is None
@@ -315,7 +317,7 @@ def plan(commands: DataFrame, users: DataFrame | None = None, sessions: DataFram
     if sessions is not None:
         rows = rows.unionByName(sessions.select("session_id", F.lit(LOW).alias("seq"), F.lit(0).cast("bigint").alias("ts_ms"), F.col("state").alias("argv"), F.lit(True).alias("state")))
     if dealt and sessions is None:
-        return rows.sortWithinPartitions("session_id", "seq").mapInArrow(run, _PLAN)
+        return rows.mapInArrow(run, _PLAN)
     # sessions differ in length and each is walked by one task: several tasks for each core even this out (more only cost their starts)
     parts = max(int(commands.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * commands.sparkSession.sparkContext.defaultParallelism)
     return rows.repartition(parts, "session_id").sortWithinPartitions("session_id", "seq").mapInArrow(run, _PLAN)
@@ -349,32 +351,47 @@ class Interpreter:
     sessions and buffered bytes are counted up to its place. ``sessions``:
     the states that an earlier table of commands ended in, for sessions that go on. ``dealt``: see plan. ``only``: the
     commands whose replies will be asked for (upper case; None: all); others are walked as far as those depend on them.
+    ``names``: the commands that occur (upper case), where the caller knows them.
     """
 
-    def __init__(self, commands: DataFrame, users: DataFrame | None = None, before: DataFrame | None = None, info: dict | None = None, sessions: DataFrame | None = None, dealt: bool = False, only: Iterable[str] | None = None):
+    def __init__(self, commands: DataFrame, users: DataFrame | None = None, before: DataFrame | None = None, info: dict | None = None, sessions: DataFrame | None = None, dealt: bool = False, only: Iterable[str] | None = None, names: Iterable[str] | None = None):
         self.before, self.info, self.only = before, info or {}, None if only is None else frozenset(only)
         needed = None if only is None else needed_for(self.only)
         if needed is not None:
             commands = commands.filter(F.upper(F.get("argv", F.lit(0))).isin(sorted(needed)))
-        planned = stored(plan(commands, users, sessions, dealt, self.only), "planned")
+        planned, wide = plan(commands, users, sessions, dealt, self.only), {"SCAN", "DBSIZE", "PUBLISH", "LASTSAVE", "INFO"}
+        # replies that all come from the walk, or all from the fold, read it once: it goes on to them unstored, if no SHUTDOWN can cut it off
+        self.once = needed is not None and names is not None and "SHUTDOWN" not in names and not self.only & wide and (self.only <= KEYED or not self.only & KEYED)
+        if self.once:
+            self.present, self.several, self.planned, self.sessions = set(), bool(self.only & SEVERAL), planned, None
+            return
+        # observed while they are written: what else than its own keys some command needs (what does not occur needs no part of the
+        # plan), the first SHUTDOWN, and whether a command is answered by several keys
+        seen = Observation()
+        planned = planned.observe(
+            seen, *[F.max(F.col("cmd") == c).alias(c) for c in sorted(wide)], F.min(F.when(F.expr("cmd = 'SHUTDOWN' AND type = 'none'"), F.col("seq"))).alias("stop"), F.max(F.expr("size <> 1 AND op <> 'SET'")).alias("several"),
+        )
+        planned, found = stored(planned, "planned"), seen.get
         states = planned.filter("cmd = '_STATE'").select("session_id", F.col("items").alias("state"))
-        # one row: what else than its own keys some command needs (what does not occur needs no part of the plan), the first
-        # SHUTDOWN, and whether a command is answered by several keys
-        wide = ("SCAN", "DBSIZE", "PUBLISH", "LASTSAVE", "INFO")
-        present, stop, self.several = planned.agg(
-            F.collect_set(F.when(F.col("cmd").isin(*wide), F.col("cmd"))), F.min(F.when(F.expr("cmd = 'SHUTDOWN' AND type = 'none'"), F.col("seq"))), F.max(F.expr("size <> 1 AND op <> 'SET'")),
-        ).first()
-        self.present = set(present)
+        self.present, self.several, stop = {c for c in wide if found[c]}, bool(found["several"]), found["stop"]
         if stop is not None:  # no command after it is read, and all connections are closed
             planned, states = planned.filter(F.col("seq") <= stop), states.limit(0)
         self.planned, self.sessions = planned, states if needed is None else None  # a session may have none of the needed commands
 
     @cached_property
     def folded(self) -> DataFrame:
-        """Step 2. A command of one key is answered by its operation: its session and name go along."""
-        alone = F.expr("size = 1 AND type IS NULL")
-        ops = self.planned.filter("size IS NOT NULL").select("key", "seq", "pos", "ts_ms", "op", "value", "n", F.when(alone, F.col("session_id")).alias("session_id"), F.when(alone, F.col("cmd")).alias("cmd"))
-        return stored(fold.fold(ops, self.before, ("session_id", "cmd")), "folded")
+        """Step 2. Commands are answered by their operations: session and name go along, ``many`` where there are several.
+
+        Stored, unless only one step reads it: then refused commands pass through it too (their key only deals them).
+        """
+        waits, refused = F.col("size").isNotNull() & (F.col("op") != "SET"), F.col("size").isNull()
+        ops = self.planned.filter("size IS NOT NULL OR type = '-'" if self.once else "size IS NOT NULL").select(
+            F.when(refused, F.col("seq").cast("string")).otherwise(F.col("key")).alias("key"), "seq", F.coalesce("pos", F.lit(0)).alias("pos"), "ts_ms", F.when(refused, "REFUSED").otherwise(F.col("op")).alias("op"),
+            F.when(refused, F.col("text")).otherwise(F.col("value")).alias("value"), "n", *[F.when(waits | refused, F.col(c)).alias(c) for c in ("session_id", "cmd")], F.when(waits & (F.col("size") > 1), "").alias("many"),
+        )
+        found = fold.fold(ops, self.before, ("session_id", "cmd", "many"))
+        reads = self.only is not None and (self.only <= DATA and not self.several or self.only <= {"SCAN", "DBSIZE"})
+        return found if self.once or reads else stored(found, "folded")
 
     @cached_property
     def log(self) -> DataFrame:
@@ -412,16 +429,17 @@ class Interpreter:
                 F.when(cmd == "MGET", texts).alias("items"),
             )
 
-        parts = [planned.filter("type IS NOT NULL AND type <> 'none'").select("session_id", "seq", "type", "text", "num", "items")]
+        parts = [] if self.once and self.only & KEYED else [planned.filter("type IS NOT NULL AND type <> 'none'").select("session_id", "seq", "type", "text", "num", "items")]
         if wanted(*DATA - WRITES):
-            parts.append(answers(asked(self.folded.filter("cmd IS NOT NULL")), F.col, F.col("num"), F.array("text")))
-        if self.several and wanted("MGET", "DEL", "EXISTS"):  # their operations' results in order
-            r = F.array_sort(F.collect_list(F.struct("pos", "num", "text", "err")))
-            done = self.folded.filter("cmd IS NULL AND op <> 'SET'").groupBy("seq").agg(r.alias("r"))
-            data = planned.filter("size <> 1 AND pos = 0 AND type IS NULL").select("session_id", "seq", "cmd").join(done, "seq")
-            total = F.aggregate("r", F.lit(0).cast("bigint"), lambda a, x: a + x["num"])
-            parts.append(answers(data, lambda c: F.col("r")[0][c], total, F.transform("r", lambda x: x["text"])))
-
+            done = asked(self.folded.filter("cmd IS NOT NULL"))
+            many = self.several and bool(wanted(*SEVERAL))
+            if many:  # their operations' results in order
+                r = F.array_sort(F.collect_list(F.struct("pos", "num", "text", "err")))
+                each = (done if self.once else done.filter("many IS NOT NULL")).groupBy("session_id", "seq", "cmd").agg(r.alias("r"))
+                total = F.aggregate("r", F.lit(0).cast("bigint"), lambda a, x: a + x["num"])
+                parts.append(answers(each, lambda c: F.col("r")[0][c], total, F.transform("r", lambda x: x["text"])))
+            if not (many and self.once):
+                parts.append(answers(done.filter("many IS NULL"), F.col, F.col("num"), F.array("text")))
         open_rows = planned.filter("type IS NULL AND size IS NULL").withColumnsRenamed({"key": "lo", "value": "hi"})
         number, text, items = F.lit(None).cast("bigint"), F.lit(None).cast("string"), F.lit(None).cast("array<string>")
 

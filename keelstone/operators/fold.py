@@ -78,6 +78,8 @@ def step(state: State, op: str, now: int, value: str | None, n: int | None) -> t
         return state, False, int(alive), state[0] if alive else None, None
     if op == "TTL":
         return state, False, -2 if not alive else -1 if state[1] == NEVER else state[1] - now, None, None
+    if op == "REFUSED":  # answered before it came to a key
+        return state, False, None, None, value
     raise ValueError(f"no operation {op!r}")
 
 

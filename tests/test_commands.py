@@ -173,3 +173,47 @@ def test_listed_equals_to_pylist():
     for values, kind in (([LOW, None, HIGH, 0], pa.int64()), ([LOW, HIGH], pa.int64()), ([1, None], pa.int32()), (["é", None, "", "\0"], pa.string()), ([True, False], pa.bool_()), ([True, None], pa.bool_()), ([None, None], pa.string()), ([], pa.int64()), ([["a"], None], pa.list_(pa.string()))):
         column = pa.array(values, kind)
         assert listed(column) == column.to_pylist() and list(map(type, listed(column))) == list(map(type, column.to_pylist()))
+
+
+def test_replies_of_one_step_come_in_one_pass(spark):
+    """Where it is known that no SHUTDOWN occurs, the walk goes on to the fold or to the replies: nothing is stored on the way, each row is walked once."""
+    from .test_plans import plan_of
+
+    rng = random.Random(7)
+    key = lambda: f"k{rng.randrange(5)}"
+    make = [
+        lambda: ["set", key(), "5"], lambda: ["SET", key()], lambda: ["MSET", (k := key()), "1", k, "2", key(), "x"], lambda: ["GET", key()], lambda: ["GET"], lambda: ["MGET", key(), key()], lambda: ["MGET", key()], lambda: ["MGET"],
+        lambda: ["EXISTS", key(), key()], lambda: ["EXISTS", key()], lambda: ["DEL", key(), key()], lambda: ["DEL", key()], lambda: ["INCR", key()], lambda: ["INCRBY", key(), rng.choice(["1", "z"])], lambda: ["PEXPIRE", key(), "3000"], lambda: ["TTL", key()],
+        lambda: ["SUBSCRIBE", "news"], lambda: ["UNSUBSCRIBE"], lambda: ["PING", "x"], lambda: ["NOSUCH"], lambda: [],
+    ]
+    rows = [(rng.choice("abcdefgh"), rng.choice(make)()) for _ in range(500)] + [("b", ["QUIT"]), ("b", ["PING"]), ("b", ["GET", "k1"])]
+    df = spark.createDataFrame([(s, i + 1, 1_000_000 + 1000 * i, a) for i, (s, a) in enumerate(rows)], COMMANDS)
+    name = {i + 1: a[0].upper() for i, (_, a) in enumerate(rows) if a}
+    whole = {r["seq"]: r["resp"] for r in commands.interpret(df).replies.collect()}
+    for only in ({"GET"}, {"INCRBY"}, {"PEXPIRE"}, {"DEL"}, {"MGET", "EXISTS", "TTL"}, {"PING"}, {"MSET"}, {"UNSUBSCRIBE", "QUIT", "SET"}):
+        found = commands.Interpreter(df, only=only, names=set(name.values())).replies()
+        got = found.collect()
+        assert len(got) == len({r["seq"] for r in got}) and {r["seq"]: r["resp"] for r in got} == {n: x for n, x in whole.items() if name.get(n) in only}, only
+        plan = plan_of(found).split("Initial Plan")[-1]
+        assert plan.count("MapInArrow") == 1 + bool(only & commands.KEYED) and "parquet" not in plan.lower(), only
+    assert not commands.Interpreter(df, only={"GET"}, names={"GET", "SHUTDOWN"}).once and not commands.Interpreter(df, only={"GET"}).once
+
+
+def test_a_small_script_is_walked_by_few_tasks(spark, tmp_path):
+    """Two for each core, however many parts shuffles have; a session's commands lie together in their order."""
+    from keelstone.plans import wire
+    from keelstone.session import table
+
+    suppliers = table(spark, "/root/testdata/sf0.001", "supplier")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        parts = wire.parts_for(suppliers)
+        assert parts == 2 * spark.sparkContext.defaultParallelism
+        laid = wire.rows(spark, "/root/testdata/sf0.001", wire.SCRIPT, parts=parts)
+        assert laid.rdd.getNumPartitions() == parts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for part in laid.select("session_id", "seq").rdd.map(tuple).glom().collect():
+        sessions = [s for i, (s, _) in enumerate(part) if not i or part[i - 1][0] != s]
+        assert len(sessions) == len(set(sessions)) and all(a[0] != b[0] or a[1] < b[1] for a, b in zip(part, part[1:], strict=False))
