@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import resp
 from ..functions.text import entry_bytes
 from ..schema import DEL, NEVER
-from ..session import stored
+from ..session import stored, tasks_for
 from . import fold, pubsub, sizes, stats
 from .carry import carried
 from .fold import HIGH, LOW, NOT_INTEGER, listed, long_of
@@ -33,6 +33,8 @@ from .resolve import latest_per_key
 #: Commands that run before authentication, and those allowed while subscribed.
 OPEN = {"AUTH", "PING", "QUIT", "COMMAND"}
 SUBSCRIBED = {"SUBSCRIBE", "UNSUBSCRIBE", "PSUBSCRIBE", "PUNSUBSCRIBE", "PING", "QUIT"}
+#: Bytes of stored commands whose messages one task counts the receivers of, about (some ten thousand).
+SHARE = 262_144
 SYNTAX = "ERR syntax error"
 SCAN_HELP = "ERR This server uses SCAN <from> <to> (range scan), not cursor-based SCAN"
 
@@ -357,7 +359,7 @@ class Interpreter:
     def __init__(self, commands: DataFrame, users: DataFrame | None = None, before: DataFrame | None = None, info: dict | None = None, sessions: DataFrame | None = None, dealt: bool = False, only: Iterable[str] | None = None, names: Iterable[str] | None = None):
         self.before, self.info, self.only = before, info or {}, None if only is None else frozenset(only)
         needed = None if only is None else needed_for(self.only)
-        if needed is not None:
+        if needed is not None and not (names is not None and needed >= set(names)):
             commands = commands.filter(F.upper(F.get("argv", F.lit(0))).isin(sorted(needed)))
         planned, wide = plan(commands, users, sessions, dealt, self.only), {"SCAN", "DBSIZE", "PUBLISH", "LASTSAVE", "INFO"}
         # replies that all come from the walk, or all from the fold, read it once: it goes on to them unstored, if no SHUTDOWN can cut it off
@@ -454,11 +456,11 @@ class Interpreter:
             add(scans.join(found, "seq", "left"), "*", items=F.coalesce("found", F.array().cast("array<string>")))
         if "DBSIZE" in present:
             sized = open_rows.filter("cmd = 'DBSIZE'").select("session_id", "seq", "ts_ms")
-            add(sized.join(stored(sizes.dbsize_at(self.held, sized), "sizes"), "seq", "left"), ":", num=F.coalesce("dbsize", F.lit(0)).cast("bigint"))
+            add(sized.join(sizes.dbsize_at(self.held, sized), "seq", "left"), ":", num=F.coalesce("dbsize", F.lit(0)).cast("bigint"))
         if "PUBLISH" in present:  # receivers at that moment
             changes = self.planned.filter("op IS NOT NULL AND size IS NULL").select(F.col("session_id").alias("conn"), "seq", "pos", F.col("value").alias("kind"), F.col("key").alias("target"), (F.col("op") == "ADD").alias("add"))
             messages = open_rows.filter("cmd = 'PUBLISH'").select(F.col("seq").alias("msg_id"), "session_id", "seq", F.col("lo").alias("channel"), F.col("hi").alias("payload"))
-            counted = stored(pubsub.publish_counts(messages, stored(pubsub.intervals(changes), "subscribed")), "receivers")
+            counted = pubsub.publish_counts(messages, stored(pubsub.intervals(changes), "subscribed"), tasks_for(self.planned, SHARE))
             add(messages.join(counted, "msg_id"), ":", num=F.col("receivers").cast("bigint"))
         if "LASTSAVE" in present:  # the newest save before it
             saves = self.planned.filter("cmd IN ('SAVE', 'BGSAVE') AND type = '+'").select("seq", F.floor(F.col("ts_ms") / 1000).alias("at"))
@@ -494,10 +496,9 @@ def history(log: DataFrame, before: DataFrame | None = None) -> DataFrame:
     writes = log.select("seq", "pos", "op", "key", "value", "expires_at_ms")
     if before is not None:
         writes = writes.unionByName(before.select(F.lit(LOW).alias("seq"), F.lit(0).alias("pos"), F.lit("PUT").alias("op"), "key", "value", "expires_at_ms"))
-    last = Window.partitionBy("key", "seq").orderBy(F.col("pos").desc())
-    writes = writes.withColumn("_n", F.row_number().over(last)).filter("_n = 1")  # MSET may write a key twice
-    order = Window.partitionBy("key").orderBy("seq")
-    return writes.select("key", F.col("seq").alias("seq_from"), F.lead("seq", 1, NEVER).over(order).alias("seq_to"), "op", "value", "expires_at_ms")
+    order = Window.partitionBy("key").orderBy("seq", "pos")
+    found = writes.select("key", F.col("seq").alias("seq_from"), F.lead("seq", 1, NEVER).over(order).alias("seq_to"), "op", "value", "expires_at_ms")
+    return found.filter("seq_from < seq_to")  # MSET may write a key twice: its last write there counts
 
 
 def last_before(points: DataFrame, events: DataFrame, span: int = 100_000) -> DataFrame:

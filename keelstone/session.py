@@ -67,6 +67,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(df: DataFrame, share: int) -> int:
+    """Tasks for work that grows with a table read from files: one for each ``share`` bytes of them, two for each core at least, as many as shuffles have at most.
+
+    Smaller tasks cost more to start than they do. Sizes come from the files' lengths: no job is run for them.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * spark.sparkContext.defaultParallelism, min(int(spark.conf.get("spark.sql.shuffle.partitions")), size // share))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark so that any file system Spark knows will do."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

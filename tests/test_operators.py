@@ -130,6 +130,17 @@ def test_frames_and_counts_stay_dealt(spark):
     assert by_message(counts) and sorted(map(tuple, counts.collect())) == [(1, 2), (2, 1), (3, 1)]
 
 
+def test_receivers_are_counted_by_hashing(spark):
+    """A count needs no choice among a receiver's subscriptions, which would sort every part; a few messages need few parts."""
+    msgs = spark.createDataFrame([(1, 1, "a", "x"), (2, 2, "b", "y"), (3, 3, "z", "w")], "msg_id bigint, seq bigint, channel string, payload string")
+    subs = spark.createDataFrame([("c", "pattern", "?", -1, NEVER), ("c", "pattern", "[ab]", -1, NEVER), ("c", "channel", "a", -1, NEVER), ("d", "channel", "a", -1, NEVER)], "conn string, kind string, target string, seq_from bigint, seq_to bigint")
+    for parts in (None, 3):
+        counts = pubsub.publish_counts(msgs, subs, parts)
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and (parts is None or "hashpartitioning(msg_id" in plan and ", 3), REPARTITION_BY_NUM" in plan)
+        assert sorted(map(tuple, counts.collect())) == [(1, 2), (2, 1), (3, 1)]
+
+
 def test_sums_at_reads_its_events_once(spark):
     events = spark.range(50).select((F.col("id") * 3).alias("seq"), F.lit(1).cast("bigint").alias("a"), F.col("id").alias("b"))
     out = carry.sums_at(spark.createDataFrame([(10,), (99,)], "seq bigint"), events, ["a", "b"], span=20)
