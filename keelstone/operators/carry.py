@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-#: Ranges that are summed up by one row of the level above.
-WIDE = 1000
+#: Ranges that are summed up by one row of the level above, and ranges that need no such level.
+WIDE, FEW = 1000, 50_000
 
 
-def carried(ends: DataFrame, how: str, wide: int = WIDE) -> DataFrame:
+def carried(ends: DataFrame, how: str, wide: int = WIDE, few: bool = False) -> DataFrame:
     """``_range, _start``: of each row ``_range, _end``, what the rows of lower ranges add up to.
 
     ``how``: 'sum' (0 before the first), 'max', or 'last' (the nearest that is not null); null if there is none.
-    Two levels: ranges within a group of ``wide``, then groups. Only the groups meet in one window, one row for each.
+    Two levels: ranges within a group of ``wide``, then groups. Only the groups meet in one window, one row for each; where the
+    caller knows that ranges are ``few``, they meet there themselves.
     """
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("_end")
@@ -24,6 +25,9 @@ def carried(ends: DataFrame, how: str, wide: int = WIDE) -> DataFrame:
         "max": (F.max(end), F.max(end), F.greatest),
         "last": (F.max_by(end, F.when(end.isNotNull(), F.col("_range"))), F.last(end, ignorenulls=True), F.coalesce),
     }[how]
+    if few:
+        before = running.over(earlier)
+        return ends.select("_range", (F.coalesce(before, F.lit(0)) if how == "sum" else before).alias("_start"))
     grouped = ends.select("_range", "_end", F.floor(F.col("_range") / wide).alias("_group"))
     tops = grouped.groupBy("_group").agg(whole.alias("_end")).withColumnRenamed("_group", "_range")
     tops = tops.select(F.col("_range").alias("_group"), running.over(earlier).alias("_top"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..schema import NEVER
 from ..session import stored
-from .carry import carried, ranged
+from .carry import FEW, carried, ranged
 from .resolve import as_of
 
 #: Sequence numbers in a range; key ranges at most, and keys sampled for each; numbers of one scan in a row.
@@ -25,11 +25,11 @@ def clocked(points: DataFrame, span: int = SPAN) -> DataFrame:
     return p.join(start, "_range").select("seq", "ts_ms", F.greatest(top, "_start").alias("clock"))
 
 
-def first_reached(times: DataFrame, clocks: DataFrame, width: int) -> DataFrame:
-    """``t, at`` of each distinct time ``t``: the first ``seq`` whose ``clock`` is not below it; null if none is."""
+def first_reached(times: DataFrame, clocks: DataFrame, width: int, few: bool = False) -> DataFrame:
+    """``t, at`` of each distinct time ``t``: the first ``seq`` whose ``clock`` is not below it; null if none is. ``few``: see carried."""
     marks = clocks.groupBy("clock").agg(F.min("seq").alias("at")).select((-F.col("clock")).alias("x"), "at", F.lit(0).alias("ask"))
     rows = marks.unionByName(times.select((-F.col("t")).alias("x"), F.lit(None).cast("bigint").alias("at"), F.lit(1).alias("ask"))).withColumn("_range", ranged("x", width))
-    start = carried(rows.groupBy("_range").agg(F.max_by("at", F.when(F.col("ask") == 0, F.col("x"))).alias("_end")), "last")
+    start = carried(rows.groupBy("_range").agg(F.max_by("at", F.when(F.col("ask") == 0, F.col("x"))).alias("_end")), "last", few=few)
     near = F.last("at", ignorenulls=True).over(Window.partitionBy("_range").orderBy("x", "ask").rowsBetween(*_SO_FAR))
     found = rows.join(start, "_range").withColumn("at", F.coalesce(near, "_start"))
     return found.filter("ask = 1").select((-F.col("x")).alias("t"), "at")
@@ -43,22 +43,29 @@ def dbsize_at(versions: DataFrame, points: DataFrame, span: int = SPAN) -> DataF
     sequence numbers are summed apart, with one carried row each. A point whose own clock is behind the running one
     gets back what has expired between the two: those versions are joined on slots of time.
     """
-    clocks = stored(clocked(points, span), "clocks")
-    low, high, n, last = clocks.agg(F.min("ts_ms"), F.max("clock"), F.count(F.lit(1)), F.max("seq")).first()
+    seen = Observation()
+    clocks = clocked(points, span).observe(seen, *[F.min("ts_ms").alias("low"), F.max("clock").alias("high"), F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"), F.max(F.expr("ts_ms < clock")).alias("behind")])
+    clocks = stored(clocks, "clocks")
+    low, high, n, last, late = (seen.get[k] for k in ("low", "high", "n", "last", "behind"))
     if not n:
         return clocks.select("seq", F.lit(0).cast("bigint").alias("dbsize"))
     width = (high - low) // (n // span + 1) + 1
     alive = versions.filter("op <> 'DEL'").select("seq_from", "seq_to", "expires_at_ms")
-    times = alive.filter(F.col("expires_at_ms") <= high).select(F.col("expires_at_ms").alias("t")).distinct()
-    ended = alive.join(first_reached(times, clocks, width), F.col("expires_at_ms") == F.col("t"), "left")
+    reached = F.when(F.col("expires_at_ms") <= low, F.lit(low)).otherwise(F.col("expires_at_ms"))  # the first point has reached all before it: times lie in as many ranges as clocks
+    times = alive.filter(F.col("expires_at_ms") <= high).select(reached.alias("t")).distinct()
+    ended = alive.join(first_reached(times, clocks, width, n // span < FEW), reached == F.col("t"), "left")
     ended = ended.select("seq_from", F.least("seq_to", F.coalesce(F.col("at") - 1, F.lit(NEVER))).alias("end")).filter("end > seq_from")
     steps = ended.select(F.explode(F.array(F.struct(F.col("seq_from").alias("seq"), F.lit(1).alias("w")), F.struct(F.col("end").alias("seq"), F.lit(-1).alias("w")))).alias("e")).select("e.*")
     steps = steps.filter(F.col("seq") < last).groupBy("seq").agg(F.sum("w").alias("w"))  # what begins or ends at one place is one row
     rows = steps.select("seq", "w", F.lit(None).cast("bigint").alias("ts_ms")).unionByName(clocks.select("seq", F.lit(0).cast("bigint").alias("w"), "ts_ms")).withColumn("_range", ranged("seq", span))
-    start = carried(rows.groupBy("_range").agg(F.sum("w").alias("_end")), "sum")
+    span_of = Observation()
+    rows = stored(rows.observe(span_of, F.min("_range").alias("first"), F.max("_range").alias("last")), "steps")  # read by the ranges' sums and by the points'
+    start = carried(rows.groupBy("_range").agg(F.sum("w").alias("_end")), "sum", few=span_of.get["last"] - span_of.get["first"] < FEW)
     # a step counts for the points after its place: at one place, points come first
     order = Window.partitionBy("_range").orderBy("seq", F.col("ts_ms").asc_nulls_last()).rowsBetween(*_SO_FAR)
     sized = rows.join(start, "_range").withColumn("n", F.sum("w").over(order) + F.col("_start")).filter("ts_ms IS NOT NULL").select("seq", "ts_ms", "n")
+    if not late:  # no point's clock is behind
+        return sized.select("seq", F.col("n").cast("bigint").alias("dbsize"))
     behind = clocks.filter("ts_ms < clock").withColumn("slot", F.explode(F.sequence(ranged("ts_ms", width), ranged("clock", width)))).alias("p")
     v = alive.filter(F.col("expires_at_ms").between(low, high)).withColumn("slot", ranged("expires_at_ms", width)).alias("v")
     hit = F.expr("p.slot = v.slot AND v.seq_from < p.seq AND p.seq <= v.seq_to AND v.expires_at_ms > p.ts_ms AND v.expires_at_ms <= p.clock")

@@ -280,6 +280,26 @@ def test_carried_ranges(spark, how):
         assert got[r] == {"sum": sum(seen), "max": max(seen, default=None), "last": seen[-1] if seen else None}[how]
 
 
+def test_sizes_are_summed_once(spark, monkeypatch):
+    """The changes of the size are worked out once, few ranges need one level, and no clock behind needs no join; each way gives the same sizes."""
+    rng = random.Random(4)
+    rows, points = random_history(rng, 60, ["a", "b", "hot"])
+    held = spark.createDataFrame(rows, "key string, seq_from bigint, seq_to bigint, op string, value string, expires_at_ms bigint")
+    ordered = [(s, 1000 + 10 * i) for i, s in enumerate(sorted(s for s, _ in points))]
+    for asked, joins in ((points, 3), (ordered, 1)):
+        want = {s: sum(r[3] != "DEL" and r[1] < s <= r[2] and r[5] > t for r in rows) for s, t in asked}
+        for few in (0, sizes.FEW):
+            monkeypatch.setattr(sizes, "FEW", few)
+            got = sizes.dbsize_at(held, spark.createDataFrame(asked, "seq bigint, ts_ms bigint"), 7)
+            assert {r["seq"]: r["dbsize"] for r in got.collect()} == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == joins
+    ends = spark.createDataFrame([(5, 2), (1, 4), (9, None), (12, 1)], "_range bigint, _end bigint")
+    for how, want in (("sum", [0, 4, 6, 6]), ("max", [None, 4, 4, 4]), ("last", [None, 4, 2, 2])):
+        found = carry.carried(ends, how, few=True)
+        assert [r["_start"] for r in found.orderBy("_range").collect()] == want and "Join" not in found._jdf.queryExecution().toString()
+
+
 def test_reads_at_points_use_no_product(spark):
     """As-of reads join by sorting; sizes and scans by equality only; nothing goes through the driver's hands."""
     held = spark.range(10).selectExpr("CAST(id % 2 AS STRING) AS key", "id AS seq_from", "id + 2 AS seq_to", "'PUT' AS op", "'v' AS value", "id + 100 AS expires_at_ms")
